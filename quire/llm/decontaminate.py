@@ -168,7 +168,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     schema = "id " + out.schema["id"].dataType.simpleString() + ", text string, n_words long, spans array<int>, items array<string>"
-    for block in [*item_blocks(items, item_col, item_text_col, block_words)] or [[]]:
+    for block in item_blocks(items, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The six ASCII blanks that part words, and odd multipliers for polynomial hashes.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -37,7 +38,7 @@ class Words(NamedTuple):
 
 def blocks(batch: pa.RecordBatch, column: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts come to about ``block_bytes``; one long text makes a slice alone."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
@@ -56,7 +57,7 @@ def words(texts: pa.Array) -> Words:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint8), none, none, np.zeros(1, np.int64))
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
     low, high = int(offsets[0]), int(offsets[-1])
