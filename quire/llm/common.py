@@ -33,13 +33,17 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this module's callers have written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            drop_dir(spark, path)
         except Exception:  # the session has ended: whoever owns the folder clears it
             return
 

@@ -19,13 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quire.llm.wordhash import blocks
-from quire.llm.wordmemo import WordMemo, per_text, ragged
+from quire.llm.wordmemo import WordMemo, ragged
 
 #: Blanks beyond ASCII: what splits at ASCII blanks alone can't be trusted next to these.
 WIDE_BLANKS = "\u0085   -     　"
 #: Pieces of units kept, and their longest; a fuller memo starts anew.
-MEMO_PIECES, MEMO_CHARS = 300_000, 40
+MEMO_PIECES, MEMO_CHARS = 150_000, 40
 
 
 def latin(pattern: str) -> str:
@@ -94,12 +93,22 @@ class LibraryTokens:
             out += (x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False))
         return out
 
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where those of each text end (with a leading 0)."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.whole), False).to_numpy(zero_copy_only=False)
+        values, cut = self.memo.look_up(pc.if_else(odd, None, texts) if odd.any() else texts).joined()
+        if odd.any():
+            each = [values[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            for k in np.flatnonzero(odd).tolist():
+                each[k] = np.array(self._encode([texts[k].as_py()])[0], np.uint32)
+            values, cut = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return values, cut
+
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; a null is an empty text."""
-        odd = pc.fill_null(pc.match_substring_regex(texts, self.whole), False).to_numpy(zero_copy_only=False)
-        looked = per_text(self.memo.look_up(pc.if_else(odd, None, texts) if odd.any() else texts))
-        for k, ids in enumerate(looked):
-            yield np.array(self._encode([texts[k].as_py()])[0], np.uint32) if odd[k] else ids
+        values, cut = self.block(texts)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield values[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +123,3 @@ def byte_level(path: str) -> LibraryTokens:
 def word_level(path: str) -> LibraryTokens:
     """For a file that drops blanks and splits at them."""
     return LibraryTokens(path, False)
-
-
-def batches_of_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    return blocks(batch, column)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def count_misses(misses: DataFrame, tokenizer_path: str, digest: str) -> DataFra
         tokens = word_level(tokenizer_path)
         for batch in batches:
             for part in blocks(batch):
-                counts = [len(ids) for ids in tokens(part.column("text"))]
+                counts = np.diff(tokens.block(part.column("text"))[1])
                 yield pa.RecordBatch.from_arrays([part.column("content_sha256"), pa.array([digest] * len(counts)), pa.array(counts, pa.int64())], ["content_sha256", "tokenizer_sha256", "n_tokens"])
 
     return misses.mapInArrow(count, CACHE_SCHEMA)

@@ -27,60 +27,90 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_dir, table
+from quire.llm.common import drop_dir, new_dir, table
 from quire.llm.library_tokens import byte_level
 from quire.llm.wordhash import blocks
 
 END_ID = 0
-#: Bytes of text for one shard; its code is about half as long, and one task holds it in memory.
-SHARD_BYTES = 16 << 20
+#: Bytes of text for one shard, whose code of about half the size one task holds in memory, and the most shards.
+SHARD_BYTES = 4 << 20
 #: Most ids that a rank table may have: its size is that of a vocabulary, not of the corpus.
 MAX_IDS = 4_000_000
+MAX_SHARDS = 200_000
 
+DRAFT_SCHEMA = "shard int, id long, n long, control binary, data binary"
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, doc_ids binary, no_id binary, ends binary, control binary, data binary"
 _LENGTHS = np.array([[(byte >> (2 * k) & 3) + 1 for k in range(4)] for byte in range(256)], np.uint8)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit ranks."""
-    length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = length - 1
+def pack(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, data bytes, and where each run values[cut[i]:cut[i+1]] begins and ends in both."""
+    n = np.diff(cut)
+    length = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    padded = np.concatenate([[0], np.cumsum(-(-n // 4) * 4)])
+    codes = np.zeros(padded[-1], np.uint8)
+    codes[np.arange(len(values)) + np.repeat(padded[:-1] - cut[:-1], n)] = length - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    octets = np.ascontiguousarray(ranks, "<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), octets[np.arange(4) < length[:, None]].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks that pack() was given; ``n`` of them."""
-    length = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    stop = np.cumsum(length, dtype=np.int64)
-    start = stop - length
-    octets = np.frombuffer(data, np.uint8)
-    ranks = octets[start].astype(np.uint32)
+    octets = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
+    ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    return control, octets[np.arange(4) < length[:, None]], padded // 4, ends[cut]
+
+
+def unpack(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values that pack() was given in runs of ``n``."""
+    length = _LENGTHS[control].reshape(-1)
+    padded = np.cumsum(-(-n // 4) * 4)
+    length = length[np.arange(int(n.sum())) + np.repeat(padded - (-(-n // 4) * 4) - (np.cumsum(n) - n), n)]
+    start = np.cumsum(length, dtype=np.int64) - length
+    values = data[start].astype(np.uint32)
     for k in (1, 2, 3):
         longer = np.flatnonzero(length > k)
-        ranks[longer] |= octets[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return ranks
+        values[longer] |= data[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+    return values
 
 
-def id_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(token, n) over all documents of (id, text)."""
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = byte_level(tokenizer_path), np.zeros(1, np.int64)
+
+def _octets(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+
+
+def draft(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> DataFrame:
+    """(id, text) to draft rows, coded by the ids themselves and with the end id."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = byte_level(tokenizer_path)
         for batch in batches:
             for part in blocks(batch):
-                ids = np.concatenate([*tokens(part.column("text")), np.full(part.num_rows, END_ID, np.uint32)])
-                got = np.bincount(ids)
+                values, cut = tokens.block(part.column("text"))
+                values, cut = np.insert(values, cut[1:], END_ID), cut + np.arange(len(cut))
+                control, data, at, to = pack(values, cut)
+                doc = part.column("id")
+                shard = np.searchsorted(shared.value, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc, pa.array(np.diff(cut)), _binary(control, at), _binary(data, to)], ["shard", "id", "n", "control", "data"])
+
+    return docs.mapInArrow(encode, DRAFT_SCHEMA)
+
+
+def id_counts(coded: DataFrame) -> DataFrame:
+    """(token, n) over all documents of a draft."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for part in blocks(batch, "data"):
+                got = np.bincount(unpack(_octets(part.column("control")), _octets(part.column("data")), part.column("n").to_numpy()))
                 if len(got) > len(total):
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
-    return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return coded.select("n", "control", "data").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
@@ -94,7 +124,7 @@ def rank_table(counts: DataFrame) -> np.ndarray:
 def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
     """Ids at which new shards begin, so that all shards get about as many documents; a bounded list."""
     size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = min(int((size or 0) // shard_bytes) + 1, max(n, 1), 200_000)
+    shards = min(int((size or 0) // shard_bytes) + 1, max(n, 1), MAX_SHARDS)
     if shards == 1:
         return []
     parts = [k / shards for k in range(1, shards)]
@@ -103,42 +133,31 @@ def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
-    """Write ``path``/ranks and ``path``/shards."""
+    """Write ``path``/ranks and ``path``/shards; ``path``/draft holds the ids coded as they are meanwhile."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = rank_table(id_counts(texts, tokenizer_path))
+    draft(texts, tokenizer_path, shard_bounds(texts, shard_bytes)).write.parquet(f"{path}/draft")
+    coded = spark.read.schema(DRAFT_SCHEMA).parquet(f"{path}/draft")
+    ids = rank_table(id_counts(coded))
     spark.createDataFrame(pa.table({"rank": np.arange(len(ids), dtype=np.int64), "token": ids.astype(np.int64)})).write.parquet(f"{path}/ranks")
     ranks = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast((ranks, np.array(shard_bounds(texts, shard_bytes), np.int64)))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = byte_level(tokenizer_path)
-        ranks, bounds = shared.value
-        end = np.array([END_ID], np.uint32)
-        for batch in batches:
-            for part in blocks(batch):
-                packed = [(*pack(ranks[np.concatenate([ids, end])]), len(ids) + 1) for ids in tokens(part.column("text"))]
-                doc = part.column("id")
-                shard = np.searchsorted(bounds, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-                control, data, n = zip(*packed, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "id", "n", "control", "data"])
-
-    coded = texts.mapInArrow(encode, "shard int, id long, n long, control binary, data binary")
-    coded.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(_gather, SHARD_SCHEMA).write.parquet(f"{path}/shards")
+    shared = spark.sparkContext.broadcast(ranks)
+    coded.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(lambda b: _gather(b, shared.value), SHARD_SCHEMA).write.parquet(f"{path}/shards")
+    drop_dir(spark, f"{path}/draft")
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of shard and id to one row a shard."""
+def _gather(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Draft rows in order of shard and id to one row a shard."""
     held: list[pa.RecordBatch] = []
 
     def shard_row() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         n = t.column("n").to_numpy()
-        ranks = np.concatenate([unpack(c, d, k) for c, d, k in zip(t.column("control").to_pylist(), t.column("data").to_pylist(), n.tolist(), strict=True)])
-        control, data = pack(ranks)
+        values = ranks[unpack(_octets(t.column("control")), _octets(t.column("data")), n)]
+        control, data, _, _ = pack(values, np.array([0, len(values)]))
         doc = t.column("id")
-        row = {"shard": t.column("shard")[0].as_py(), "n_docs": len(n), "n_ids": int(n.sum()), "doc_ids": pc.fill_null(doc, 0).to_numpy().astype("<i8").tobytes(), "no_id": np.packbits(pc.is_null(doc).to_numpy()).tobytes(), "ends": np.cumsum(n).astype("<u8").tobytes(), "control": control, "data": data}
+        row = {"shard": t.column("shard")[0].as_py(), "n_docs": len(n), "n_ids": int(n.sum()), "doc_ids": pc.fill_null(doc, 0).to_numpy().astype("<i8").tobytes(), "no_id": np.packbits(pc.is_null(doc).to_numpy()).tobytes(), "ends": np.cumsum(n).astype("<u8").tobytes(), "control": control.tobytes(), "data": data.tobytes()}
         held.clear()
         return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "no_id", "ends", "control", "data"))]))
 
@@ -170,8 +189,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens = ids[unpack(row["control"], row["data"], row["n_ids"])].astype("<u4")
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                tokens = ids[unpack(np.frombuffer(row["control"], np.uint8), np.frombuffer(row["data"], np.uint8), np.array([row["n_ids"]]))].astype("<u4")
                 ends = np.frombuffer(row["ends"], "<u8").astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
