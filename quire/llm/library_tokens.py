@@ -11,30 +11,16 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-from quire.llm.wordmemo import WordMemo, ragged
+from quire.llm.wordmemo import Tokens, latin, ragged
 
-#: Blanks beyond ASCII: what splits at ASCII blanks alone can't be trusted next to these.
-WIDE_BLANKS = "\u0085   -     　"
 #: Pieces of units kept, and their longest; a fuller memo starts anew.
 MEMO_PIECES, MEMO_CHARS = 150_000, 40
 
 
-def latin(pattern: str) -> str:
-    """``pattern`` for Python's own matcher, where it only meets characters below U+0250."""
-    kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-    blanks = re.escape("".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0)))
-    inside = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{blanks}{kinds['L']}{kinds['N']}]")
-    return inside.replace("\\p{L}", f"[{kinds['L']}]").replace("\\p{N}", f"[{kinds['N']}]").replace("\\s", f"[{blanks}]").replace("\\S", f"[^{blanks}]")
-
-
 def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,7 +28,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class LibraryTokens:
+class LibraryTokens(Tokens):
     """Ids of texts under the tokenizer file at ``path``; ``pattern`` is its splitting pattern, if units may use it."""
 
     def __init__(self, path: str, gaps: bool, pattern: str | None = None):
@@ -54,14 +40,13 @@ class LibraryTokens:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             special = [re.escape(x["content"]) for x in json.load(f)["added_tokens"]]
-        self.whole = "|".join([*special, *([f"[{WIDE_BLANKS}]"] if gaps else [])])
         self.find = re.compile(latin(pattern)).findall if pattern else None
         self.pieces: dict[str, list[int]] = {}
         self.letters = byte_letters()
         self.model = self.tokenizer.model
-        self.memo = WordMemo(self._units, gaps)
+        super().__init__(gaps, special)
 
-    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.find is None:
             return ragged(self._encode([u.decode() for u in units]))
         out: list[list[int] | None] = []
@@ -87,29 +72,15 @@ class LibraryTokens:
         rest = iter(self._encode(slow))
         return ragged([next(rest) if x is None else x for x in out])
 
-    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def whole(self, text: str) -> list[int]:
+        return self._encode([text])[0]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
         for at in range(0, len(texts), 1024):
             out += (x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False))
         return out
 
-    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and where those of each text end (with a leading 0)."""
-        odd = pc.fill_null(pc.match_substring_regex(texts, self.whole), False).to_numpy(zero_copy_only=False)
-        values, cut = self.memo.look_up(pc.if_else(odd, None, texts) if odd.any() else texts).joined()
-        if odd.any():
-            each = [values[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            for k in np.flatnonzero(odd).tolist():
-                each[k] = np.array(self._encode([texts[k].as_py()])[0], np.uint32)
-            values, cut = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        return values, cut
-
-    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text; a null is an empty text."""
-        values, cut = self.block(texts)
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            yield values[a:b]
-
 
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> LibraryTokens:

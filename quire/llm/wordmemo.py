@@ -10,7 +10,9 @@ units that a memo holds, a given other unit is mistaken with a chance of about 1
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +26,8 @@ MEMO_UNITS = 2_000_000
 #: Results longer than this many numbers are not kept, so that memory is bounded.
 MEMO_RESULT = 64
 
+#: Blanks beyond ASCII: what splits at ASCII blanks alone can't be trusted next to these.
+WIDE_BLANKS = "\u0085   -     　"
 Function = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -132,3 +136,42 @@ def ragged(results: list) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, results), np.int64, len(results))
     flat = np.fromiter((x for r in results for x in r), np.uint32, int(lengths.sum()))
     return flat, lengths
+
+
+def latin(pattern: str) -> str:
+    """``pattern`` for Python's own matcher, where it only meets characters below U+0250."""
+    kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    blanks = re.escape("".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0)))
+    inside = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{blanks}{kinds['L']}{kinds['N']}]")
+    return inside.replace("\\p{L}", f"[{kinds['L']}]").replace("\\p{N}", f"[{kinds['N']}]").replace("\\s", f"[{blanks}]").replace("\\S", f"[^{blanks}]")
+
+
+class Tokens:
+    """Token ids of texts by units; subclasses say what units() and a whole() text give."""
+
+    def __init__(self, gaps: bool, special: list[str]):
+        self.apart = "|".join([*special, *([f"[{WIDE_BLANKS}]"] if gaps else [])])
+        self.memo = WordMemo(self.units, gaps)
+
+    def units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def whole(self, text: str) -> list[int]:
+        raise NotImplementedError
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where those of each text end (with a leading 0)."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.apart), False).to_numpy(zero_copy_only=False)
+        values, cut = self.memo.look_up(pc.if_else(odd, None, texts) if odd.any() else texts).joined()
+        if odd.any():
+            each = [values[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            for k in np.flatnonzero(odd).tolist():
+                each[k] = np.array(self.whole(texts[k].as_py()), np.uint32)
+            values, cut = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return values, cut
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; a null is an empty text."""
+        values, cut = self.block(texts)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield values[a:b]
