@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.byte_bpe import op9_byte_bpe
 from quire.llm.decontaminate import op4_decontaminate
+from quire.llm.language import op6_language_id
 from quire.llm.token_counts import op8_token_counts
 from quire.llm.token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op6_language_id": op6_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
