@@ -27,11 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
-from quire.llm.wordhash import blocks, window_hashes, window_starts, word_hashes, words
+from quire.llm.wordhash import BLOCK_BYTES, blocks, window_hashes, window_starts, word_hashes, words
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -145,7 +146,12 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
             at_first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
             later = same & ((doc != doc[at_first]) | (pos != pos[at_first]))
             h1[later] = (doc[later] * 1_000_003 + pos[later]) * np.int64(0x5851F42D4C957F2D)
-            return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(doc), pa.array(np.where(later, ~pos, pos))], ["h1", "h2", "id", "pos"])
+            h2[later] = 0
+            pos = np.where(later, ~pos, pos)
+            # In order of place again: neighbours in a shuffle block then share most of their bytes.
+            back = np.argsort(order)
+            tail = h2.astype(np.int64) << 32 | pos.astype(np.int64) & 0xFFFFFFFF
+            return pa.RecordBatch.from_arrays([pa.array(x[back]) for x in (h1, tail, doc)], ["h1", "tail", "id"])
 
         for batch in batches:
             for part in blocks(batch):
@@ -171,16 +177,30 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
         if held:
             yield passed_on()
 
-    runs = marked.mapInArrow(run, "h1 long, h2 int, id long, pos int")
+    # ``tail`` holds the hash's other half above the position, which takes a third less of the shuffle.
+    runs = marked.mapInArrow(run, "h1 long, tail long, id long").withColumns({"h2": F.shiftright("tail", 32), "pos": F.expr("cast(shiftright(shiftleft(tail, 32), 32) as int)")})
     place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", "pos"))
     return runs.withColumn("place", place).where("pos < 0 or place > 1").select("id", F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos")).alias("pos"))
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) with the text as zstandard bytes, for the shuffle of whole texts."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in blocks(batch):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([None if t is None else squeeze(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["id", "squeezed"])
+
+
+def _texts(part: pa.RecordBatch) -> list[bytes | None]:
+    restore = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else restore(t) for t in part.column("squeezed").to_pylist()]
+
+
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(id, text, starts): for each document the starts of its repeated runs, null where it has none."""
+    """(id, squeezed, starts): for each document the starts of its repeated runs, null where it has none."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     starts = repeated_starts(texts, window, filter_bytes).groupBy("id").agg(F.collect_set("pos").alias("starts"))
-    return texts.join(starts, "id", "left")
+    return texts.mapInArrow(_squeezed, "id long, squeezed binary").join(starts, "id", "left")
 
 
 def kept_words(text: bytes, starts: list[int] | None, window: int) -> tuple[int, list[bytes]]:
@@ -202,9 +222,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, "squeezed", BLOCK_BYTES // 4):
                 total, removed, texts = [], [], []
-                for text, starts in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("starts").to_pylist(), strict=True):
+                for text, starts in zip(_texts(part), part.column("starts").to_pylist(), strict=True):
                     n, kept = kept_words(text or b"", starts, window)
                     total.append(n)
                     removed.append(n - len(kept))
@@ -220,8 +240,8 @@ def report(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
-                rows = [kept_words(text or b"", starts, window) for text, starts in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("starts").to_pylist(), strict=True)]
+            for part in blocks(batch, "squeezed", BLOCK_BYTES // 4):
+                rows = [kept_words(text or b"", starts, window) for text, starts in zip(_texts(part), part.column("starts").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(k) for n, k in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for _, k in rows])], ["id", "n_words", "n_removed", "kept_sha256"])
 
     out = with_repeats(docs, window=window, filter_bytes=filter_bytes).mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
