@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.byte_bpe import op9_byte_bpe
 from quire.llm.decontaminate import op4_decontaminate
 from quire.llm.language import op6_language_id
+from quire.llm.ngram_join import op7_ngram_join
 from quire.llm.substrings import op5_substring_dedup
 from quire.llm.token_counts import op8_token_counts
 from quire.llm.token_files import op10_token_files
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op7_ngram_join": op7_ngram_join,
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
