@@ -6,8 +6,8 @@ link when their Jaccard similarity is at least 0.75.
 1. Documents of equal sets fall together under one representative: copies never meet each other again.
 2. A set keeps only its rare shingles' prefix: in an order by frequency and hash that all sets share, two
    linked sets have a shingle in common among the first |x| - ceil(0.75 |x|) + 1 of each.  Frequencies
-   are counted among sets that can link at all: those of which three quarters occur in other sets too.
-   A first look at 35 hundredths of each set, of which ten must recur, leaves out most of the others.
+   are counted among the sets that a first look leaves: of the least 35 hundredths of a set's hashes, ten
+   hundredths and one at least must occur in other sets, or the set links with none.
 3. Sets of identical prefix and size form a group.  Groups, not documents, meet in the lists of prefix
    shingles, and pairs of groups pass the size filter first.
 4. Candidate pairs are verified with the whole sets.  A list doesn't emit all its pairs: in each round a
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.bitset import filter_bytes_for, in_filter, make_filter
 from quire.llm.common import stored, table
 from quire.llm.wordhash import blocks, mix, shingle_sets
 
@@ -36,6 +37,10 @@ WIDTH = 5
 THRESHOLD = 75
 #: Hundredths of a set that are looked at first beyond its prefix.
 EXTRA = 10
+#: Frequencies from which on a shingle belongs to a further class of the order.
+CLASSES = (2, 4, 16, 64, 256, 1024)
+#: Hashes that a task holds before it passes them on.
+HELD = 2_000_000
 NO_ID = -(1 << 63)
 SETS = "id long, n long, digest binary, shingles binary"
 
@@ -47,16 +52,16 @@ def _digest(x: np.ndarray) -> bytes:
     return ((both[0] ^ both[1] << 17) & ((1 << 128) - 1)).to_bytes(16, "little")
 
 
-def shingle_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, text) to (id, n, digest, shingles): each document's set as little-endian 64-bit hashes."""
+def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, text) to (id, n, digest): the size of each document's set and 128 bits that stand for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary())], ["id", "n", "digest"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(run, "id long, n long, digest binary")
 
 
 def prefix_length(n: np.ndarray | int, threshold: int, extra: int = 0) -> np.ndarray | int:
@@ -64,64 +69,93 @@ def prefix_length(n: np.ndarray | int, threshold: int, extra: int = 0) -> np.nda
     return np.minimum(n, n - -(-threshold * n // 100) + -(-extra * n // 100) + 1)
 
 
-def first_look(sets: DataFrame, threshold: int, extra: int) -> DataFrame:
-    """(h, id, need): the least hashes of each set, of which ``need`` must occur elsewhere."""
+def repeated_heads(docs: DataFrame, width: int, threshold: int, extra: int) -> DataFrame:
+    """(h): hashes that more than one set has in its first look; a task counts equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "shingles"):
-                n = part.column("n").to_numpy()
-                size = prefix_length(n, threshold, extra)
-                heads = [np.frombuffer(x, np.int64, k) for x, k in zip(part.column("shingles").to_pylist(), size.tolist(), strict=True)]
-                need = size - prefix_length(n, threshold) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.repeat(part.column("id").to_numpy(), size)), pa.array(np.repeat(need, size).astype(np.int32))], ["h", "id", "need"])
-
-    return sets.where("n > 0").select("id", "n", "shingles").mapInArrow(run, "h long, id long, need int")
+        held: list[np.ndarray] = []
+        seen: set[bytes] = set()
 
+        def passed_on() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(h, np.minimum(n, 2)))], ["h"])
 
-def all_shingles(sets: DataFrame) -> DataFrame:
-    """(h, id) of every set."""
+        for batch in batches:
+            for part in blocks(batch):
+                for x in shingle_sets(part.column("text"), width):
+                    if len(x) and (key := _digest(x)) not in seen:
+                        seen.add(key)
+                        held.append(x[: prefix_length(len(x), threshold, extra)])
+                if sum(map(len, held)) > HELD:
+                    yield passed_on()
+        if held:
+            yield passed_on()
+
+    return docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h")
+
+
+def able_to_link(docs: DataFrame, width: int, threshold: int, extra: int) -> DataFrame:
+    """(id, n, digest, shingles): distinct sets that the first look doesn't rule out, under their least id."""
+    heads = repeated_heads(docs, width, threshold, extra).persist()
+    try:
+        cells = make_filter(heads, filter_bytes_for(heads.count()))
+    finally:
+        heads.unpersist()
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "shingles"):
-                rows = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.repeat(part.column("id").to_numpy(), [len(x) for x in rows]))], ["h", "id"])
+            own: dict[bytes, tuple[int, np.ndarray]] = {}
+            for part in blocks(batch):
+                for doc, x in zip(part.column("id").to_pylist(), shingle_sets(part.column("text"), width), strict=True):
+                    size = int(prefix_length(len(x), threshold, extra))
+                    if len(x) and in_filter(shared.value, x[:size]).sum() >= max(1, size - prefix_length(len(x), threshold)):
+                        key = _digest(x)
+                        if key not in own or doc < own[key][0]:
+                            own[key] = doc, x
+            rows = list(own.items())
+            yield pa.RecordBatch.from_arrays([pa.array([d for _, (d, _) in rows], pa.int64()), pa.array([len(x) for _, (_, x) in rows], pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([x.tobytes() for _, (_, x) in rows], pa.binary())], ["id", "n", "digest", "shingles"])
 
-    return sets.select("id", "shingles").mapInArrow(run, "h long, id long")
+    found = docs.mapInArrow(run, SETS)
+    least = Window.partitionBy("digest", "n").orderBy("id")
+    return found.withColumn("k", F.row_number().over(least)).where("k = 1").drop("k")
 
 
-def able_to_link(sets: DataFrame, threshold: int, extra: int) -> DataFrame:
-    """(id) of the sets whose first look doesn't rule out any link."""
-    looks = first_look(sets, threshold, extra)
-    shared = looks.groupBy("h").count().where("count > 1").select("h")
-    return looks.join(shared, "h", "left_semi").groupBy("id").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("id")
+def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, n, shingles, prefix array<long>): the rarest shingles of each set, those that occur once left out.
 
+    The order is by class of frequency, then by hash; a class is a filter of the shingles that are as
+    frequent, and what a filter finds by mistake only moves a shingle for all sets alike.  Sets of which
+    fewer than ``threshold`` hundredths occur in other sets are dropped: none can link."""
 
-def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, n, prefix array<long>): the rarest shingles of each set that can link, those that occur once left out.
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "shingles"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64))], ["h"])
 
-    Sets of which fewer than ``threshold`` hundredths occur in other sets are dropped: none can link."""
-    occurrences = all_shingles(sets)
-    counts = occurrences.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = occurrences.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("df", "h")).alias("shared"))
+    counts = sets.select("shingles").mapInArrow(explode, "h long").groupBy("h").agg(F.count("*").alias("df")).where("df > 1").persist()
+    try:
+        sizes = counts.agg(*(F.count_if(F.col("df") >= c).alias(f"c{c}") for c in CLASSES)).first()
+        filters = [make_filter(counts.where(F.col("df") >= c).select("h"), filter_bytes_for(sizes[f"c{c}"])) for c in CLASSES]
+    finally:
+        counts.unpersist()
+    shared = sets.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "shingles"):
-                n = part.column("n").to_numpy()
-                shared = part.column("shared")
-                df, h, cut = shared.values.field("df").to_numpy(), shared.values.field("h").to_numpy(), shared.offsets.to_numpy()
                 rows: list[np.ndarray | None] = []
-                for size, a, b in zip(n.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                for x in (np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()):
+                    level = np.sum([in_filter(f, x) for f in shared.value], axis=0)
                     # Shingles of this set alone come first in the order; the prefix goes on with the rarest shared ones.
-                    left = prefix_length(size, threshold) - (size - (b - a))
-                    rows.append(h[a:b][np.lexsort((h[a:b], df[a:b]))[:left]] if left > 0 else None)
-                keep = np.array([r is not None for r in rows])
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(keep)), pa.array(n[keep]), pa.array([r for r in rows if r is not None], pa.list_(pa.int64()))], ["id", "n", "prefix"])
+                    left = int(prefix_length(len(x), threshold)) - int((level == 0).sum())
+                    order = np.argsort(level, kind="stable")
+                    rows.append(x[order[level[order] > 0][:left]] if left > 0 else None)
+                keep = pa.array([r is not None for r in rows])
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(keep), part.column("n").filter(keep), part.column("shingles").filter(keep), pa.array([r for r in rows if r is not None], pa.list_(pa.int64()))], ["id", "n", "shingles", "prefix"])
 
-    return sets.select("id", "n", "shingles").join(ranked, "id").mapInArrow(run, "id long, n long, prefix array<long>")
+    return sets.select("id", "n", "shingles").mapInArrow(run, "id long, n long, shingles binary, prefix array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -164,47 +198,42 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def links(sets: DataFrame, threshold: int = THRESHOLD, extra: int = EXTRA) -> tuple[DataFrame, DataFrame]:
-    """Components (id, component) of the distinct sets that have links, and the groups' prefixes.
-
-    ``sets`` holds one row a distinct set."""
-    able = stored(sets.where("n > 0").join(able_to_link(sets, threshold, extra), "id", "left_semi"), "able")
-    prefix = prefixes(able, threshold)
-    # Groups of identical prefix and size, under the least id; members are compared within the group first.
+def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, component) of the distinct sets that may have links."""
+    close = stored(prefixes(sets, threshold), "close")
     key = F.xxhash64("n", "prefix")
-    prefix = stored(prefix.withColumn("first", F.min("id").over(Window.partitionBy(key, "n"))), "prefixes")
-    same_group = prefix.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    lists = stored(prefix.select("id", "n", F.explode("prefix").alias("h")), "lists")
-    found = stored(verified(same_group, able, threshold), "edges")
-    tried = same_group
+    # Groups of identical prefix and size, under the least id: their members are compared with that one first.
+    lists = stored(close.select("id", "n", "prefix", F.min("id").over(Window.partitionBy(key, "n")).alias("first")), "groups")
+    tried = lists.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    nodes = close.select("id")
+    lists = stored(lists.select("id", "n", F.explode("prefix").alias("h")), "lists")
+    found = stored(verified(tried, close, threshold), "edges")
     while True:
-        comp = components(prefix.select("id"), found)
+        comp = components(nodes, found)
         # What is left to compare: lists whose members are of several components.
         rows = lists.join(comp, "id")
         open_lists = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
         rows = stored(rows.join(open_lists, "h", "left_semi"), "open")
         if rows.isEmpty():
-            return comp, prefix
+            return comp
         leader = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "component"), F.struct(F.xxhash64("id"), F.col("id"))).alias("lead"))
         met = rows.join(leader, "h").where("component <> lead.component").where(f"100 * least(n, lead.n) >= {threshold} * greatest(n, lead.n)")
         pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(found.union(verified(pairs, able, threshold)), "edges")
+        found = stored(found.union(verified(pairs, close, threshold)), "edges")
         tried = stored(tried.union(pairs), "tried")
         # The leader has met all that differ from it: it leaves the list.
         lists = stored(rows.join(leader.select("h", F.col("lead.id").alias("id")), ["h", "id"], "left_anti").select("id", "n", "h"), "lists")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(shingle_table(texts, width), "shingles")
-    # One row for each distinct set: the least id that has it.
-    first = sets.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    distinct = sets.join(first.select(F.col("rep").alias("id"), "digest", "n"), ["id", "digest", "n"], "left_semi").dropDuplicates(["id", "digest"])
-    comp, _ = links(distinct, threshold)
-    reps = first.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    return sets.select("id", "n", "digest").join(reps, ["digest", "n"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"))
+    keys = stored(set_keys(texts, width), "keys")
+    comp = links(stored(able_to_link(texts, width, threshold, extra), "able"), threshold)
+    first = keys.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
+    reps = first.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
+    return keys.join(reps, ["digest", "n"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.bitset import in_filter, make_filter
 from quire.llm.common import table
 from quire.llm.wordhash import BLOCK_BYTES, blocks, window_hashes, window_starts, word_hashes, words
 
@@ -81,28 +82,6 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h")
 
 
-def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = hashes.astype(np.uint64)
-    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
-
-
-def make_filter(repeated: DataFrame, filter_bytes: int) -> np.ndarray:
-    """A bit set of ``filter_bytes`` (a power of two) with two bits a hash, made of 64-bit cells by Spark."""
-    bits = 8 * filter_bytes
-    places = F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1))
-    cells = repeated.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("cell"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(filter_bytes // 8, np.int64)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return out
-
-
-def _in_filter(cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    found = np.ones(len(hashes), bool)
-    for p in _bits(hashes, 64 * len(cells)):
-        found &= (cells[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)).astype(np.int64)) & 1 > 0
-    return found
-
-
 def anchor_places(docs: DataFrame, window: int) -> DataFrame:
     """(h, id, pos) of all anchors."""
 
@@ -159,7 +138,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
                 hashes = word_hashes(w)
                 if small:
                     at, h = _anchors(w.first, hashes, window)
-                    at = at[_in_filter(shared.value, h)]
+                    at = at[in_filter(shared.value, h)]
                 else:
                     marks = part.column("marks")
                     at = np.sort(w.first[:-1][pc.list_parent_indices(marks).to_numpy()] + pc.list_flatten(marks).to_numpy())
