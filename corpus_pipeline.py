@@ -1,14 +1,71 @@
-"""A corpus pipeline of five operators, each stage written and read again by its caller."""
+"""A corpus pipeline: language, near copies, repeated passages, benchmark passages, tokens.
+
+Each stage takes the documents that the one before it kept, as written and read again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import byte_bpe, decontaminate, language, ngram_join, substrings
+from quire.llm.common import stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; texts without a letter go."""
+    docs = docs.select(*COLUMNS)
+    return language.keep_identified(docs, language.fit(docs.where(~language.is_held_out())))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id."""
+    docs = docs.select(*COLUMNS)
+    kept = ngram_join.linked(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    kept = stored(kept.groupBy("id").count(), "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    # Rows that repeat an id are copies of each other for the join, so one of them stays.
+    return rows if kept.where("count > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one has; those of which nothing is left go."""
+    kept = substrings.dedup(docs).where("n_words = 0 or n_removed < n_words").select("id", "text")
+    rest = docs.select("doc_id", "lang", "source")
+    both = rest.join(kept, rest["doc_id"].eqNullSafe(kept["id"]))
+    return both.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages cover less than a twentieth."""
+    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), carry=("lang", "source", "n_chars"))
+    return found.where(~decontaminate.is_contaminated()).select(F.col("id").alias("doc_id"), "text", "carried.lang", "carried.source", "carried.n_chars")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what the tokens are and decode to."""
+    import public_tokenizers
+
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify),
+    ("near_copies", one_of_each),
+    ("repeats", without_repeats),
+    ("benchmark", uncontaminated),
+    ("tokens", encoded),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of a data directory."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -163,11 +163,13 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int
         yield block
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, text, n_words, spans, items) for every document: ``spans`` are starts and ends of hit words."""
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, n_words, spans, items, carried) for every document: ``spans`` are starts and ends of hit words.
+
+    ``carried`` is a struct of the columns named in ``carry``, and of the id."""
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    schema = "id " + out.schema["id"].dataType.simpleString() + ", text string, n_words long, spans array<int>, items array<string>"
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(id_col, *carry).alias("carried")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}).select("id", "text", "n_words", "spans", "items", "carried")
+    schema = out.schema
     for block in item_blocks(items, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
 
@@ -182,7 +184,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
                     n_words.append(len(words))
                     spans.append(_spans(flags))
                     found.append(sorted({*before, *hit}))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), batch.column("carried")], ["id", "text", "n_words", "spans", "items", "carried"])
 
         out = out.mapInArrow(scan, schema)
     return out

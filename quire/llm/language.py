@@ -152,6 +152,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text is in some language, with a missing ``lang_col`` filled in; columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared)
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                found, _ = scorer(pc.fill_null(part.column(text_col), ""))
+                found = pa.array(found, pa.string())
+                at = part.schema.get_field_index(lang_col)
+                yield part.set_column(at, lang_col, pc.coalesce(part.column(at), found)).filter(pc.not_equal(found, UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
 
