@@ -22,6 +22,7 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ EXTRA = 10
 CLASSES = (2, 4, 16, 64, 256, 1024)
 #: Hashes that a task holds before it passes them on.
 HELD = 2_000_000
+#: Pairs still to be compared, in all and for each row of the lists, up to which they are compared at once.
+MOST_PAIRS, PAIRS_A_ROW = 200_000, 3
 NO_ID = -(1 << 63)
 SETS = "id long, n long, digest binary, shingles binary"
 
@@ -123,7 +126,9 @@ def able_to_link(docs: DataFrame, width: int, threshold: int, extra: int) -> Dat
 
 
 def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, n, shingles, prefix array<long>): the rarest shingles of each set, those that occur once left out.
+    """(id, n, shingles, prefix, rest): the rarest shingles of each set, those that occur once left out.
+
+    ``rest`` is how many shared shingles the set has from each one of the prefix on, that one included.
 
     The order is by class of frequency, then by hash; a class is a filter of the shingles that are as
     frequent, and what a filter finds by mistake only moves a shingle for all sets alike.  Sets of which
@@ -146,16 +151,20 @@ def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "shingles"):
                 rows: list[np.ndarray | None] = []
+                rest: list[np.ndarray] = []
                 for x in (np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()):
                     level = np.sum([in_filter(f, x) for f in shared.value], axis=0)
                     # Shingles of this set alone come first in the order; the prefix goes on with the rarest shared ones.
                     left = int(prefix_length(len(x), threshold)) - int((level == 0).sum())
                     order = np.argsort(level, kind="stable")
-                    rows.append(x[order[level[order] > 0][:left]] if left > 0 else None)
+                    shared_ones = order[level[order] > 0]
+                    rows.append(x[shared_ones[:left]] if left > 0 else None)
+                    if left > 0:
+                        rest.append(len(shared_ones) - np.arange(len(rows[-1])))
                 keep = pa.array([r is not None for r in rows])
-                yield pa.RecordBatch.from_arrays([part.column("id").filter(keep), part.column("n").filter(keep), part.column("shingles").filter(keep), pa.array([r for r in rows if r is not None], pa.list_(pa.int64()))], ["id", "n", "shingles", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(keep), part.column("n").filter(keep), part.column("shingles").filter(keep), pa.array([r for r in rows if r is not None], pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))], ["id", "n", "shingles", "prefix", "rest"])
 
-    return sets.select("id", "n", "shingles").mapInArrow(run, "id long, n long, shingles binary, prefix array<long>")
+    return sets.select("id", "n", "shingles").mapInArrow(run, "id long, n long, shingles binary, prefix array<long>, rest array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -181,7 +190,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Alternating steps hang every node on the least neighbour of its own and of its neighbours, until
     nothing changes; the number of rounds grows with the logarithm of the longest chain."""
-    links = stored(edges.select("a", "b").where("a <> b"), "links")
+    links, state = stored(edges.select("a", "b").where("a <> b"), "links"), None
     while True:
         # Large star: each node's larger neighbours hang on its least neighbour or itself.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -190,10 +199,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours hang on the least of these.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        following = stored(small, "links")
-        changed = following.exceptAll(links).isEmpty() and links.exceptAll(following).isEmpty()
-        links = following
-        if changed:
+        links = stored(small, "links")
+        before, state = state, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if before == state:
             break
     return nodes.select("id").join(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
@@ -203,27 +211,38 @@ def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     close = stored(prefixes(sets, threshold), "close")
     key = F.xxhash64("n", "prefix")
     # Groups of identical prefix and size, under the least id: their members are compared with that one first.
-    lists = stored(close.select("id", "n", "prefix", F.min("id").over(Window.partitionBy(key, "n")).alias("first")), "groups")
+    lists = stored(close.select("id", "n", "prefix", "rest", F.min("id").over(Window.partitionBy(key, "n")).alias("first")), "groups")
     tried = lists.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
     nodes = close.select("id")
-    lists = stored(lists.select("id", "n", F.explode("prefix").alias("h")), "lists")
+    lists = stored(lists.select("id", "n", F.explode(F.arrays_zip("prefix", "rest")).alias("p")).select("id", "n", F.col("p.prefix").alias("h"), F.col("p.rest").alias("rest")), "lists")
     found = stored(verified(tried, close, threshold), "edges")
-    while True:
+    # Two sets may meet in a list if their sizes allow it, and if what they have from there on does: a
+    # linked pair does so at the first shingle that they share.
+    may_meet = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) AND {100 + threshold} * least(x.rest, y.rest) >= {threshold} * (x.n + y.n)"
+    least_pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    for turn in itertools.count():
         comp = components(nodes, found)
         # What is left to compare: lists whose members are of several components.
         rows = lists.join(comp, "id")
-        open_lists = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
-        rows = stored(rows.join(open_lists, "h", "left_semi"), "open")
-        if rows.isEmpty():
+        several = rows.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own")).where("k * k > own")
+        left = several.agg(F.count("*"), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        if not left[0]:
             return comp
-        leader = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "component"), F.struct(F.xxhash64("id"), F.col("id"))).alias("lead"))
-        met = rows.join(leader, "h").where("component <> lead.component").where(f"100 * least(n, lead.n) >= {threshold} * greatest(n, lead.n)")
-        pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        rows = stored(rows.join(several.select("h"), "h", "left_semi"), "open")
+        # Few pairs are compared all at once; of many, those with one leader of each list.
+        last = turn > 0 and left[1] <= MOST_PAIRS + PAIRS_A_ROW * left[2]
+        if last:
+            met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.h = y.h AND x.id < y.id AND {may_meet}"))
+        else:
+            leader = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "component", "rest"), F.struct(F.xxhash64("id"), F.col("id"))).alias("y"))
+            met = rows.alias("x").join(leader, "h").where(may_meet)
+        pairs = stored(met.select(*least_pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(found.union(verified(pairs, close, threshold)), "edges")
+        if last:
+            return components(nodes, found)
         tried = stored(tried.union(pairs), "tried")
         # The leader has met all that differ from it: it leaves the list.
-        lists = stored(rows.join(leader.select("h", F.col("lead.id").alias("id")), ["h", "id"], "left_anti").select("id", "n", "h"), "lists")
+        lists = stored(rows.join(leader.select("h", F.col("y.id").alias("id")), ["h", "id"], "left_anti").select("id", "n", "h", "rest"), "lists")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:
