@@ -42,8 +42,12 @@ EXTRA = 10
 CLASSES = (2, 4, 16, 64, 256, 1024)
 #: Hashes that a task holds before it passes them on.
 HELD = 2_000_000
-#: Pairs still to be compared, in all and for each row of the lists, up to which they are compared at once.
-MOST_PAIRS, PAIRS_A_ROW = 200_000, 3
+#: Turns in which neighbours of a list are compared, with the parts that a list is split into then, and
+#: turns in which members of its components are.
+CHAINS, SALTS, MEETINGS = 1, 4, 1
+#: Pairs that lists of several components still hold, in all and for each row, up to which all are looked at
+#: in one turn; sizes and rests rule nearly all of them out within the join.
+MOST_PAIRS, PAIRS_A_ROW = 20_000_000, 1_000
 NO_ID = -(1 << 63)
 SETS = "id long, n long, digest binary, shingles binary"
 
@@ -229,9 +233,19 @@ def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if not left[0]:
             return comp
         rows = stored(rows.join(several.select("h"), "h", "left_semi"), "open")
-        # Few pairs are compared all at once; of many, those with one leader of each list.
-        last = turn > 0 and left[1] <= MOST_PAIRS + PAIRS_A_ROW * left[2]
-        if last:
+        # First neighbours in a list, which have most in common, then members of its components; then few pairs are compared all at once,
+        # and of many those with one leader of each list.
+        last = turn >= CHAINS + MEETINGS and left[1] <= MOST_PAIRS + PAIRS_A_ROW * left[2]
+        if turn < CHAINS:
+            # In turns by other parts of the list, so that no task holds a whole hot one.
+            beside = F.lead(F.struct("id", "n", "component", "rest")).over(Window.partitionBy("h", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(SALTS))).orderBy(F.desc("rest"), "id"))
+            met = rows.select("id", "n", "component", "rest", beside.alias("y")).alias("x").where("y is not null").where(may_meet)
+        elif turn < CHAINS + MEETINGS:
+            # Then one member of each component in a list, in turns another one.
+            choice = F.struct("rest", "id") if turn == CHAINS else F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
+            chosen = rows.groupBy("h", "component").agg(F.max_by(F.struct("id", "n", "rest"), choice).alias("m")).select("h", "component", "m.*")
+            met = chosen.alias("x").join(chosen.alias("y"), F.expr(f"x.h = y.h AND x.id < y.id AND {may_meet}"))
+        elif last:
             met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.h = y.h AND x.id < y.id AND {may_meet}"))
         else:
             leader = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "component", "rest"), F.struct(F.xxhash64("id"), F.col("id"))).alias("y"))
@@ -241,6 +255,9 @@ def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if last:
             return components(nodes, found)
         tried = stored(tried.union(pairs), "tried")
+        if turn < CHAINS + MEETINGS:
+            lists = rows.select("id", "n", "h", "rest")
+            continue
         # The leader has met all that differ from it: it leaves the list.
         lists = stored(rows.join(leader.select("h", F.col("y.id").alias("id")), ["h", "id"], "left_anti").select("id", "n", "h", "rest"), "lists")
 
