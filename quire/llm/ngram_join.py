@@ -44,7 +44,7 @@ CLASSES = (2, 4, 16, 64, 256, 1024)
 HELD = 2_000_000
 #: Turns in which neighbours of a list are compared, with the parts that a list is split into then, and
 #: turns in which members of its components are.
-CHAINS, SALTS, MEETINGS = 1, 4, 1
+CHAINS, SALTS, MEETINGS = 1, 4, 2
 #: Pairs that lists of several components still hold, in all and for each row, up to which all are looked at
 #: in one turn; sizes and rests rule nearly all of them out within the join.
 MOST_PAIRS, PAIRS_A_ROW = 20_000_000, 1_000
