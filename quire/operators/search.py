@@ -93,6 +93,6 @@ def expand(hits: DataFrame, chunks: DataFrame, reach: int = 4000) -> DataFrame:
 def context(hits: DataFrame, chunks: DataFrame, n: int = TOP, most: int = 1600) -> DataFrame:
     """(q_id, context): the first ``n`` hits as blocks in order; a blank text uses up its place."""
     rows = hits.where(F.col("rank") <= n).join(chunks.select("chunk_id", "section", "text"), "chunk_id").where("trim(text) <> ''")
-    block = F.concat(F.when(F.col("section") <> "", F.concat(F.lit("Section: "), "section")).otherwise("Context"), F.lit("\n[chunk_id="), F.col("chunk_id").cast("string"), F.lit("]\n"), F.rtrim(F.substring("text", 1, most)), F.lit("\n"))
+    block = F.concat(F.when(F.col("section") != "", F.concat(F.lit("Section: "), "section")).otherwise("Context"), F.lit("\n[chunk_id="), F.col("chunk_id").cast("string"), F.lit("]\n"), F.rtrim(F.substring("text", 1, most)), F.lit("\n"))
     blocks = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
     return blocks.select("q_id", F.trim(F.array_join(F.col("b.block"), "\n")).alias("context"))
