@@ -198,7 +198,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 none = np.unpackbits(np.frombuffer(row["no_id"], np.uint8))[: len(ends)].astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=none), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(starts, "shard").select("n_ids", "doc_ids", "no_id", "ends", "control", "data", "start").mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long")
+    # One small row a shard, and at most MAX_SHARDS + 1 shards: a few megabytes, while the shards stay where they are.
+    return shards.join(F.broadcast(starts), "shard").select("n_ids", "doc_ids", "no_id", "ends", "control", "data", "start").mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
