@@ -74,6 +74,11 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
+def _forget_tokenizer() -> None:
+    """Worker processes are used again: what has no need of the tokenizer frees its memo first."""
+    byte_level.cache_clear()
+
+
 def _octets(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
@@ -100,6 +105,7 @@ def id_counts(coded: DataFrame) -> DataFrame:
     """(token, n) over all documents of a draft."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_tokenizer()
         total = np.zeros(1, np.int64)
         for batch in batches:
             for part in blocks(batch, "data"):
@@ -136,19 +142,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     """Write ``path``/ranks and ``path``/shards; ``path``/draft holds the ids coded as they are meanwhile."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    draft(texts, tokenizer_path, shard_bounds(texts, shard_bytes)).write.parquet(f"{path}/draft")
+    draft(texts, tokenizer_path, shard_bounds(texts, shard_bytes)).write.option("compression", "zstd").parquet(f"{path}/draft")
     coded = spark.read.schema(DRAFT_SCHEMA).parquet(f"{path}/draft")
     ids = rank_table(id_counts(coded))
     spark.createDataFrame(pa.table({"rank": np.arange(len(ids), dtype=np.int64), "token": ids.astype(np.int64)})).write.parquet(f"{path}/ranks")
     ranks = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
-    coded.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(lambda b: _gather(b, shared.value), SHARD_SCHEMA).write.parquet(f"{path}/shards")
+    coded.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(lambda b: _gather(b, shared.value), SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
     drop_dir(spark, f"{path}/draft")
 
 
 def _gather(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Draft rows in order of shard and id to one row a shard."""
+    _forget_tokenizer()
     held: list[pa.RecordBatch] = []
 
     def shard_row() -> pa.RecordBatch:
@@ -187,6 +194,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     starts = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("shard", (F.col("base") + F.col("before")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_tokenizer()
         ids = shared.value
         for batch in batches:
             for k in range(batch.num_rows):

@@ -1,6 +1,6 @@
 """Vectorised word and word-window hashes over the bytes of an Arrow string column.
 
-Everything here works on blocks of a few megabytes of UTF-8, so memory follows the block and the
+Everything here works on blocks of about a megabyte of UTF-8, so memory follows the block and the
 longest single text, never the partition.  Hashes depend on the bytes alone: every executor and every
 retry computes the same values.
 """
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: The six ASCII blanks that part words, and odd multipliers for polynomial hashes.
 BLANKS = b" \t\n\x0b\x0c\r"
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANKS)] = True
