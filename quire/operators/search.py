@@ -61,10 +61,23 @@ def merged(vectors: DataFrame, texts: DataFrame) -> DataFrame:
     return v.join(t, ["q_id", "chunk_id"], "full_outer").fillna(0.0, ["vec_score", "ft_score"])
 
 
-def rrf(vectors: DataFrame, texts: DataFrame, n: int = TOP) -> DataFrame:
+def keyword_hits(candidates: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q_id, chunk_id, hits): how many words of its question (q_id, words) each candidate's text has.
+
+    The candidates, a bounded number for each question, are broadcast; texts never move."""
+    wanted = candidates.select("q_id", "chunk_id").join(F.broadcast(asked), "q_id")
+    return chunks.select("chunk_id", "text").join(F.broadcast(wanted), "chunk_id").groupBy("q_id", "chunk_id").agg(F.max(hit_count(F.col("text"), F.col("words"))).alias("hits"))
+
+
+def rrf(vectors: DataFrame, texts: DataFrame, chunks: DataFrame | None = None, asked: DataFrame | None = None, n: int = TOP) -> DataFrame:
+    """Shares of both ranks, and HIT_WEIGHT for each word of ``asked`` (q_id, words) in a candidate's text.
+
+    Without ``asked``, as for a question without keywords, there are no hits."""
     share = lambda w, r: F.coalesce(F.lit(w) / (RRF_K + F.col(r)), F.lit(0.0))
-    score = F.round(share(VECTOR_WEIGHT, "vec_rank") + share(TEXT_WEIGHT, "ft_rank"), 9)
-    return top(merged(vectors, texts).select("q_id", "chunk_id", score.alias("score")), n, F.desc("score"), F.col("chunk_id"))
+    both = merged(vectors, texts)
+    both = both.withColumn("hits", F.lit(0)) if asked is None else both.join(keyword_hits(both, chunks, asked), ["q_id", "chunk_id"], "left").fillna(0, ["hits"])
+    score = F.round(share(VECTOR_WEIGHT, "vec_rank") + share(TEXT_WEIGHT, "ft_rank") + HIT_WEIGHT * F.col("hits"), 9)
+    return top(both.select("q_id", "chunk_id", score.alias("score")), n, F.desc("score"), F.col("chunk_id"))
 
 
 def additive(vectors: DataFrame, texts: DataFrame, n: int = TOP) -> DataFrame:

@@ -71,7 +71,7 @@ QUERIES = {
     "bm25_topk": lambda s, d: S.bm25(_chunks(s, d), _asked(s, d)).select("q_id", "chunk_id", "score", "rank"),
     "keyword_rank": lambda s, d: S.keyword_rank(_chunks(s, d), _questions(s, d)).select("q_id", "chunk_id", "score", "hit_count", "rank"),
     "vector_topk": lambda s, d: S.vector_top(*_vectors(s, d)).select("q_id", "chunk_id", "score", "rank"),
-    "rrf_fusion": lambda s, d: S.rrf(S.vector_top(*_vectors(s, d)), S.bm25(_chunks(s, d), _asked(s, d))).select("q_id", "chunk_id", "score", "rank"),
+    "rrf_fusion": lambda s, d: S.rrf(S.vector_top(*_vectors(s, d)), S.bm25(_chunks(s, d), _asked(s, d)), _chunks(s, d), _asked(s, d)).select("q_id", "chunk_id", "score", "rank"),
     "additive_fusion": lambda s, d: S.additive(S.vector_top(*_vectors(s, d)), S.bm25(_chunks(s, d), _asked(s, d))).select("q_id", "chunk_id", "score", "rank"),
     "minmax_fusion": lambda s, d: S.min_max_fusion(S.vector_top(*_vectors(s, d)), S.bm25(_chunks(s, d), _asked(s, d))).select("q_id", "chunk_id", "score", "rank"),
     "catalog_merge": catalog_merge,

@@ -61,6 +61,14 @@ def test_fusion(spark):
     assert [r.score for r in S.min_max(lists([("a", 2.0)])).collect()] == [1.0]
 
 
+def test_fusion_counts_keyword_hits(spark):
+    lists = lambda rows: spark.createDataFrame([(q, c, 0.5, k) for q, cs in rows.items() for k, c in enumerate(cs, 1)], "q_id int, chunk_id string, score double, rank int")
+    chunks = spark.createDataFrame([("a", "no word"), ("b", "Leave policy, leave"), ("c", "leaves"), ("d", None)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, ["leave", "policy"])], "q_id int, words array<string>")
+    got = [(r.q_id, r.chunk_id, r.score) for r in S.rrf(lists({1: ["a", "c", "x"], 2: ["b"]}), lists({1: ["d", "b"]}), chunks, asked).orderBy("q_id", "rank").collect()]
+    assert got == [(1, "b", round(0.8 / 62 + 0.3, 9)), (1, "a", round(1 / 61, 9)), (1, "c", round(1 / 62, 9)), (1, "x", round(1 / 63, 9)), (1, "d", round(0.8 / 61, 9)), (2, "b", round(1 / 61, 9))]
+
+
 def test_expand_and_context(spark):
     chunks = spark.createDataFrame([(k, "s" if k != 3 else "t", at, "T", "text") for k, at in enumerate([0, 4000, 4001, 0, None])], "chunk_id int, section_id string, start_char int, section string, text string")
     hits = spark.createDataFrame([(1, 0, 1)], "q_id int, chunk_id int, rank int")
