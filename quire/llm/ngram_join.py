@@ -60,15 +60,16 @@ def _digest(x: np.ndarray) -> bytes:
 
 
 def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, text) to (id, n, digest): the size of each document's set and 128 bits that stand for it."""
+    """``docs`` with (n, digest) in place of the text: the size of each set and 128 bits that stand for it."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary())], ["id", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary())], [*others, "n", "digest"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary")
+    return docs.mapInArrow(run, docs.select(*others).schema.add("n", "long").add("digest", "binary"))
 
 
 def prefix_length(n: np.ndarray | int, threshold: int, extra: int = 0) -> np.ndarray | int:
@@ -262,14 +263,29 @@ def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         lists = stored(rows.join(leader.select("h", F.col("y.id").alias("id")), ["h", "id"], "left_anti").select("id", "n", "h", "rest"), "lists")
 
 
+def linked_sets(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:
+    """(digest, n, cluster, least) of the sets of (id, text) that may have links: a number for each component, and its least id.
+
+    Sets are linked under numbers of their own, since several of them may share an id."""
+    able = stored(able_to_link(docs, width, threshold, extra).withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id()), "able")
+    found = able.select("id", "digest", "n", "doc").join(links(able, threshold).withColumnRenamed("component", "cluster"), "id")
+    return found.join(found.groupBy("cluster").agg(F.min("doc").alias("least")), "cluster").select("digest", "n", "cluster", "least")
+
+
+def clustered(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:
+    """(id, text, ...) to one row each with (n, digest, cluster, component) in place of the text.
+
+    ``component`` is the least id; ``cluster`` tells components apart that share one, and is null where only equal sets link."""
+    keys = stored(set_keys(docs, width), "keys")
+    first = keys.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
+    reps = first.join(linked_sets(docs.select("id", "text"), width, threshold, extra), ["digest", "n"], "left").select("digest", "n", "cluster", F.coalesce("least", "rep").alias("component"))
+    return keys.join(reps, ["digest", "n"], "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = stored(set_keys(texts, width), "keys")
-    comp = links(stored(able_to_link(texts, width, threshold, extra), "able"), threshold)
-    first = keys.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    reps = first.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    return keys.join(reps, ["digest", "n"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"))
+    return clustered(texts, width, threshold, extra).select(F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,25 @@ def test_ngram_join(docs, texts):
     assert got == ngram_join.brute_force(pairs(texts))
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark, texts):
+    """(id, text) rows: null and reused ids with different texts, near copies and equal rows among them."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    rows += [rows[9], rows[9], (3, texts[8]), (500, None), (500, "")]
+    return rows, spark.createDataFrame([(k, t, "en", f"s{i}", 0) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_ngram_join_of_shared_ids(shared_ids):
+    rows, docs = shared_ids
+    low = lambda k: ngram_join.NO_ID if k is None else k
+    root = ngram_join.brute_force([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root[i][1]] = min(low(k), least.get(root[i][1], low(k)))
+    want = sorted((low(k), root[i][0], least[root[i][1]]) for i, (k, _) in enumerate(rows))
+    assert sorted((low(r.id), r.n_shingles, low(r.component_id)) for r in ngram_join.linked(docs).collect()) == want
+
+
 def test_byte_bpe(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
