@@ -58,6 +58,23 @@ def test_substrings(docs, texts):
         assert got == substrings.brute_force(pairs(texts))
 
 
+def test_substrings_of_shared_ids(spark, shared_ids):
+    rows, docs = shared_ids
+    key = docs.select(F.coalesce("doc_id", F.lit(substrings.NO_ID)), F.xxhash64("text"), "text").distinct().collect()
+    number = {(k, t): i for i, (k, _, t) in enumerate(sorted(key, key=lambda r: r[:2]))}
+    known = substrings.brute_force([(i, t) for (_, t), i in number.items()])
+    own = [known[number[substrings.NO_ID if k is None else k, t]] for k, t in rows]
+    for most in (10_000, 0):
+        for size in (1 << 20, 64):
+            substrings.MOST_REUSED, before = most, substrings.MOST_REUSED
+            try:
+                got = substrings.dedup(docs, filter_bytes=size, carry=("source",)).collect()
+            finally:
+                substrings.MOST_REUSED = before
+            got = {int(r.carried.source[1:]): (r.carried.doc_id, r.n_words, r.n_removed, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in got}
+            assert got == {i: (k, *x) for i, ((k, _), x) in enumerate(zip(rows, own, strict=True))}
+
+
 def test_ngram_join(docs, texts):
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs).collect()}
     assert got == ngram_join.brute_force(pairs(texts))
