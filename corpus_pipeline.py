@@ -23,21 +23,26 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id."""
+    """Of each group of near copies the document of least id, and of its texts there the one of least digest.
+
+    Rows of equal id and text are one document; rows without id and words are no copies of anything."""
     docs = docs.select(*COLUMNS)
-    kept = ngram_join.linked(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select("id")
-    kept = stored(kept.groupBy("id").count(), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
-    # Rows that repeat an id are copies of each other for the join, so one of them stays.
-    return rows if kept.where("count > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(ngram_join.NO_ID)).alias("id"), F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("row"))
+    rest = docs.where(~bare)
+    rows = ngram_join.clustered(rest.select(*keys, F.col("text").cast("string").alias("text"))).groupBy("id", "row", "n", "digest", "cluster").count()
+    # Sets without links stand under themselves, and documents without words each for itself.
+    alone = F.when(F.col("n") == 0, F.struct("id", "row")), F.when(F.col("cluster").isNull(), F.struct("n", "digest"))
+    kept = stored(rows.groupBy("cluster", *alone).agg(F.min(F.struct("id", "row", "count")).alias("least")).select("least.*"), "kept")
+    found = rest.select("*", *keys).join(kept, ["id", "row"], "left_semi")
+    found = found if kept.where("count > 1").isEmpty() else found.dropDuplicates(["id", "row"])
+    return found.select(*COLUMNS).union(docs.where(bare))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; those of which nothing is left go."""
-    kept = substrings.dedup(docs).where("n_words = 0 or n_removed < n_words").select("id", "text")
-    rest = docs.select("doc_id", "lang", "source")
-    both = rest.join(kept, rest["doc_id"].eqNullSafe(kept["id"]))
-    return both.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    kept = substrings.dedup(docs, carry=("lang", "source")).where("n_words = 0 or n_removed < n_words")
+    return kept.select("carried.doc_id", "text", "carried.lang", "carried.source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quire.llm import byte_bpe, decontaminate, host_reputation, language, ngram_join, spot_signatures, substrings, token_counts, token_files, toxicity
 from quire.llm.common import new_dir
 from quire.llm.library_tokens import byte_level, word_level
@@ -99,6 +100,23 @@ def test_ngram_join_of_shared_ids(shared_ids):
     assert sorted((low(r.id), r.n_shingles, low(r.component_id)) for r in ngram_join.linked(docs).collect()) == want
 
 
+def test_pipeline_stages_of_shared_ids(spark, texts):
+    rows = [(None, texts[8], "en", "a"), (None, texts[11], "en", "b"), (None, texts[11], "en", "c"), (4, texts[11], "en", "d"), (5, texts[14], "de", "e"), (5, texts[17], "en", "f"), (6, texts[10], "en", "g"), (9, texts[13], "en", "h"), (7, texts[10], "en", "i"), (None, None, "en", "j"), (None, " ", "en", "k"), (8, "", "en", "l"), (8, "", "en", "m"), (6, texts[16], "en", "n")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    # Near copies, all of one cluster, are texts 10, 13 and 16; the least digest decides between two of the same id.
+    near = min((texts[10], texts[16]), key=lambda t: hashlib.md5(t.encode()).digest())
+    want = [(None, texts[8]), (None, texts[11]), (5, texts[14]), (5, texts[17]), (6, near), (None, None), (None, " "), (8, "")]
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got), key=order) == sorted(want, key=order)
+    assert next(r.lang for r in got if r.text == texts[14]) == "de"
+    distinct = [("a", texts[8], "x"), ("b", texts[11], "y"), ("c", texts[14], "z")]
+    docs = spark.createDataFrame([(None, t, lang, source, 0) for source, t, lang in distinct], docs.schema)
+    got = corpus_pipeline.without_repeats(spark, docs, "").collect()
+    assert sorted((r.source, r.lang) for r in got) == [("a", "x"), ("b", "y"), ("c", "z")] and all(r.doc_id is None for r in got)
+    assert {r.source: set((r.text or "").split()) <= set(t.split()) for r in got for s, t, _ in distinct if s == r.source} == {"a": True, "b": True, "c": True}
+
+
 def test_byte_bpe(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
