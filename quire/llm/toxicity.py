@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on what sets toxic text
-apart: words that follow many different words in toxic documents and few in ordinary ones, as often as
-they occur.  (Different left neighbours count, not occurrences, so that copies of a document weigh once.)
-The toxic compressor has both contents, the ordinary one the second alone, so a window's two compressed
-lengths differ only where toxic content shortens it.  A document's largest differences, how many windows
-reach the threshold, and their mean go into a logistic calibration.
+Two zstandard dictionaries are trained, on windows of ordinary and of toxic text, and a window's compressed
+lengths with the one and the other are compared.  Most of a toxic document is as ordinary as others, so
+its few toxic words hardly show there; a third compressor has the ordinary content and what sets toxic text
+apart word by word: words that follow many different words in toxic documents and few in ordinary ones.
+(Different left neighbours count, not occurrences, so that copies of a document weigh once.)  A document's
+largest differences, how many windows reach the threshold, and their mean, of both comparisons, go into a
+logistic calibration.
 
 Dictionaries and calibration are fitted on at most MAX_EACH labelled documents of either class, drawn by
 a hash of the id; scoring covers every text, whole, by windows of about WINDOW bytes.
@@ -34,7 +35,7 @@ MAX_EACH, MAX_WINDOWS, MAX_WORDS = 4_000, 60_000, 2_000
 #: times the share that it has in ordinary ones.
 LEAST_PART, LEAST, TIMES = 0.008, 4, 6
 WINDOW, OVERLAP = 64, 2
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32 << 10, 8 << 10, 5
+CONTENT_BYTES, LEVEL = 32 << 10, 5
 #: Bytes saved from which on a window counts.
 SAVED = 3
 
@@ -42,6 +43,7 @@ SAVED = 3
 class Model(NamedTuple):
     ordinary: bytes
     toxic: bytes
+    words: bytes
     weights: list[float]
     mean: list[float]
     scale: list[float]
@@ -63,9 +65,9 @@ def windows(text: str | None) -> list[bytes]:
 
 
 class Distance:
-    """Bytes that toxic content saves in a window's compressed length."""
+    """Bytes that toxic content, and toxic words beside the ordinary content, save in a window's compressed length."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, words: bytes):
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def of(content: bytes):
@@ -75,17 +77,21 @@ class Distance:
             d.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=parameters).compress
 
-        self.without, self.with_toxic = of(ordinary), of(toxic + ordinary)
+        self.ordinary, self.toxic, self.with_words = of(ordinary), of(toxic), of(words + ordinary)
 
     def features(self, text: str | None) -> list[float]:
-        without, with_toxic = self.without, self.with_toxic
-        d = np.array([len(without(w)) - len(with_toxic(w)) for w in windows(text)])
-        top = np.sort(d)[::-1][:3].tolist()
-        hits = d >= SAVED
-        return [*top, *[0] * (3 - len(top)), float(np.log1p(hits.sum())), float(hits.mean()), float(np.log1p(len(d))), float(np.clip(d, 0, None).mean())]
+        parts = windows(text)
+        plain = np.array([len(self.ordinary(w)) for w in parts])
+        out = [float(np.log1p(len(parts)))]
+        for compress in (self.with_words, self.toxic):
+            d = plain - np.array([len(compress(w)) for w in parts])
+            top = np.sort(d)[::-1][:3].tolist()
+            hits = d >= SAVED
+            out += [*top, *[0] * (3 - len(top)), float(np.log1p(hits.sum())), float(hits.mean()), float(np.clip(d, 0, None).mean()), float(d.mean())]
+        return out
 
 
-N_FEATURES = 7
+N_FEATURES = 15
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -119,7 +125,7 @@ def toxic_words(sample: DataFrame, n_toxic: int, n_ordinary: int) -> list[tuple[
     return [(r["word"], r["t"]) for r in rows]
 
 
-def _features(batches: Iterator[pa.RecordBatch], model: tuple[bytes, bytes]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _features(batches: Iterator[pa.RecordBatch], model: tuple[bytes, bytes, bytes]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     distance = Distance(*model)
     for batch in batches:
         for part in blocks(batch):
@@ -131,35 +137,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample, totals = labelled_sample(docs, labels, id_col, text_col, label_col)
     n_toxic, n_ordinary = totals.get(1, 0), totals.get(0, 0)
     share = n_toxic / max(n_toxic + n_ordinary, 1)
-    flat = Model(b"", b"", [float(np.log((share + 1e-6) / (1 - share + 1e-6)))] + [0.0] * N_FEATURES, [0.0] * N_FEATURES, [1.0] * N_FEATURES)
+    flat = Model(b"", b"", b"", [float(np.log((share + 1e-6) / (1 - share + 1e-6)))] + [0.0] * N_FEATURES, [0.0] * N_FEATURES, [1.0] * N_FEATURES)
     if not n_toxic or not n_ordinary:
         return flat
     sample = sample.persist()
     try:
         some_toxic, some_ordinary = min(n_toxic, MAX_EACH), min(n_ordinary, MAX_EACH)
         words = toxic_words(sample, some_toxic, some_ordinary)
-        # As often as the word has neighbours, so that the trainer ranks it by that.
-        toxic = _trained([f" {w} ".encode() for w, n in words for _ in range(min(n, 200))], TOXIC_BYTES)
+        # All of them as they are: a trainer would leave out most.
+        words = b" ".join([b"", *(w.encode() for w, _ in words), b""]) if words else b""
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column("text").to_pylist() for w in windows(t)], pa.binary())], ["w"])
 
-        plain = sample.where("toxic = 0").select("text").mapInArrow(cut, "w binary")
-        ordinary = _trained([bytes(r[0]) for r in plain.distinct().orderBy(F.xxhash64("w")).limit(MAX_WINDOWS).collect()], ORDINARY_BYTES)
+        def contents(part: DataFrame) -> tuple[bytes, bytes]:
+            """Ordinary and toxic content."""
+            cuts = [part.where(F.col("toxic") == label).select("text").mapInArrow(cut, "w binary") for label in (0, 1)]
+            return tuple(_trained([bytes(r[0]) for r in w.distinct().orderBy(F.xxhash64("w")).limit(MAX_WINDOWS).collect()], CONTENT_BYTES) for w in cuts)
 
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, x in _features(batches, (ordinary, toxic)):
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+        def measure(both: tuple[bytes, bytes]):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part, x in _features(batches, (*both, words)):
+                    yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
-        rows = sample.mapInArrow(measure, "toxic int, x array<double>").toPandas()
+            return run
+
+        # Each half is measured with contents of the other one: a window would shorten too well with its own text.
+        halves = [sample.where(F.pmod(F.xxhash64("text"), F.lit(2)) == k) for k in (0, 1)]
+        measured = [own.mapInArrow(measure(contents(other)), "toxic int, x array<double>") for own, other in (halves, halves[::-1])]
+        rows = measured[0].union(measured[1]).toPandas()
+        ordinary, toxic = contents(sample)
     finally:
         sample.unpersist()
     x, y = np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), rows["toxic"].to_numpy()
     if y.min(initial=1) == y.max(initial=0):
         return flat
     weight = np.where(y == 1, n_toxic / max((y == 1).sum(), 1), n_ordinary / max((y == 0).sum(), 1))
-    return Model(ordinary, toxic, *_logistic(x, y, weight / weight.mean()))
+    return Model(ordinary, toxic, words, *_logistic(x, y, weight / weight.mean()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float], list[float]]:
@@ -181,7 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         w, mean, scale = np.array(m.weights), np.array(m.mean), np.array(m.scale)
-        for part, x in _features(batches, (m.ordinary, m.toxic)):
+        for part, x in _features(batches, (m.ordinary, m.toxic, m.words)):
             p = 1 / (1 + np.exp(-np.clip(w[0] + (x - mean) / scale @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p)], ["id", "score"])
 

@@ -181,6 +181,28 @@ def test_toxicity(spark):
     assert got[900] == got[901] < 0.5
 
 
+def test_toxicity_of_phrases(spark):
+    rng = random.Random(6)
+    # Only the order of common words tells these documents apart.
+    phrases = [" ".join(rng.sample(WORDS, 8)) for _ in range(4)]
+    text = lambda bad: " ".join(rng.choice(phrases) if bad and k in (2, 5) else rng.choice(WORDS) for k in range(60))
+    rows = [(k, text(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, bad) for k, _, bad in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 300"), labels.where("doc_id < 300"))
+    got = {r.id: r.score for r in toxicity.score(docs, model).collect()}
+    assert sum((got[k] >= 0.5) == bool(bad) for k, _, bad in rows[300:]) >= 95
+
+
+def test_toxic_words_are_all_held(spark):
+    rng = random.Random(8)
+    bad = ["".join(rng.choice("bcdfgklmnp") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    plain = ["".join(rng.choice("rstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = [(k, " ".join([rng.choice(plain) + " " + rng.choice(bad if k % 2 else plain) for _ in range(60)]), k % 2) for k in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, x) for k, _, x in rows], "doc_id long, toxic int"))
+    assert all(f" {w} ".encode() in model.words for w in bad)
+
+
 def test_spot_signatures(spark, docs, texts):
     _, found = spot_signatures.near_pairs(docs, 0.75)
     sets = {r.id: r for r in docs.select(F.col("doc_id").alias("id"), spot_signatures.signatures(F.coalesce("text", F.lit(""))).alias("sigs")).withColumn("f", spot_signatures.fingerprint("sigs")).collect()}
