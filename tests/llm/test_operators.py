@@ -193,14 +193,31 @@ def test_toxicity_of_phrases(spark):
     assert sum((got[k] >= 0.5) == bool(bad) for k, _, bad in rows[300:]) >= 95
 
 
-def test_toxic_words_are_all_held(spark):
+def test_toxicity_of_rare_words(spark):
     rng = random.Random(8)
-    bad = ["".join(rng.choice("bcdfgklmnp") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
-    plain = ["".join(rng.choice("rstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
-    rows = [(k, " ".join([rng.choice(plain) + " " + rng.choice(bad if k % 2 else plain) for _ in range(60)]), k % 2) for k in range(200)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([(k, x) for k, _, x in rows], "doc_id long, toxic int"))
-    assert all(f" {w} ".encode() in model.words for w in bad)
+    # Toxic words share a stem, and nearly each of them occurs in a few documents only.
+    plain = lambda: "".join(rng.choice("rstvwxz") + rng.choice("aeiou") for _ in range(3))
+    rows = [(k, " ".join("glumpo" + plain()[:3] if k % 4 == 0 and j in (9, 30, 50) else plain() for j in range(60)), int(k % 4 == 0)) for k in range(800)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, bad) for k, _, bad in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 600"), labels.where("doc_id < 600"))
+    got = {r.id: r.score for r in toxicity.score(docs, model).collect()}
+    assert sum((got[k] >= 0.5) == bool(bad) for k, _, bad in rows[600:]) >= 190
+
+
+def test_toxicity_query_columns_and_edges(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(WORDS) for _ in range(40)) + (" scoundrel" * (k % 3 == 0)), k % 3 == 0) for k in range(120)]
+    rows += [(None, "w1 w2", False), (7, rows[7][1], False), (500, None, False), (501, "", False), (502, "w1 " * 60_000, False)]
+    spark.createDataFrame([(k, t, 1, "x") for k, t, _ in rows], "doc_id long, text string, score int, toxic string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(bad)) for k, _, bad in rows] + [(3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = toxicity.op1_toxicity(spark, str(tmp_path))
+    assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(out.select("doc_id", F.lit("w").alias("text")), none)
+    assert max(r.score for r in toxicity.score(spark.read.parquet(str(tmp_path / "documents.parquet")), model).collect()) < 1e-5
 
 
 def test_spot_signatures(spark, docs, texts):
