@@ -16,7 +16,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.wordhash import blocks
-from quire.llm.wordmemo import WIDE_BLANKS, Tokens, latin
+from quire.llm.wordmemo import WIDE_BLANKS, Tokens, kept, latin
 
 NO_PAIR = np.int64(1) << 62
 #: Pieces of up to so many bytes are merged side by side; ids fit in so many bits.
@@ -205,12 +204,11 @@ class ByteBpe(Tokens):
         return self.flat[at], np.concatenate([[0], ends])[cut]
 
 
-@lru_cache(maxsize=2)
 def bpe_of(path: str) -> ByteBpe:
-    """The encoder of a rank file; one a worker process."""
+    """The encoder of a rank file."""
     from public_tokenizers import PATTERN
 
-    return ByteBpe(read_ranks(path), PATTERN)
+    return kept(("ranks", path), lambda: ByteBpe(read_ranks(path), PATTERN))
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
+from quire.llm.wordmemo import forget
 
 WINDOW = 13
 #: Words of items in one automaton: it has at most twice as many states, some 300 bytes each.
@@ -174,6 +175,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
         shared = spark.sparkContext.broadcast(Automaton(block, window))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             automaton = shared.value
             for batch in batches:
                 n_words, spans, found = [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.wordhash import blocks
-from quire.llm.wordmemo import WordMemo
+from quire.llm.wordmemo import WordMemo, kept
 
 MAX_TRAINING = 8_000
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 60_000, 60_000, 200
@@ -125,16 +125,10 @@ class Scorer:
         return [self.model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, score, 0.0)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(shared: Broadcast) -> Scorer:
-    """The scorer of a broadcast model; a worker process keeps the latest."""
+    """The scorer of a broadcast model, which it holds, so that its id stays its own."""
     model = shared.value
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-    return _scorers[id(model)]
+    return kept(("language", id(model)), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

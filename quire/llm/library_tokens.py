@@ -11,11 +11,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from quire.llm.wordmemo import Tokens, latin, ragged
+from quire.llm.wordmemo import Tokens, kept, latin, ragged
 
 #: Pieces of units kept, and their longest; a fuller memo starts anew.
 MEMO_PIECES, MEMO_CHARS = 150_000, 40
@@ -82,15 +81,13 @@ class LibraryTokens(Tokens):
         return out
 
 
-@lru_cache(maxsize=2)
 def byte_level(path: str) -> LibraryTokens:
-    """For a file that keeps blanks and splits by public_tokenizers.PATTERN; one a worker process."""
+    """For a file that keeps blanks and splits by public_tokenizers.PATTERN."""
     from public_tokenizers import PATTERN
 
-    return LibraryTokens(path, True, PATTERN)
+    return kept(("byte level", path), lambda: LibraryTokens(path, True, PATTERN))
 
 
-@lru_cache(maxsize=2)
 def word_level(path: str) -> LibraryTokens:
     """For a file that drops blanks and splits at them."""
-    return LibraryTokens(path, False)
+    return kept(("word level", path), lambda: LibraryTokens(path, False))

@@ -8,11 +8,14 @@ link when their Jaccard similarity is at least 0.75.
    linked sets have a shingle in common among the first |x| - ceil(0.75 |x|) + 1 of each.  Frequencies
    are counted among the sets that a first look leaves: of the least 35 hundredths of a set's hashes, ten
    hundredths and one at least must occur in other sets, or the set links with none.
-3. Sets of identical prefix and size form a group.  Groups, not documents, meet in the lists of prefix
-   shingles, and pairs of groups pass the size filter first.
-4. Candidate pairs are verified with the whole sets.  A list doesn't emit all its pairs: in each round a
-   group is compared with one leader of each list, and what is linked already is not compared again; the
-   leader then leaves the list.  Rounds end when every list's groups are of one component or alone.
+3. Sets of identical prefix and size form a group.  Members are verified with the group's first.  Groups,
+   not documents, stand in the lists of prefix shingles.
+4. In TURNS turns each list is dealt into parts of about three groups, whose first members are verified with
+   each other, so that most of what links falls into components before any list is looked at as a whole.
+5. What can still link are members of different components.  Pairs of a list's groups go through filters:
+   component, size, what both have left from that shingle on, and bitmaps of their sets.  Only pairs with a
+   group outside of the list's main component are made, each once for all lists; surviving group pairs are
+   expanded to their members of those components, filtered by bitmap again and verified with the whole sets.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer
 than five words make one shingle of them all; rows that repeat an id are one document if their texts
@@ -22,7 +25,6 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from quire.llm.bitset import filter_bytes_for, in_filter, make_filter
 from quire.llm.common import stored, table
 from quire.llm.wordhash import blocks, mix, shingle_sets
+from quire.llm.wordmemo import forget
 
 WIDTH = 5
 THRESHOLD = 75
@@ -42,12 +45,11 @@ EXTRA = 10
 CLASSES = (2, 4, 16, 64, 256, 1024)
 #: Hashes that a task holds before it passes them on.
 HELD = 2_000_000
-#: Turns in which neighbours of a list are compared, with the parts that a list is split into then, and
-#: turns in which members of its components are.
-CHAINS, SALTS, MEETINGS = 1, 4, 2
-#: Pairs that lists of several components still hold, in all and for each row, up to which all are looked at
-#: in one turn; sizes and rests rule nearly all of them out within the join.
-MOST_PAIRS, PAIRS_A_ROW = 20_000_000, 1_000
+#: Turns in which a few groups of each list are compared at a time, before all that is left.
+TURNS = 3
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 4
+BITS = [f"b{k}" for k in range(BITMAP)]
 NO_ID = -(1 << 63)
 SETS = "id long, n long, digest binary, shingles binary"
 
@@ -64,6 +66,7 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in blocks(batch):
                 sets = shingle_sets(part.column("text"), width)
@@ -97,6 +100,8 @@ def repeated_heads(docs: DataFrame, width: int, threshold: int, extra: int) -> D
                         held.append(x[: prefix_length(len(x), threshold, extra)])
                 if sum(map(len, held)) > HELD:
                     yield passed_on()
+                if len(seen) > HELD:
+                    seen.clear()
         if held:
             yield passed_on()
 
@@ -125,15 +130,26 @@ def able_to_link(docs: DataFrame, width: int, threshold: int, extra: int) -> Dat
             rows = list(own.items())
             yield pa.RecordBatch.from_arrays([pa.array([d for _, (d, _) in rows], pa.int64()), pa.array([len(x) for _, (_, x) in rows], pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([x.tobytes() for _, (_, x) in rows], pa.binary())], ["id", "n", "digest", "shingles"])
 
-    found = docs.mapInArrow(run, SETS)
-    least = Window.partitionBy("digest", "n").orderBy("id")
-    return found.withColumn("k", F.row_number().over(least)).where("k = 1").drop("k")
+    # Partial aggregation leaves one row a task of a set that many documents have.
+    return docs.mapInArrow(run, SETS).groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles")).select("id", "n", "digest", "shingles")
+
+
+def _bitmap(x: np.ndarray) -> list[int]:
+    """BITMAP words of 64 bits: how often the set's hashes fall on each bit, modulo 2."""
+    counts = np.bincount((x >> 7) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(counts.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def may_differ(x: str, y: str, threshold: int) -> str:
+    """SQL: two sets may link by their bitmaps, which differ in no more bits than the sets in hashes; no bitmap rules out nothing."""
+    differ = " + ".join(f"bit_count({x}.b{k} ^ {y}.b{k})" for k in range(BITMAP))
+    return f"coalesce({100 + threshold} * ({differ}) <= {100 - threshold} * ({x}.n + {y}.n), true)"
 
 
 def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, n, shingles, prefix, rest): the rarest shingles of each set, those that occur once left out.
+    """(id, n, shingles, prefix, shared, b0...): the rarest shingles of each set, those that occur once left out.
 
-    ``rest`` is how many shared shingles the set has from each one of the prefix on, that one included.
+    ``prefix`` holds them in order, ``shared`` is how many of the set's shingles occur in other sets.
 
     The order is by class of frequency, then by hash; a class is a filter of the shingles that are as
     frequent, and what a filter finds by mistake only moves a shingle for all sets alike.  Sets of which
@@ -150,26 +166,29 @@ def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
         filters = [make_filter(counts.where(F.col("df") >= c).select("h"), filter_bytes_for(sizes[f"c{c}"])) for c in CLASSES]
     finally:
         counts.unpersist()
-    shared = sets.sparkSession.sparkContext.broadcast(filters)
+    held = sets.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "shingles"):
                 rows: list[np.ndarray | None] = []
-                rest: list[np.ndarray] = []
+                shared: list[int] = []
+                bits: list[list[int]] = []
                 for x in (np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()):
-                    level = np.sum([in_filter(f, x) for f in shared.value], axis=0)
+                    level = np.sum([in_filter(f, x) for f in held.value], axis=0)
                     # Shingles of this set alone come first in the order; the prefix goes on with the rarest shared ones.
                     left = int(prefix_length(len(x), threshold)) - int((level == 0).sum())
                     order = np.argsort(level, kind="stable")
-                    shared_ones = order[level[order] > 0]
-                    rows.append(x[shared_ones[:left]] if left > 0 else None)
+                    common = order[level[order] > 0]
+                    rows.append(x[common[:left]] if left > 0 else None)
                     if left > 0:
-                        rest.append(len(shared_ones) - np.arange(len(rows[-1])))
-                keep = pa.array([r is not None for r in rows])
-                yield pa.RecordBatch.from_arrays([part.column("id").filter(keep), part.column("n").filter(keep), part.column("shingles").filter(keep), pa.array([r for r in rows if r is not None], pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))], ["id", "n", "shingles", "prefix", "rest"])
+                        shared.append(len(common))
+                        bits.append(_bitmap(x))
+                keep = pa.array([r is not None for r in rows], pa.bool_())
+                words = np.array(bits, np.int64).reshape(-1, BITMAP)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(keep) for c in ("id", "n", "shingles")), pa.array([r for r in rows if r is not None], pa.list_(pa.int64())), pa.array(shared, pa.int64()), *(pa.array(words[:, k]) for k in range(BITMAP))], ["id", "n", "shingles", "prefix", "shared", *BITS])
 
-    return sets.select("id", "n", "shingles").mapInArrow(run, "id long, n long, shingles binary, prefix array<long>, rest array<long>")
+    return sets.select("id", "n", "shingles").mapInArrow(run, f"id long, n long, shingles binary, prefix array<long>, shared long, {', '.join(f'{b} long' for b in BITS)}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -190,12 +209,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that each of ``nodes`` reaches over ``edges`` (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that each end of ``edges`` (a, b) reaches over them.
 
     Alternating steps hang every node on the least neighbour of its own and of its neighbours, until
     nothing changes; the number of rounds grows with the logarithm of the longest chain."""
-    links, state = stored(edges.select("a", "b").where("a <> b"), "links"), None
+    links, state = stored(edges.select("a", "b").where("a <> b").distinct(), "links"), None
     while True:
         # Large star: each node's larger neighbours hang on its least neighbour or itself.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -206,61 +225,62 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         links = stored(small, "links")
         before, state = state, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == state:
-            break
-    return nodes.select("id").join(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+        if before == state or not state[0]:
+            return links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+
+
+def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp`` (id, component) with the components merged that ``edges`` (a, b) between ids connect."""
+    ends = edges.join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return stored(comp.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
+
+
+def in_several(lists: DataFrame) -> DataFrame:
+    """(h, k, main): the lists (h, g, component) whose groups are of several components, how many groups they have, and a frequent component."""
+    parts = lists.groupBy("h", "component").agg(F.count("*").alias("k"))
+    several = parts.groupBy("h").agg(F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"))
+    return several.where("parts > 1").select("h", "k", "main")
 
 
 def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, component) of the distinct sets that may have links."""
     close = stored(prefixes(sets, threshold), "close")
-    key = F.xxhash64("n", "prefix")
-    # Groups of identical prefix and size, under the least id: their members are compared with that one first.
-    lists = stored(close.select("id", "n", "prefix", "rest", F.min("id").over(Window.partitionBy(key, "n")).alias("first")), "groups")
-    tried = lists.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    nodes = close.select("id")
-    lists = stored(lists.select("id", "n", F.explode(F.arrays_zip("prefix", "rest")).alias("p")).select("id", "n", F.col("p.prefix").alias("h"), F.col("p.rest").alias("rest")), "lists")
-    found = stored(verified(tried, close, threshold), "edges")
-    # Two sets may meet in a list if their sizes allow it, and if what they have from there on does: a
+    # Groups of identical prefix and size, under the least id.
+    groups = close.groupBy("n", "prefix", "shared").agg(F.min("id").alias("g"))
+    members = stored(close.select("id", "n", "prefix", "shared", *BITS).join(groups, ["n", "prefix", "shared"]).select("id", "g", "n", *BITS), "members")
+    lists = groups.select("g", "n", "shared", F.posexplode("prefix").alias("place", "h"))
+    lists = stored(lists.select("h", "g", "n", (F.col("shared") - F.col("place")).alias("rest")), "lists")
+    comp = members.select("id", F.col("id").alias("component"))
+    comp = joined(comp, verified(members.where("g <> id").select(F.col("g").alias("a"), F.col("id").alias("b")), close, threshold))
+    # Two groups may meet in a list if their sizes allow it, and if what their sets have from there on does: a
     # linked pair does so at the first shingle that they share.
-    may_meet = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) AND {100 + threshold} * least(x.rest, y.rest) >= {threshold} * (x.n + y.n)"
-    least_pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    for turn in itertools.count():
-        comp = components(nodes, found)
-        # What is left to compare: lists whose members are of several components.
-        rows = lists.join(comp, "id")
-        several = rows.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own")).where("k * k > own")
-        left = several.agg(F.count("*"), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if not left[0]:
-            return comp
-        rows = stored(rows.join(several.select("h"), "h", "left_semi"), "open")
-        # First neighbours in a list, which have most in common, then members of its components; then few pairs are compared all at once,
-        # and of many those with one leader of each list.
-        last = turn >= CHAINS + MEETINGS and left[1] <= MOST_PAIRS + PAIRS_A_ROW * left[2]
-        if turn < CHAINS:
-            # In turns by other parts of the list, so that no task holds a whole hot one.
-            beside = F.lead(F.struct("id", "n", "component", "rest")).over(Window.partitionBy("h", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(SALTS))).orderBy(F.desc("rest"), "id"))
-            met = rows.select("id", "n", "component", "rest", beside.alias("y")).alias("x").where("y is not null").where(may_meet)
-        elif turn < CHAINS + MEETINGS:
-            # Then one member of each component in a list, in turns another one.
-            choice = F.struct("rest", "id") if turn == CHAINS else F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
-            chosen = rows.groupBy("h", "component").agg(F.max_by(F.struct("id", "n", "rest"), choice).alias("m")).select("h", "component", "m.*")
-            met = chosen.alias("x").join(chosen.alias("y"), F.expr(f"x.h = y.h AND x.id < y.id AND {may_meet}"))
-        elif last:
-            met = rows.alias("x").join(rows.alias("y"), F.expr(f"x.h = y.h AND x.id < y.id AND {may_meet}"))
-        else:
-            leader = rows.groupBy("h").agg(F.min_by(F.struct("id", "n", "component", "rest"), F.struct(F.xxhash64("id"), F.col("id"))).alias("y"))
-            met = rows.alias("x").join(leader, "h").where(may_meet)
-        pairs = stored(met.select(*least_pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(found.union(verified(pairs, close, threshold)), "edges")
-        if last:
-            return components(nodes, found)
-        tried = stored(tried.union(pairs), "tried")
-        if turn < CHAINS + MEETINGS:
-            lists = rows.select("id", "n", "h", "rest")
-            continue
-        # The leader has met all that differ from it: it leaves the list.
-        lists = stored(rows.join(leader.select("h", F.col("y.id").alias("id")), ["h", "id"], "left_anti").select("id", "n", "h", "rest"), "lists")
+    may_meet = f"100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) AND {100 + threshold} * least(x.rest, y.rest) >= {threshold} * (x.n + y.n)"
+    open_lists = lists
+    for turn in range(TURNS):
+        # A few groups of a list at a time, dealt anew in each turn, each with the next two there, by their first members.
+        rows = open_lists.join(comp.withColumnRenamed("id", "g"), "g")
+        rows = stored(rows.join(in_several(rows), "h"), "open")
+        few = Window.partitionBy("h", F.pmod(F.xxhash64("g", "h", F.lit(turn)), F.ceil(F.col("k") / 3))).orderBy("g")
+        one = F.struct("g", "n", "rest", "component")
+        met = rows.select("g", "n", "rest", "component", F.array_compact(F.array(F.lead(one, 1).over(few), F.lead(one, 2).over(few))).alias("next"))
+        met = met.select("g", "n", "rest", "component", F.explode("next").alias("y")).alias("x").where(f"x.component <> y.component AND {may_meet}")
+        comp = joined(comp, verified(met.select(F.col("g").alias("a"), F.col("y.g").alias("b")).distinct(), close, threshold))
+        open_lists = rows.select("h", "g", "n", "rest")
+    # What may still link are members of different components: each group stands once for each component that it has members of.
+    kinds = members.join(comp, "id").groupBy("g", "component").agg(F.count("*").alias("size"), *(F.min(b).alias(b) for b in BITS))
+    kinds = kinds.select("g", "component", *(F.when(F.col("size") == 1, F.col(b)).alias(b) for b in BITS))
+    rows = lists.join(kinds, "g")
+    rows = stored(rows.join(in_several(rows).drop("k"), "h"), "rows")
+    # One of a pair at least is not of the list's main component; of two such, the one of the lesser component comes first.
+    left = rows.where("component <> main").alias("x")
+    met = left.join(rows.alias("y"), F.expr(f"x.h = y.h AND x.component <> y.component AND (y.component = y.main OR x.component < y.component) AND {may_meet} AND {may_differ('x', 'y', threshold)}"))
+    kinds_met = stored(met.select(F.col("x.g").alias("g"), F.col("x.component").alias("component"), F.col("y.g").alias("other_g"), F.col("y.component").alias("other_component")).distinct(), "met")
+    # Group pairs to member pairs, which their bitmaps thin out once more.
+    one = members.join(comp, "id").alias("x")
+    two = members.join(comp, "id").select(F.col("id"), F.col("g").alias("other_g"), F.col("component").alias("other_component"), "n", *BITS).alias("y")
+    pairs = kinds_met.join(one, ["g", "component"]).select("other_g", "other_component", F.struct("id", "n", *BITS).alias("x")).join(two, ["other_g", "other_component"]).where(may_differ("x", "y", threshold))
+    return joined(comp, verified(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), close, threshold))
 
 
 def linked_sets(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from quire.llm.bitset import in_filter, make_filter
 from quire.llm.common import table
 from quire.llm.wordhash import BLOCK_BYTES, blocks, window_hashes, window_starts, word_hashes, words
+from quire.llm.wordmemo import forget
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -84,6 +85,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     """(h): hashes of anchors that occur more than once in (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
 
         def passed_on() -> pa.RecordBatch:
@@ -174,7 +176,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
                 start = start[seen[np.minimum(start + PERIOD, len(hashes))] > seen[start]]
                 owner, pos = _positions(w.first, start)
                 doc = [part.column(k).to_numpy(zero_copy_only=False)[owner].astype(np.int64) for k in keys]
-                held.append((window_hashes(hashes, start, window, 0).view(np.int64), (window_hashes(hashes, start, window, 1) >> np.uint64(33)).astype(np.int32), pos.astype(np.int32), *doc))
+                others = word_hashes(w, way=1) if len(start) else hashes
+                held.append((window_hashes(hashes, start, window, 0).view(np.int64), (window_hashes(others, start, window, 1) >> np.uint64(33)).astype(np.int32), pos.astype(np.int32), *doc))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield passed_on()
         if held:

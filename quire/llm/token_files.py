@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import drop_dir, new_dir, table
 from quire.llm.library_tokens import byte_level
 from quire.llm.wordhash import blocks
+from quire.llm.wordmemo import forget
 
 END_ID = 0
 #: Bytes of text for one shard, whose code of about half the size one task holds in memory, and the most shards.
@@ -74,11 +75,6 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _forget_tokenizer() -> None:
-    """Worker processes are used again: what has no need of the tokenizer frees its memo first."""
-    byte_level.cache_clear()
-
-
 def _octets(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
@@ -105,7 +101,7 @@ def id_counts(coded: DataFrame) -> DataFrame:
     """(token, n) over all documents of a draft."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _forget_tokenizer()
+        forget()
         total = np.zeros(1, np.int64)
         for batch in batches:
             for part in blocks(batch, "data"):
@@ -155,7 +151,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
 
 def _gather(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Draft rows in order of shard and id to one row a shard."""
-    _forget_tokenizer()
+    forget()
     held: list[pa.RecordBatch] = []
 
     def shard_row() -> pa.RecordBatch:
@@ -194,7 +190,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     starts = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("shard", (F.col("base") + F.col("before")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _forget_tokenizer()
+        forget()
         ids = shared.value
         for batch in batches:
             for k in range(batch.num_rows):

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.wordhash import blocks
+from quire.llm.wordmemo import forget
 
 MAX_EACH, MAX_WINDOWS = 4_000, 60_000
 WINDOW, OVERLAP = 32, 1
@@ -97,6 +98,7 @@ class Distance:
     """Bytes that the toxic dictionary saves in a window's compressed length, beyond the ordinary one."""
 
     def __init__(self, contents: Contents):
+        forget()
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def of(trained: bytes):

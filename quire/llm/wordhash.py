@@ -13,11 +13,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: The six ASCII blanks that part words, and odd multipliers for polynomial hashes.
 BLANKS = b" \t\n\x0b\x0c\r"
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 BLOCK_BYTES = 1 << 20
+#: Bytes up to which the polynomial hash of a word is used: modulo 2**64, long words of two alternating
+#: letters can agree whatever the base is, so longer words are hashed one by one.
+LONGEST_WORD = 32
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANKS)] = True
@@ -82,7 +86,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(max(n + 1, BLOCK_BYTES + 1), base, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        _powers[base] = have if len(have) <= 4 * BLOCK_BYTES else _powers.get(base, have[: BLOCK_BYTES + 1])
+        _powers[base] = have if len(have) <= BLOCK_BYTES + 1 else have[: BLOCK_BYTES + 1].copy()
     return have
 
 
@@ -105,11 +109,21 @@ def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
     return (sums[end] - sums[start]) * inverse[start]
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, way: int = 0) -> np.ndarray:
+    """One 64-bit hash for each of the spans data[start:end]; ``lower`` folds A-Z; ``way`` 0 or 1 picks independent functions."""
+    values = (_LOWER if lower else _SAME)[data]
+    length = end - start
+    out = mix(_spans(values + np.uint64(1), start, end, BASES[way]) + mix(length.astype(np.uint64) + np.uint64(way)))
+    long = np.flatnonzero(length > LONGEST_WORD)
+    if len(long):
+        octets = values.astype(np.uint8).data
+        out[long] = [xxhash.xxh3_64_intdigest(octets[a:b], way) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
 def word_hashes(w: Words, lower: bool = False, way: int = 0) -> np.ndarray:
-    """One 64-bit hash a word; ``lower`` folds A-Z; ``way`` 0 or 1 picks independent functions."""
-    values = (_LOWER if lower else _SAME)[w.data] + np.uint64(1)
-    length = (w.end - w.start).astype(np.uint64)
-    return mix(_spans(values, w.start, w.end, BASES[way]) + mix(length + np.uint64(way)))
+    """The byte_hashes() of all words of a block."""
+    return byte_hashes(w.data, w.start, w.end, lower, way)
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:

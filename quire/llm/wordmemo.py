@@ -5,7 +5,7 @@ distinct hashes looked up in a sorted table, and only units new to this worker p
 function, in one call.  Results are short runs of unsigned 32-bit numbers, kept in one flat array.
 
 Two units are taken for the same if their 64-bit hashes and byte lengths agree.  Among the two million
-units that a memo holds, a given other unit is mistaken with a chance of about 1 in 10**13.
+units that a memo may hold, a given other unit is mistaken with a chance of about 1 in 10**13.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quire.llm.wordhash import BASES, Words, _spans, mix, words
+from quire.llm.wordhash import Words, byte_hashes, words
 
-#: Units kept; a fuller memo starts anew.  Some 60 bytes each.
-MEMO_UNITS = 2_000_000
+#: Bytes that a memo's arrays may take; a fuller memo starts anew.
+MEMO_BYTES = 96 << 20
 #: Results longer than this many numbers are not kept, so that memory is bounded.
 MEMO_RESULT = 64
 
@@ -31,6 +31,22 @@ WIDE_BLANKS = "\u0085   -     　"
 Function = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives; a worker process keeps it until it asks for another key, so that it holds one memo at most."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Worker processes are used again: what has no need of a memo frees the one there may be."""
+    _kept.clear()
+
+
 class Looked(NamedTuple):
     """Results of a block: unit i has values[start[i] : start[i] + length[i]]; text t has units first[t]..first[t+1]."""
 
@@ -91,7 +107,7 @@ class WordMemo:
             none = np.zeros(0, np.int64)
             return Looked(np.zeros(0, np.uint32), none, none, first)
         size = (end - start).astype(np.int32)
-        keys = mix(_spans(w.data.astype(np.uint64) + np.uint64(1), start, end, BASES[0]) + mix(size.astype(np.uint64)))
+        keys = byte_hashes(w.data, start, end)
         # np.unique with an inverse, by one sort.
         order = np.argsort(keys)
         ordered = keys[order]
@@ -122,7 +138,8 @@ class WordMemo:
         values = self.flat
         short = length <= MEMO_RESULT
         self.used += len(got)
-        if len(self.keys) + int(short.sum()) > MEMO_UNITS or self.used > 8 * MEMO_UNITS:
+        # Keys, sizes, beginnings and lengths take 24 bytes a unit, and twice that while new ones go in.
+        if 48 * (len(self.keys) + int(short.sum())) + self.flat.nbytes > MEMO_BYTES:
             self._clear()
             return values
         place = np.searchsorted(self.keys, keys[short])
