@@ -247,3 +247,43 @@ def test_empty_tables(spark, docs):
     at = new_dir(spark, "files")
     token_files.write_shards(none, public_tokenizers.path("byte_bpe_50k.json"), at)
     assert token_files.read_shards(spark, at).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_long_words_of_two_letters(spark):
+    """Words that polynomial hashes modulo 2**64 can't tell apart."""
+    rows = [(2 * k + j, thue_morse(n, x)) for k, n in enumerate((64, 1024, 4096)) for j, x in enumerate(("ab", "ba"))]
+    rows += [(100 + j, " ".join([thue_morse(1024, x)] * 25)) for j, x in enumerate(("ab", "ba"))]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    got = {r.id: r.ids_sha256 for r in byte_bpe.digests(docs, path).collect()}
+    assert got == {k: hashlib.sha256(np.array(known.encode_ordinary(t), "<u4").tobytes()).hexdigest() for k, t in rows}
+    for file, tokens in (("byte_bpe_50k.json", byte_level), ("word_bpe_49k.json", word_level)):
+        library = Tokenizer.from_file(public_tokenizers.path(file))
+        assert [x.tolist() for x in tokens(public_tokenizers.path(file))(pa.array([t for _, t in rows]))] == [library.encode(t, add_special_tokens=False).ids for _, t in rows]
+    assert {r.doc_id: tuple(r)[1:] for r in substrings.report(docs).collect()} == substrings.brute_force(rows)
+    assert {r.id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs).collect()} == ngram_join.brute_force(rows)
+    assert corpus_pipeline.one_of_each(spark, docs, "").count() == len(rows)
+
+
+def test_ngram_join_of_hot_groups(spark):
+    """Near copies of a text by few and by many edits, so that some link with the rest by way of others only."""
+    rng = random.Random(11)
+    base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(160):
+        near = list(base)
+        for at in rng.sample(range(120), rng.choice((0, 1, 2, 3, 4, 6))):
+            near[at] = f"e{rng.randrange(12)}"
+        rows.append((k, " ".join(near)))
+    # Texts that share a passage and little else, and such that differ in their order.
+    rows += [(200 + k, " ".join(passage + [rng.choice(base[:30]) for _ in range(rng.choice((10, 20, 40)))])) for k in range(80)]
+    rows += [(300 + k, " ".join(passage[k:] + passage[:k])) for k in range(0, 60, 3)] + [(400 + k, rows[5][1]) for k in range(30)]
+    docs = spark.createDataFrame([*rows, (None, " ".join(base))], "doc_id long, text string").repartition(5)
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs.where("doc_id is not null")).collect()}
+    assert got == ngram_join.brute_force(rows)
+    assert len({c for _, c in got.values()}) > 20
