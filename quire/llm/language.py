@@ -5,9 +5,10 @@ it doesn't know is cut into n-grams of its letters between boundary marks; the l
 n-gram is known decides, with the mean of the logarithms of those known.  A text's posterior over the
 languages comes from the sums over its words.
 
-The model is fitted on a sample of labelled documents, at most MAX_TRAINING of them, drawn by a hash of
-the id; words and n-grams are counted by Spark, and at most MAX_WORDS words and MAX_GRAMS n-grams, the
-most frequent, make up the model.  Prediction covers every text, whole.
+The model is fitted on a sample of labelled documents, at most MAX_TRAINING of them, those of least hash of
+id and text; Spark counts words and n-grams.  Of each language by itself the model holds the most frequent
+words and n-grams, at most MAX_KEYS of either, each with its count in every language, and relates them to
+all that was counted.  Prediction covers every text, whole.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; equal scores go to the language
 that sorts first; without any training row every text is `und`; repeated rows are predicted one by one;
@@ -24,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.wordhash import blocks
 from quire.llm.wordmemo import WordMemo, kept
 
-MAX_TRAINING = 8_000
-MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 60_000, 60_000, 200
+#: Bounds of the training sample, and of the model for each language.
+MAX_TRAINING, MAX_KEYS = 8_000, 20_000
 LONGEST = 4
 UNKNOWN = "und"
 
@@ -47,39 +48,53 @@ class Model(NamedTuple):
     grams: dict[str, np.ndarray]
 
 
-def _log_rows(rows: list, languages: list[str], smooth: float) -> dict[str, np.ndarray]:
-    """(key, language, count) to a row for each key; n-grams of one length share a total."""
+def _log_rows(rows: list, totals: dict[str, int], languages: list[str], smooth: float) -> dict[str, np.ndarray]:
+    """(key, language, count) to a row for each key, of logarithms of shares in each language's total."""
     keys = sorted({r[0] for r in rows})
     at, lang = {k: i for i, k in enumerate(keys)}, {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(keys), len(languages)))
     for key, language, n in rows:
         counts[at[key], lang[language]] += n
-    out = np.log((counts + smooth) / (counts.sum(0) + smooth * max(len(keys), 1))).astype(np.float32)
+    total = np.array([totals.get(x, 0) for x in languages])
+    out = np.log((counts + smooth) / (total + smooth * max(len(keys), 1))).astype(np.float32)
     return dict(zip(keys, out, strict=True))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_training: int = MAX_TRAINING) -> Model:
+def _kept_keys(counts: DataFrame, most: int) -> list:
+    """(key, lang, n) of the keys that are among the most frequent of some language, with their counts in all."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    keys = counts.withColumn("place", place).where(F.col("place") <= most).select("key").distinct()
+    return counts.join(keys, "key", "left_semi").select("key", "lang", "n").collect()
+
+
+def sample_of(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct rows of (id, text, lang), the same at every run."""
+    keyed = rows.withColumns({"k": F.coalesce(F.col("id").cast("string"), F.lit("")), "h": F.xxhash64("text")})
+    least = keyed.select("k", "h").distinct().orderBy(F.xxhash64("k", "h"), "k", "h").limit(most)
+    return keyed.join(F.broadcast(least), ["k", "h"]).groupBy("k", "h").agg(F.min("lang").alias("lang"), F.first("text").alias("text")).select("text", "lang")
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_training: int = MAX_TRAINING, max_keys: int = MAX_KEYS) -> Model:
     """A model of the rows that have a text and a language; give only rows that may be learnt from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = rows.select("lang").count()
-    if total > max_training:
-        # A hash of the id, spread over 2**31: a little fewer rows than the bound, then the bound itself.
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int((1 << 31) * max_training / total)).limit(2 * max_training)
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")).persist()
+    words = sample_of(rows, max_training).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")).persist()
     try:
-        languages = [r[0] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+        word_totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         marked = words.select("lang", "n", F.concat(F.lit("^"), "key", F.lit("$")).alias("w"))
         sizes = F.sequence(F.lit(1), F.lit(LONGEST))
         cut = F.flatten(F.transform(sizes, lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substring(F.col("w"), i, k))).otherwise(F.array().cast("array<string>"))))
-        grams = marked.select("lang", "n", F.explode(cut).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        top = lambda df, most: df.orderBy(F.desc("n"), "key", "lang").limit(most).select("key", "lang", "n").collect()
-        found_words, found_grams = top(words.where("n > 1"), MAX_WORDS), top(grams, MAX_GRAMS)
+        grams = marked.select("lang", "n", F.explode(cut).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")).persist()
+        try:
+            size = F.length("key").alias("size")
+            gram_totals = {(r["size"], r["lang"]): r["n"] for r in grams.groupBy(size, "lang").agg(F.sum("n").alias("n")).collect()}
+            found_words, found_grams = _kept_keys(words, max_keys), _kept_keys(grams, max_keys)
+        finally:
+            grams.unpersist()
     finally:
         words.unpersist()
-    languages = sorted(languages)
-    keep = set(languages)
-    by_size = [_log_rows([r for r in found_grams if len(r[0]) == k and r[1] in keep], languages, 0.5) for k in range(1, LONGEST + 1)]
-    return Model(languages, _log_rows([r for r in found_words if r[1] in keep], languages, 0.1), {k: v for part in by_size for k, v in part.items()})
+    languages = sorted(word_totals)
+    by_size = [_log_rows([r for r in found_grams if len(r[0]) == k], {x: n for (size, x), n in gram_totals.items() if size == k}, languages, 0.5) for k in range(1, LONGEST + 1)]
+    return Model(languages, _log_rows(found_words, word_totals, languages, 0.1), {k: v for part in by_size for k, v in part.items()})
 
 
 class Scorer:
