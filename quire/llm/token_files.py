@@ -12,7 +12,7 @@ one row a shard, so Spark's writers commit them and any store that Spark reads c
 takes numpy only: a table of 256 rows turns control bytes to lengths, and sums of these to places.
 
 Edge cases: null and empty texts hold the end id only; documents without an id come first; rows that
-repeat an id are all kept, ordered by text; an empty table gives no shards and no rows; other columns
+repeat an id are all kept, ordered by their ids' code bytes; an empty table gives no shards and no rows; other columns
 are ignored, whatever their names.
 """
 
@@ -79,40 +79,48 @@ def _octets(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
+#: The shard of draft rows that hold a task's counts of ids instead of a document.
+TALLY = -1
+
+
 def draft(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> DataFrame:
-    """(id, text) to draft rows, coded by the ids themselves and with the end id."""
+    """(id, text) to draft rows, coded by the ids themselves and with the end id; each task adds its counts of ids."""
     shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+    names = ["shard", "id", "n", "control", "data"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_level(tokenizer_path)
+        total = np.zeros(1, np.int64)
         for batch in batches:
             for part in blocks(batch):
                 values, cut = tokens.block(part.column("text"))
                 values, cut = np.insert(values, cut[1:], END_ID), cut + np.arange(len(cut))
+                got = np.bincount(values)
+                if len(got) > len(total):
+                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+                total[: len(got)] += got
                 control, data, at, to = pack(values, cut)
                 doc = part.column("id")
                 shard = np.searchsorted(shared.value, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc, pa.array(np.diff(cut)), _binary(control, at), _binary(data, to)], ["shard", "id", "n", "control", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc, pa.array(np.diff(cut)), _binary(control, at), _binary(data, to)], names)
+        used = np.flatnonzero(total)
+        tally = np.stack([used, total[used]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([TALLY], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([b""]), pa.array([tally])], names)
 
     return docs.mapInArrow(encode, DRAFT_SCHEMA)
 
 
 def id_counts(coded: DataFrame) -> DataFrame:
-    """(token, n) over all documents of a draft."""
+    """(token, n) over all documents of a draft, from the counts of its tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            for part in blocks(batch, "data"):
-                got = np.bincount(unpack(_octets(part.column("control")), _octets(part.column("data")), part.column("n").to_numpy()))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
+            for tally in batch.column("data").to_pylist():
+                used, n = np.frombuffer(tally, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], ["token", "n"])
 
-    return coded.select("n", "control", "data").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return coded.where(F.col("shard") == TALLY).select("data").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
@@ -145,7 +153,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     ranks = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
-    coded.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(lambda b: _gather(b, shared.value), SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
+    coded.where(F.col("shard") >= 0).repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(lambda b: _gather(b, shared.value), SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
     drop_dir(spark, f"{path}/draft")
 
 
