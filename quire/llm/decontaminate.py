@@ -3,11 +3,13 @@
 Items and documents are reduced to ASCII-lower-cased words.  The automaton of a block of items holds
 every run of words that occurs in an item.  A document's words are streamed through it once; at each
 word it gives the longest run ending there that some item contains.  Runs of a whole window (13 words,
-or a whole shorter item) are hits.  Items come in blocks of bounded size, so an item table of any size
-is worked through in passes that carry the hits of earlier blocks along.
+or a whole shorter item) are hits.  For each state the automaton knows beforehand which window and which
+shorter items end there, so a word costs a bounded number of steps however often it repeats.  Items come in
+blocks of bounded size, so an item table of any size is worked through in passes that carry the hits of
+earlier blocks along; after every PASSES blocks what was found is written and read again.
 
-Edge cases: a null or empty text has no words and is clean; items without an id or without words match
-nothing; repeated item rows count once; repeated document rows are judged one by one; other columns are
+Edge cases: a null or empty text has no words and is clean; items without words match nothing; one without an
+id counts under an empty id; repeated item rows count once; repeated document rows are judged one by one; other columns are
 ignored, whatever their names.
 """
 
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import stored, table
 from quire.llm.wordmemo import forget
 
 WINDOW = 13
 #: Words of items in one automaton: it has at most twice as many states, some 300 bytes each.
 BLOCK_WORDS = 200_000
+#: Blocks whose automata are with the tasks at a time.
+PASSES = 2
 #: Part of a document's words, one in so many, from which on hits make it contaminated.
 COVERAGE = 20
 
@@ -59,14 +63,21 @@ class Automaton:
                 self.need = min(self.need, len(words))
         #: Per state the items of its window-long suffix, and the shorter items that are suffixes of it.
         self.long: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.short: dict[int, set[tuple[int, str]]] = {}
         for state, item, size in reached:
             while self.length[self.link[state]] >= size:
                 state = self.link[state]
             if size == window:
                 self.long.setdefault(state, set()).add(item)
-            elif (size, item) not in self.short.setdefault(state, []):
-                self.short[state].append((size, item))
+            else:
+                self.short.setdefault(state, set()).add((size, item))
+        #: For each state the suffix that is of window length or ends a shorter item next, itself included; 0 if there is none.
+        self.wide, self.output = [0] * len(self.length), [0] * len(self.length)
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            link = self.link[state]
+            if self.length[state] >= window:
+                self.wide[state] = state if self.length[link] < window else self.wide[link]
+            self.output[state] = state if state in self.short else self.output[link]
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -116,6 +127,8 @@ class Automaton:
 
     def _stream(self, ids: list[int], base: int, covered: np.ndarray, items: set[str]) -> None:
         nxt, link, length, window, need = self.next, self.link, self.length, self.window, self.need
+        wide, output, short, long = self.wide, self.output, self.short, self.long
+        seen: set[int] = set()
         state = run = 0
         for at, c in enumerate(ids, base + 1):
             to = nxt[state].get(c)
@@ -132,16 +145,18 @@ class Automaton:
             if run >= window:
                 covered[at - run] += 1
                 covered[at] -= 1
-            up = state
-            while up > 0 and length[up] >= need:
-                if run >= window and length[link[up]] < window <= length[up]:
-                    items |= self.long.get(up, set())
-                for size, item in self.short.get(up, ()):
+                if (up := wide[state]) not in seen:
+                    seen.add(up)
+                    items |= long.get(up, set())
+            # Shorter items are shorter than a window, and each suffix here is longer than the next.
+            up = output[state]
+            while up:
+                for size, item in short[up]:
                     if run >= size:
                         covered[at - size] += 1
                         covered[at] -= 1
                         items.add(item)
-                up = link[up]
+                up = output[link[up]]
 
 
 def _spans(flags: np.ndarray) -> list[int]:
@@ -151,7 +166,7 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items in blocks of about ``block_words`` words: one row at a time comes to the driver."""
-    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     block, size = [], 0
     for item, text in rows.toLocalIterator():
         if words := words_of(text.encode()):
@@ -171,7 +186,9 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: s
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(id_col, *carry).alias("carried")).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}).select("id", "text", "n_words", "spans", "items", "carried")
     schema = out.schema
-    for block in item_blocks(items, item_col, item_text_col, block_words):
+    for k, block in enumerate(item_blocks(items, item_col, item_text_col, block_words)):
+        if k and k % PASSES == 0:
+            out = stored(out, "hits")
         shared = spark.sparkContext.broadcast(Automaton(block, window))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -201,7 +218,7 @@ def is_contaminated(coverage: int = COVERAGE) -> F.Column:
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, min_span: int = WINDOW, coverage: int = COVERAGE, **options) -> DataFrame:
-    """(id, text, removed): hit runs of at least ``min_span`` words cut out of documents above the coverage limit.
+    """(id, text, removed): hit runs of at least ``min_span`` words cut out, and all hit runs of documents above the coverage limit.
 
     The remaining words keep the spelling and spacing that the text gives them."""
 
@@ -210,12 +227,12 @@ def remove_spans(docs: DataFrame, items: DataFrame, min_span: int = WINDOW, cove
             texts, removed = [], []
             for text, spans, bad in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("bad").to_pylist(), strict=True):
                 gone = 0
-                if bad:
+                if spans:
                     mask = np.frombuffer(text.translate(_FOLD), np.uint8) != 32
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
                     keep, at = [], 0
                     for a, b in zip(spans[::2], spans[1::2], strict=True):
-                        if b - a >= min_span:
+                        if bad or b - a >= min_span:
                             keep.append(text[at : edge[2 * a]])
                             at, gone = edge[2 * b - 1], gone + b - a
                     text = b"".join([*keep, text[at:]])
@@ -242,10 +259,10 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
     """The same report by comparing every window with every item; for tests."""
     known: dict[tuple, set[str]] = {}
     for item, text in items:
-        if item is not None and (w := words_of((text or "").encode())):
+        if w := words_of((text or "").encode()):
             size = min(window, len(w))
             for i in range(len(w) - size + 1):
-                known.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+                known.setdefault(tuple(w[i : i + size]), set()).add("" if item is None else str(item))
     sizes = {len(k) for k in known}
     out = {}
     for doc, text in docs:

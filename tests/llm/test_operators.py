@@ -49,6 +49,14 @@ def test_decontaminate(spark, docs, texts):
     for block in (10, 10_000):
         got = {r.doc_id: tuple(r)[1:] for r in decontaminate.report(docs, table, block_words=block).collect()}
         assert got == decontaminate.brute_force(pairs(texts), items)
+    repeated = [(0, "b " * 40 + "a " * 30_000), (1, "a"), (2, "a " * 13), (3, "c b b"), (None, "b c b b")]
+    items = [(1, "a " * 3_000), (2, "b b"), (2, "b b"), (None, "c b"), (4, "b"), (None, None)]
+    tables = [spark.createDataFrame(rows, f"{name}_id long, text string, n_words int, spans string") for name, rows in (("doc", [(*r, 1, "s") for r in [*repeated, repeated[3]]]), ("item", [(*r, 1, "s") for r in items]))]
+    for block in (10, 10_000):
+        got = {r.doc_id: tuple(r)[1:] for r in decontaminate.report(*tables, block_words=block).collect()}
+        assert got == decontaminate.brute_force(repeated, items)
+    cut = {r.id: (r.text, r.removed) for r in decontaminate.remove_spans(*tables).collect()}
+    assert cut[1] == ("a", 0) and cut[3][1] == 3 and cut[None][0].strip() == ""
     cut = {r.id: r.text for r in decontaminate.remove_spans(docs, table.where("item_id = 5")).collect()}
     assert texts[-1].split()[0] not in (cut[len(texts) - 1] or "").split()[:1] and cut[3] == "one two"
 
