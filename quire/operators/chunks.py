@@ -40,7 +40,8 @@ def sections(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a section of (id, sections array<struct<title,text>>); blank ones leave a gap in the index."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode("sections").alias("section_index", "s"))
     rows = rows.select("doc_id", "section_index", clean_section_title(F.col("s.title")).alias("title"), strip(F.coalesce("s.text", F.lit(""))).alias("text"))
-    return rows.where("text <> ''").withColumn("section_id", section_id(F.col("doc_id"), F.col("section_index")))
+    rows = rows.where("text <> ''")
+    return rows.withColumn("section_id", section_id(F.col("doc_id"), F.col("section_index")))
 
 
 def chunk(rows: DataFrame, size: int = 1000, overlap: int = 200, last: int = 2000) -> DataFrame:
@@ -54,3 +55,8 @@ def chunk(rows: DataFrame, size: int = 1000, overlap: int = 200, last: int = 200
 
     out = rows.withColumn("c", F.explode(cut("text"))).select("doc_id", "section_index", "section_id", F.col("title").alias("section"), "c.*")
     return out.withColumns({"chunk_id": short_id(*(F.col(c) for c in ("doc_id", "section_index", "chunk_index", "start_char", "end_char"))), "token_count": token_count(F.col("text"))})
+
+
+def links(chunks: DataFrame) -> DataFrame:
+    """(doc_id, section_id, chunk_id), each once."""
+    return chunks.select("doc_id", "section_id", "chunk_id").distinct()

@@ -1,23 +1,11 @@
-"""Catalogue, keyed upserts, integrity checks, backlogs and entity scores as joins."""
+"""Keyed upserts, links, integrity checks, backlogs and write-backs as joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import short_id
-
-
-def merge_catalog(known: DataFrame, new: DataFrame) -> DataFrame:
-    """Known rows as they are, and one pending row for each new url."""
-    fresh = new.where("trim(url) <> ''").dropDuplicates(["url"]).join(known.select("url"), "url", "left_anti")
-    rows = fresh.select(short_id(F.col("url")).alias("id"), "url", F.expr("try_parse_url(url, 'AUTHORITY')").alias("domain"), F.lit("pending").alias("status"))
-    return known.select("id", "url", "domain", "status").unionByName(rows)
-
-
-def with_status(catalog: DataFrame, updates: DataFrame) -> DataFrame:
-    new = updates.select("url", F.col("status").alias("new_status")).dropDuplicates(["url"])
-    return catalog.join(new, "url", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+from quire.functions.text import strip
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -27,6 +15,12 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return best.select(*key, "r.*")
 
 
+def upserted(known: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """``known`` with the rows of ``new`` in place of those of equal key; of several new ones the last by ``order``."""
+    last = latest(new.select(*known.columns), key, order).select(*known.columns)
+    return known.join(new.select(*key).distinct(), key, "left_anti").select(*known.columns).unionByName(last)
+
+
 def key_violations(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -40,14 +34,35 @@ def backlog(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def entity_rank(entities: DataFrame, mentions: DataFrame, questions: DataFrame, n_entities: int = 20, n: int = 8) -> DataFrame:
-    """Chunks by the summed scores of the entities they mention; a score counts keywords within the name.
+def embed_backlog(chunks: DataFrame) -> DataFrame:
+    """Chunks that have a text and no vector yet."""
+    return chunks.where(F.col("embedding").isNull() | (F.size("embedding") == 0)).where(strip(F.coalesce("text", F.lit(""))) != "")
+
+
+def extract_backlog(chunks: DataFrame, links: DataFrame, sections: DataFrame, docs: DataFrame, done: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, text) of chunks that a document reaches by its sections, not extracted yet and not in the log.
+
+    ``links`` is (section_id, chunk_id), ``sections`` (section_id, doc_id); the least document counts where several reach a chunk."""
+    reached = links.select("section_id", "chunk_id").join(sections.select("section_id", "doc_id"), "section_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    owner = reached.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
+    open_chunks = backlog(chunks.where("extracted_at is null").select("chunk_id", "text"), done, "chunk_id")
+    return open_chunks.join(owner, "chunk_id").select("chunk_id", "doc_id", "text")
+
+
+def with_embeddings(chunks: DataFrame, vectors: DataFrame, model: str, at: Column) -> DataFrame:
+    """``chunks`` with the vectors of (chunk_id, vector) written in; vectors of unknown chunks are dropped."""
+    new = vectors.groupBy("chunk_id").agg(F.max("vector").alias("vector"))
+    rows = chunks.join(new, "chunk_id", "left")
+    old = lambda c, kind: F.col(c) if c in chunks.columns else F.lit(None).cast(kind)
+    fresh = F.col("vector").isNotNull()
+    return rows.withColumns({"embedding": F.coalesce("vector", old("embedding", "array<float>")), "embedding_model": F.when(fresh, F.lit(model)).otherwise(old("embedding_model", "string")), "embedded_at": F.when(fresh, at).otherwise(old("embedded_at", "string"))}).drop("vector")
 
-    ``questions`` is (q_id, words), ``entities`` (entity_id, name), ``mentions`` (chunk_id, entity_id)."""
-    from quire.operators.search import top
 
-    words = questions.select("q_id", F.explode("words").alias("word"))
-    hits = entities.join(F.broadcast(words), F.expr("contains(lower(name), word)")).groupBy("q_id", "entity_id").agg(F.count_distinct("word").alias("entity_score"))
-    best = top(hits, n_entities, F.desc("entity_score"), F.col("entity_id")).drop("rank")
-    scored = mentions.join(F.broadcast(best), "entity_id").groupBy("q_id", "chunk_id").agg((10 * F.sum("entity_score")).alias("score"))
-    return top(scored, n, F.desc("score"), F.col("chunk_id"))
+def ingest_counts(docs: DataFrame, sections: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
+    """(what, n) for the tables of one ingest."""
+    named = (("docs", docs), ("sections", sections), ("chunks", chunks), ("links", links))
+    out = None
+    for name, rows in named:
+        one = rows.select(F.lit(name).alias("what")).groupBy("what").agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1,16 +1,28 @@
-"""Ranked retrieval for a table of questions: lexical, vector and fused; every limit is per question."""
+"""Ranked retrieval for a table of questions: lexical, vector, entity and fused; every limit is per question."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import hit_count, keywords
+from quire.functions.text import keywords, reference, spaced, whole_word
 
 K1, B = 1.2, 0.75
 #: Pools and weights of the rankers.
-KEYWORD_POOL, VECTOR_POOL, TEXT_POOL, TOP = 80, 25, 60, 8
+KEYWORD_POOL, VECTOR_POOL, TEXT_POOL, ENTITY_POOL, TOP = 80, 25, 60, 20, 8
 RRF_K, VECTOR_WEIGHT, TEXT_WEIGHT, HIT_WEIGHT = 60, 1.0, 0.8, 0.15
+MOST_NAMES = 10
+#: Rows up to which a table derived from the questions is broadcast; query vectors in one block.
+SMALL, QUERY_BLOCK = 100_000, 1_024
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows; else Spark joins it by its keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def tokens(text: Column) -> Column:
@@ -22,36 +34,127 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order))).where(F.col("rank") <= n)
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, n: int = TEXT_POOL) -> DataFrame:
-    """(q_id, chunk_id, score, rank) for questions (q_id, words); only question terms are shuffled."""
-    terms = questions.select("q_id", F.explode(F.array_distinct(F.flatten(F.transform("words", tokens)))).alias("term"))
+def by_score(df: DataFrame, n: int) -> DataFrame:
+    return top(df, n, F.desc("score"), F.col("chunk_id"))
+
+
+def asked(questions: DataFrame, prefix: str | None = None, most: int = 10, whole: bool = False) -> DataFrame:
+    """(q_id, words, base, full): what each question (q_id, question) looks for; those that look for nothing are left out.
+
+    ``words`` are the keywords, or without any the reference number after ``prefix``; with ``whole`` the question itself."""
+    base, full = reference(F.col("question"), prefix) if prefix else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    rows = questions.select("q_id", "question", keywords(F.col("question"), most).alias("words"), base.alias("base"), full.alias("full"))
+    number = F.coalesce("full", "base")
+    words = F.when(F.lit(whole), F.array("question")).when(F.size("words") > 0, F.col("words")).when(number.isNotNull(), F.array(number)).otherwise(F.array().cast("array<string>"))
+    return rows.select("q_id", words.alias("words"), "base", "full").where("size(words) > 0")
+
+
+def of_reference(base: Column, full: Column, number: Column, title: Column) -> Column:
+    """Whether a document's number and title answer to the reference number that a question has, if it has one."""
+    number, title = F.coalesce(number, F.lit("")), F.coalesce(title, F.lit(""))
+    exact = (number == full) | title.contains(full)
+    return F.when(full.isNotNull(), exact).when(base.isNotNull(), number.startswith(F.concat(base, F.lit("-"))) | title.contains(base)).otherwise(True)
+
+
+def text_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q_id, chunk_id, score): BM25 of chunks (chunk_id, text) for questions (q_id, words).
+
+    The chunks are read and split once: with the tokens that some question has, each leaves one row of its
+    length under the empty token, which stands for all chunks.  Only these rows are shuffled."""
+    terms = small(questions.select("q_id", F.explode(F.array_distinct(F.flatten(F.transform("words", tokens)))).alias("term")))
+    wanted = small(terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string")))
     split = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
-    stats = split.agg(F.count("*").alias("n_all"), F.avg(F.size("t")).alias("mean"))
-    wanted = F.broadcast(terms.select("term").distinct())
-    postings = split.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    rows = split.select("chunk_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(wanted, "term")
+    postings = rows.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    # At most one row a term of the questions: how many chunks have it, and for the empty one their mean length.
+    known = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.avg("len").alias("mean"))
+    every = known.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n_all"), F.max(F.when(F.col("term") == "", F.col("mean"))).alias("mean"))
     idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = postings.join(df, "term").join(F.broadcast(stats)).join(F.broadcast(terms), "term").groupBy("q_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, n, F.desc("score"), F.col("chunk_id"))
+    scored = postings.join(known.select("term", "df"), "term").join(F.broadcast(every)).join(terms, "term")
+    return scored.groupBy("q_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, n: int = TEXT_POOL, meta: DataFrame | None = None) -> DataFrame:
+    """The best ``n`` by BM25; with ``meta`` (chunk_id, ref_number, doc_title) of those that answer to the question's reference."""
+    scored = text_scores(chunks, questions)
+    if meta is not None:
+        rows = scored.join(meta.select("chunk_id", "ref_number", "doc_title"), "chunk_id", "left").join(small(questions.select("q_id", "base", "full")), "q_id")
+        scored = rows.where(of_reference(F.col("base"), F.col("full"), F.col("ref_number"), F.col("doc_title"))).select("q_id", "chunk_id", "score")
+    return by_score(scored, n)
+
+
+def blob(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, blob): title, number and section, where there are such columns, before the text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_title", "ref_number", "section", "text") if c in chunks.columns]
+    return chunks.select("chunk_id", F.concat_ws(" ", *parts).alias("blob"))
+
+
+def keyword_hits(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q_id, chunk_id, hits): how many words of its question (q_id, words) each candidate has.
 
+    The candidates, a bounded number for each question, are broadcast if they are few; texts never move then."""
+    wanted = small(candidates.select("q_id", "chunk_id").join(small(questions.select("q_id", "words")), "q_id"))
+    # The text is made ready once, below the explosion, not for each word.
+    rows = blob(chunks).join(wanted, "chunk_id").select("q_id", "chunk_id", spaced(F.col("blob")).alias("spaced"), F.explode("words").alias("word"))
+    return rows.groupBy("q_id", "chunk_id").agg(F.count_distinct(F.when(whole_word(F.col("spaced"), F.col("word")), F.col("word"))).cast("int").alias("hits"))
 
-def keyword_rank(chunks: DataFrame, questions: DataFrame, n: int = TOP) -> DataFrame:
+
+def keyword_rank(chunks: DataFrame, questions: DataFrame, n: int = TOP, prefix: str | None = None, meta: DataFrame | None = None) -> DataFrame:
     """The pool of best scores, ordered anew by whole-word hits."""
-    asked = questions.select("q_id", keywords(F.col("question")).alias("words")).where("size(words) > 0")
-    pool = bm25(chunks, asked, KEYWORD_POOL).drop("rank").join(F.broadcast(asked), "q_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    hits = pool.select("q_id", "chunk_id", "score", hit_count(F.col("text"), F.col("words")).cast("int").alias("hit_count"))
+    words = asked(questions, prefix)
+    pool = bm25(chunks, words, KEYWORD_POOL, meta).drop("rank")
+    hits = pool.join(keyword_hits(pool, chunks, words), ["q_id", "chunk_id"]).select("q_id", "chunk_id", "score", F.col("hits").cast("int").alias("hit_count"))
     return top(hits, n, F.desc("hit_count"), F.desc("score"), F.col("chunk_id"))
 
 
+def cosines(chunks: DataFrame, queries: DataFrame, n: int = VECTOR_POOL) -> DataFrame:
+    """The same as vector_top() in DataFrame operations only, every pair as a row: for few vectors, and to compare with."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    pairs = chunks.where("size(embedding) > 0").select("chunk_id", "embedding").join(small(queries.where("size(embedding) > 0").select("q_id", F.col("embedding").alias("q")), QUERY_BLOCK))
+    cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
+    return by_score(pairs.select("q_id", "chunk_id", F.round((1 + cosine) / 2, 6).alias("score")), n)
+
+
+def _unit(rows: list) -> np.ndarray:
+    x = np.array(rows, np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def vector_top(chunks: DataFrame, queries: DataFrame, n: int = VECTOR_POOL) -> DataFrame:
     """(q_id, chunk_id, score, rank): (1 + cosine) / 2 of every embedded chunk with each query vector.
 
-    The query side is a stated set and is broadcast; vectors of chunks never move."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = chunks.where("size(embedding) > 0").select("chunk_id", "embedding").join(F.broadcast(queries.select("q_id", F.col("embedding").alias("q"))))
-    cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    return top(pairs.select("q_id", "chunk_id", F.round((1 + cosine) / 2, 6).alias("score")), n, F.desc("score"), F.col("chunk_id"))
+    The queries are a stated set; they come in blocks, each a matrix that goes to the tasks.  Vectors of chunks
+    never move: a task passes on no more than the best of each batch for each query, and those that tie with them."""
+    rows = queries.where("size(embedding) > 0").select("q_id", "embedding")
+    kind, found = {f.name: f.dataType for f in (*rows.schema, *chunks.schema)}, None
+    schema = f"q_id {kind['q_id'].simpleString()}, chunk_id {kind['chunk_id'].simpleString()}, score double"
+
+    def block_top(ids: list, matrix: np.ndarray) -> DataFrame:
+        names = pd.Series(ids)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                scores = (1 + _unit(batch["embedding"].tolist()) @ matrix.T) / 2
+                # Scores are compared to six places; what may round to the last one kept goes along.
+                least = np.partition(scores, -min(n, len(scores)), axis=0)[-min(n, len(scores))] - 1e-6
+                at, q = np.nonzero(scores >= least)
+                yield pd.DataFrame({"q_id": names.iloc[q].to_numpy(), "chunk_id": batch["chunk_id"].to_numpy()[at], "score": scores[at, q]})
+
+        return chunks.where("size(embedding) > 0").select("chunk_id", "embedding").mapInPandas(run, schema)
+
+    held: list = []
+    for row in rows.toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            one = block_top([r["q_id"] for r in held], _unit([r["embedding"] for r in held]))
+            found, held = one if found is None else found.unionByName(one), []
+    if held or found is None:
+        one = block_top([r["q_id"] for r in held], _unit([r["embedding"] for r in held])) if held else chunks.sparkSession.createDataFrame([], schema)
+        found = one if found is None else found.unionByName(one)
+    return by_score(found.select("q_id", "chunk_id", F.round("score", 6).alias("score")), n)
 
 
 def merged(vectors: DataFrame, texts: DataFrame) -> DataFrame:
@@ -61,27 +164,19 @@ def merged(vectors: DataFrame, texts: DataFrame) -> DataFrame:
     return v.join(t, ["q_id", "chunk_id"], "full_outer").fillna(0.0, ["vec_score", "ft_score"])
 
 
-def keyword_hits(candidates: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q_id, chunk_id, hits): how many words of its question (q_id, words) each candidate's text has.
-
-    The candidates, a bounded number for each question, are broadcast; texts never move."""
-    wanted = candidates.select("q_id", "chunk_id").join(F.broadcast(asked), "q_id")
-    return chunks.select("chunk_id", "text").join(F.broadcast(wanted), "chunk_id").groupBy("q_id", "chunk_id").agg(F.max(hit_count(F.col("text"), F.col("words"))).alias("hits"))
-
-
-def rrf(vectors: DataFrame, texts: DataFrame, chunks: DataFrame | None = None, asked: DataFrame | None = None, n: int = TOP) -> DataFrame:
-    """Shares of both ranks, and HIT_WEIGHT for each word of ``asked`` (q_id, words) in a candidate's text.
+def rrf(vectors: DataFrame, texts: DataFrame, chunks: DataFrame | None = None, questions: DataFrame | None = None, n: int = TOP) -> DataFrame:
+    """Shares of both ranks, and HIT_WEIGHT for each word of ``questions`` (q_id, words) that a candidate has.
 
-    Without ``asked``, as for a question without keywords, there are no hits."""
+    Without ``questions``, as for a question without keywords, there are no hits."""
     share = lambda w, r: F.coalesce(F.lit(w) / (RRF_K + F.col(r)), F.lit(0.0))
     both = merged(vectors, texts)
-    both = both.withColumn("hits", F.lit(0)) if asked is None else both.join(keyword_hits(both, chunks, asked), ["q_id", "chunk_id"], "left").fillna(0, ["hits"])
+    both = both.withColumn("hits", F.lit(0)) if questions is None else both.join(keyword_hits(both, chunks, questions), ["q_id", "chunk_id"], "left").fillna(0, ["hits"])
     score = F.round(share(VECTOR_WEIGHT, "vec_rank") + share(TEXT_WEIGHT, "ft_rank") + HIT_WEIGHT * F.col("hits"), 9)
-    return top(both.select("q_id", "chunk_id", score.alias("score")), n, F.desc("score"), F.col("chunk_id"))
+    return by_score(both.select("q_id", "chunk_id", score.alias("score")), n)
 
 
 def additive(vectors: DataFrame, texts: DataFrame, n: int = TOP) -> DataFrame:
-    return top(merged(vectors, texts).select("q_id", "chunk_id", F.round(F.col("vec_score") + F.col("ft_score"), 6).alias("score")), n, F.desc("score"), F.col("chunk_id"))
+    return by_score(merged(vectors, texts).select("q_id", "chunk_id", F.round(F.col("vec_score") + F.col("ft_score"), 6).alias("score")), n)
 
 
 def min_max(df: DataFrame) -> DataFrame:
@@ -93,19 +188,43 @@ def min_max(df: DataFrame) -> DataFrame:
 
 def min_max_fusion(vectors: DataFrame, texts: DataFrame, n: int = TOP) -> DataFrame:
     both = merged(min_max(vectors.where(F.col("rank") <= n)), min_max(texts.where(F.col("rank") <= n)))
-    return top(both.select("q_id", "chunk_id", F.round(0.6 * F.col("vec_score") + 0.4 * F.col("ft_score"), 6).alias("score")), n, F.desc("score"), F.col("chunk_id"))
-
-
-def expand(hits: DataFrame, chunks: DataFrame, reach: int = 4000) -> DataFrame:
-    """(q_id, chunk_id, seed_rank): the neighbours of each hit in its section, within ``reach`` characters."""
-    seeds = hits.join(chunks.select("chunk_id", "section_id", "start_char"), "chunk_id").select("q_id", "rank", F.col("section_id").alias("s"), F.col("start_char").alias("at"))
-    near = chunks.join(F.broadcast(seeds), F.expr(f"section_id = s AND start_char BETWEEN at - {reach} AND at + {reach}"))
-    return near.groupBy("q_id", "chunk_id").agg(F.min("rank").alias("seed_rank"))
-
-
-def context(hits: DataFrame, chunks: DataFrame, n: int = TOP, most: int = 1600) -> DataFrame:
-    """(q_id, context): the first ``n`` hits as blocks in order; a blank text uses up its place."""
-    rows = hits.where(F.col("rank") <= n).join(chunks.select("chunk_id", "section", "text"), "chunk_id").where("trim(text) <> ''")
-    block = F.concat(F.when(F.col("section") != "", F.concat(F.lit("Section: "), "section")).otherwise("Context"), F.lit("\n[chunk_id="), F.col("chunk_id").cast("string"), F.lit("]\n"), F.rtrim(F.substring("text", 1, most)), F.lit("\n"))
-    blocks = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
-    return blocks.select("q_id", F.trim(F.array_join(F.col("b.block"), "\n")).alias("context"))
+    return by_score(both.select("q_id", "chunk_id", F.round(0.6 * F.col("vec_score") + 0.4 * F.col("ft_score"), 6).alias("score")), n)
+
+
+def entity_rank(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, questions: DataFrame, n: int = TOP, meta: DataFrame | None = None) -> DataFrame:
+    """Chunks by ten times the summed scores of the entities that they mention, and a point for each keyword within their text.
+
+    ``questions`` is what asked() gives with 12 keywords, ``entities`` (entity_id, name, aliases), ``mentions``
+    (chunk_id, entity_id).  An entity's score counts the keywords within its name or an alias; the best
+    ENTITY_POOL of each question count.  Every entity is looked at once, with the distinct keywords broadcast."""
+    words = questions.select("q_id", F.explode("words").alias("word"))
+    distinct = small(words.select("word").distinct())
+    within = entities.join(distinct, F.expr("contains(lower(name), word) or exists(aliases, a -> contains(lower(a), word))")).select("entity_id", "name", "word")
+    hits = within.join(small(words), "word").groupBy("q_id", "entity_id").agg(F.count_distinct("word").alias("entity_score"), F.max("name").alias("name"))
+    best = top(hits, ENTITY_POOL, F.desc("entity_score"), F.col("entity_id")).drop("rank")
+    met = mentions.select("chunk_id", "entity_id").distinct().join(small(best), "entity_id")
+    scored = met.groupBy("q_id", "chunk_id").agg(F.sum("entity_score").alias("entity_score"), F.slice(F.sort_array(F.collect_list("name")), 1, MOST_NAMES).alias("matched_entities"))
+    rows = scored.join(chunks.select("chunk_id", "text"), "chunk_id").join(small(questions), "q_id")
+    if meta is not None:
+        rows = rows.join(meta.select("chunk_id", "ref_number", "doc_title"), "chunk_id", "left").where(of_reference(F.col("base"), F.col("full"), F.col("ref_number"), F.col("doc_title")))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("hit_bonus", F.size(F.filter("words", lambda k: low.contains(k))))
+    return by_score(rows.select("q_id", "chunk_id", (10 * F.col("entity_score") + F.col("hit_bonus")).alias("score"), "entity_score", "hit_bonus", "matched_entities"), n)
+
+
+def compared(rankings: dict[str, DataFrame]) -> DataFrame:
+    """(q_id, chunk_id, retrievers, best_rank): which of several rankings have each hit."""
+    out = None
+    for name, hits in rankings.items():
+        one = hits.select("q_id", "chunk_id", "rank", F.lit(name).alias("retriever"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no ranking to compare")
+    return out.groupBy("q_id", "chunk_id").agg(F.sort_array(F.collect_set("retriever")).alias("retrievers"), F.min("rank").alias("best_rank"))
+
+
+def chosen(rankings: dict[str, DataFrame], name: str) -> DataFrame:
+    """The ranking of that name."""
+    if name not in rankings:
+        raise ValueError(f"unknown retriever {name!r}: there are {', '.join(sorted(rankings))}")
+    return rankings[name]

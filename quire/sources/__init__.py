@@ -1 +1 @@
-"""sources of the document graph."""
+"""Files and folders that the document graph reads and writes."""

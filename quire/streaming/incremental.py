@@ -1,15 +1,58 @@
-"""Incremental ingest: new rows are appended by batch, and the latest write of each key is kept."""
+"""Incremental runs: each batch is written under its own folder, so that a replayed one replaces itself, and
+readers see the latest write of each key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.operators import chunks, graph
+
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch under its own folder, so that a replayed batch replaces itself."""
+def batch_stream(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """``step`` of each batch, written as it comes; all there is now, then the query ends."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        (step(batch) if step else batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, key: list[str], order: list[F.Column] | None = None) -> DataFrame:
+    """The latest row of each key over all batches: by batch, and within one by ``order``; the others are history."""
+    rows = spark.read.parquet(path)
+    return graph.latest(rows, key, [F.col("batch_id"), *(order or [])]).drop("batch_id")
+
+
+def ingest_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """New documents (doc_id, sections) to their chunks; ids are deterministic, so a second run changes nothing."""
+    return batch_stream(docs, path, checkpoint, lambda batch: chunks.chunk(chunks.sections(batch)))
+
+
+def backlog_stream(pending: DataFrame, path: str, checkpoint: str, done: Callable[[], DataFrame], step: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """``step`` (embedding, extraction) for the rows (chunk_id, ...) that ``done()`` doesn't name yet.
+
+    ``after`` gets what was written, once it is: there the log is appended to, so that failures stay pending."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = f"{path}/batch_id={batch_id}"
+        step(graph.backlog(batch, done(), "chunk_id")).write.mode("overwrite").parquet(at)
+        if after:
+            after(batch.sparkSession.read.parquet(at))
+
+    return pending.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_urls(found: DataFrame, path: str, checkpoint: str, known: Callable[[], DataFrame]) -> StreamingQuery:
+    """Discovered (url, state) rows that the catalogue ``known()`` lacks, once a batch, as pending.
+
+    No state is kept between batches but the catalogue and what was written; current() takes the rest."""
+
+    def fresh(batch: DataFrame) -> DataFrame:
+        rows = batch.where("trim(url) <> ''").groupBy("url").agg(F.min("state").alias("state"))
+        return rows.join(known().select("url"), "url", "left_anti").withColumn("status", F.lit("pending"))
+
+    return batch_stream(found, path, checkpoint, fresh)
