@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from quire.sources.scratch import shared_dir
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -17,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def new_dir(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -54,8 +45,3 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(df: DataFrame, max_bytes: int, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted first, fit in ``max_bytes``; else unmarked."""
-    return F.broadcast(df) if df.limit(max_bytes // row_bytes + 1).count() * row_bytes <= max_bytes else df

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from quire.llm.common import new_dir, table
+from quire.llm.common import new_dir, stored, table
 from quire.llm.library_tokens import word_level
 from quire.llm.wordhash import blocks
 
@@ -69,8 +69,8 @@ def with_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: s
     if not known.isEmpty():
         wanted = wanted.join(known.select("content_sha256"), "content_sha256", "left_anti")
     count_misses(wanted.dropDuplicates(["content_sha256"]), tokenizer_path, digest).write.mode("append").parquet(cache_path)
-    # Two jobs that appended the same digest agree on its count.
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == digest).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two jobs that appended the same digest agree on its count.  Written by itself, so that Spark can split the join at a digest that many documents share.
+    counts = stored(read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == digest).groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return texts.select("id", "content_sha256", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content_sha256", "left").select("id", "n_bytes", "n_tokens")
 
 
