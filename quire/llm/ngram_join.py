@@ -109,7 +109,7 @@ def repeated_heads(docs: DataFrame, width: int, threshold: int, extra: int) -> D
 
 
 def able_to_link(docs: DataFrame, width: int, threshold: int, extra: int) -> DataFrame:
-    """(id, n, digest, shingles): distinct sets that the first look doesn't rule out, under their least id."""
+    """(id, doc, n, digest, shingles): distinct sets that the first look doesn't rule out, under new ids, with their least document."""
     heads = repeated_heads(docs, width, threshold, extra).persist()
     try:
         cells = make_filter(heads, filter_bytes_for(heads.count()))
@@ -130,8 +130,13 @@ def able_to_link(docs: DataFrame, width: int, threshold: int, extra: int) -> Dat
                 rows = list(own.items())
                 yield pa.RecordBatch.from_arrays([pa.array([d for _, (d, _) in rows], pa.int64()), pa.array([len(x) for _, (_, x) in rows], pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([x.tobytes() for _, (_, x) in rows], pa.binary())], ["id", "n", "digest", "shingles"])
 
-    # Partial aggregation leaves one row a task of a set that many documents have.
-    return docs.mapInArrow(run, SETS).groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles")).select("id", "n", "digest", "shingles")
+    # The limit to a group's first row holds within tasks too: of a set that many documents have, each passes on one.
+    least = Window.partitionBy("digest", "n").orderBy("id")
+    found = docs.mapInArrow(run, SETS).withColumn("k", F.row_number().over(least)).where("k = 1").drop("k")
+    # Under numbers of their own, since several sets may share an id.
+    found = stored(found.withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id()), "able")
+    shared.destroy()
+    return found
 
 
 def _bitmap(x: np.ndarray) -> list[int]:
@@ -188,7 +193,9 @@ def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
                 words = np.array(bits, np.int64).reshape(-1, BITMAP)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).filter(keep) for c in ("id", "n", "shingles")), pa.array([r for r in rows if r is not None], pa.list_(pa.int64())), pa.array(shared, pa.int64()), *(pa.array(words[:, k]) for k in range(BITMAP))], ["id", "n", "shingles", "prefix", "shared", *BITS])
 
-    return sets.select("id", "n", "shingles").mapInArrow(run, f"id long, n long, shingles binary, prefix array<long>, shared long, {', '.join(f'{b} long' for b in BITS)}")
+    found = stored(sets.select("id", "n", "shingles").mapInArrow(run, f"id long, n long, shingles binary, prefix array<long>, shared long, {', '.join(f'{b} long' for b in BITS)}"), "close")
+    held.destroy()
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -245,7 +252,7 @@ def in_several(lists: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, component) of the distinct sets that may have links."""
-    close = stored(prefixes(sets, threshold), "close")
+    close = prefixes(sets, threshold)
     # Groups of identical prefix and size, under the least id.
     groups = close.groupBy("n", "prefix", "shared").agg(F.min("id").alias("g"))
     members = stored(close.select("id", "n", "prefix", "shared", *BITS).join(groups, ["n", "prefix", "shared"]).select("id", "g", "n", *BITS), "members")
@@ -284,10 +291,8 @@ def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, extra: int = EXTRA) -> DataFrame:
-    """(digest, n, cluster, least) of the sets of (id, text) that may have links: a number for each component, and its least id.
-
-    Sets are linked under numbers of their own, since several of them may share an id."""
-    able = stored(able_to_link(docs, width, threshold, extra).withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id()), "able")
+    """(digest, n, cluster, least) of the sets of (id, text) that may have links: a number for each component, and its least id."""
+    able = able_to_link(docs, width, threshold, extra)
     found = able.select("id", "digest", "n", "doc").join(links(able, threshold).withColumnRenamed("component", "cluster"), "id")
     return found.join(found.groupBy("cluster").agg(F.min("doc").alias("least")), "cluster").select("digest", "n", "cluster", "least")
 
