@@ -16,7 +16,8 @@ def hydrated(hits: DataFrame, chunks: DataFrame, sections: DataFrame, docs: Data
     """``hits`` with doc_title, ref_number and section_title filled in where they are blank or absent.
 
     ``chunks`` is (chunk_id, section_id, section), ``sections`` (section_id, doc_id, title), ``docs`` (doc_id,
-    title, ref_number); a chunk in several sections takes the least title of each kind."""
+    title, ref_number); a chunk in several sections takes the least title of each kind.  ``hits`` are counted,
+    so have them written before if they are dear."""
     wanted = hits.select("chunk_id").distinct()
     rows = chunks.select("chunk_id", "section_id", "section").join(small(wanted), "chunk_id", "left_semi")
     rows = rows.join(sections.select("section_id", "doc_id", F.col("title").alias("s_title")), "section_id", "left").join(docs.select("doc_id", F.col("title").alias("d_title"), F.col("ref_number").alias("d_number")), "doc_id", "left")
@@ -31,7 +32,8 @@ def expand(hits: DataFrame, chunks: DataFrame, window: int = 2, by: str = "start
     """(q_id, chunk_id, seed_rank): each hit and its neighbours in its section, with the best rank that led there.
 
     Neighbours are ``window`` places apart by ``chunk_index``, or REACH characters for each by ``start_char``;
-    a hit without a section or a place stands for itself."""
+    a hit without a section or a place stands for itself.  ``hits`` are counted, so have them written before if
+    they are dear."""
     reach = window if by == "chunk_index" else REACH * window
     seeds = hits.join(chunks.select("chunk_id", "section_id", F.col(by).alias("at")), "chunk_id", "left").select("q_id", "chunk_id", "rank", F.col("section_id").alias("s"), "at")
     places = small(seeds.where("s is not null and at is not null").select("q_id", "rank", "s", "at").distinct())

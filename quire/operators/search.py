@@ -25,6 +25,11 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def few(df: DataFrame, questions: DataFrame, each: int, most: int = SMALL) -> DataFrame:
+    """``df``, of at most ``each`` rows a question, marked for broadcast if the questions are so few that it is small; ``df`` itself isn't counted."""
+    return F.broadcast(df) if questions.limit(most // each + 1).count() <= most // each else df
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
@@ -93,8 +98,10 @@ def blob(chunks: DataFrame) -> DataFrame:
 def keyword_hits(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(q_id, chunk_id, hits): how many words of its question (q_id, words) each candidate has.
 
-    The candidates, a bounded number for each question, are broadcast if they are few; texts never move then."""
-    wanted = small(candidates.select("q_id", "chunk_id").join(small(questions.select("q_id", "words")), "q_id"))
+    The candidates, at most KEYWORD_POOL or VECTOR_POOL and TEXT_POOL for each question, are broadcast if they
+    are few; texts never move then."""
+    each = max(KEYWORD_POOL, VECTOR_POOL + TEXT_POOL)
+    wanted = few(candidates.select("q_id", "chunk_id").join(small(questions.select("q_id", "words")), "q_id"), questions, each)
     # The text is made ready once, below the explosion, not for each word.
     rows = blob(chunks).join(wanted, "chunk_id").select("q_id", "chunk_id", spaced(F.col("blob")).alias("spaced"), F.explode("words").alias("word"))
     return rows.groupBy("q_id", "chunk_id").agg(F.count_distinct(F.when(whole_word(F.col("spaced"), F.col("word")), F.col("word"))).cast("int").alias("hits"))
@@ -202,7 +209,7 @@ def entity_rank(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, que
     within = entities.join(distinct, F.expr("contains(lower(name), word) or exists(aliases, a -> contains(lower(a), word))")).select("entity_id", "name", "word")
     hits = within.join(small(words), "word").groupBy("q_id", "entity_id").agg(F.count_distinct("word").alias("entity_score"), F.max("name").alias("name"))
     best = top(hits, ENTITY_POOL, F.desc("entity_score"), F.col("entity_id")).drop("rank")
-    met = mentions.select("chunk_id", "entity_id").distinct().join(small(best), "entity_id")
+    met = mentions.select("chunk_id", "entity_id").distinct().join(few(best, questions, ENTITY_POOL), "entity_id")
     scored = met.groupBy("q_id", "chunk_id").agg(F.sum("entity_score").alias("entity_score"), F.slice(F.sort_array(F.collect_list("name")), 1, MOST_NAMES).alias("matched_entities"))
     rows = scored.join(chunks.select("chunk_id", "text"), "chunk_id").join(small(questions), "q_id")
     if meta is not None:
