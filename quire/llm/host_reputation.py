@@ -1,7 +1,7 @@
 """URL filter by empirical-Bayes host reputation, in DataFrame operations only.
 
-Labelled pages are counted by host, registered domain (the last two labels of the host) and suffix (the
-last label).  The rate of bad pages of a host has a beta prior centred on its domain's posterior mean,
+Labelled pages are counted by host, registered domain (the label before the suffix, with it) and suffix (the
+last label, or the last two where these are among the given suffixes of two labels).  The rate of bad pages of a host has a beta prior centred on its domain's posterior mean,
 that of a domain one centred on its suffix's, that of a suffix one centred on the overall rate.  The
 strength of each prior comes from the data: the intraclass correlation of its level, by moments.  A page
 is blocked where the lower posterior bound of its host's rate exceeds a limit.  Block and allow rules go
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import stored, table
 
 #: Rules as "host/path", with what they say.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -59,10 +59,19 @@ def strength(groups: DataFrame, rate: float) -> float:
     return round(1 / rho - 1, 6)
 
 
-def reputation(pages: DataFrame) -> DataFrame:
+def domain_and_suffix(host: Column, two_labels: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host; ``two_labels`` are suffixes such as `co.uk`."""
+    last, two, three = (F.regexp_extract(host, rf"([^.]*\.){{0,{k}}}[^.]*$", 0) for k in range(3))
+    long = two.isin(*two_labels) if two_labels else F.lit(False)
+    return F.when(long, three).otherwise(two), F.when(long, two).otherwise(last)
+
+
+def reputation(pages: DataFrame, two_labels: tuple[str, ...] = ()) -> DataFrame:
     """(host, n, bad) of labelled pages to (host, mean, lower): the posterior mean rate and its lower bound."""
     hosts = pages.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0), "suffix": F.regexp_extract("host", r"[^.]*$", 0)})
+    domain, suffix = domain_and_suffix(F.col("host"), two_labels)
+    # One row a host, written once: the strengths, the total and the posteriors all read it.
+    hosts = stored(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -77,7 +86,7 @@ def reputation(pages: DataFrame) -> DataFrame:
     return rows.select("host", "mean", (F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1))).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, limit: float = LIMIT, two_labels: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, lower) for every page; ``outcomes`` is (id, bad)."""
     url = F.col(url_col).cast("string")
     seen = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -85,7 +94,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
     counted = seen.select("id", "host").join(marks, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.round("lower", 9) > limit, "block").otherwise("allow")
-    return seen.join(reputation(counted), "host", "left").select("id", "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), F.round("lower", 6).alias("lower"))
+    return seen.join(reputation(counted, two_labels), "host", "left").select("id", "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), F.round("lower", 6).alias("lower"))
 
 
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

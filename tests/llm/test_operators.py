@@ -245,6 +245,9 @@ def test_hosts(spark):
     got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in host_reputation.judge(pages, spark.createDataFrame([(1, 1)], "id long, bad int")).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2][2:] == ("example.com/de/", "block") and got[5][2:] == ("org/fr/", "allow")
     assert got[3][:3] == got[4][:3] == ("", "", None) and got[6][:3] == ("net", "", None)
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("com",), ("",)], "host string")
+    found = hosts.select(*host_reputation.domain_and_suffix(F.col("host"), ("co.uk",))).collect()
+    assert [tuple(r) for r in found] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", "")]
 
 
 def test_empty_tables(spark, docs):
