@@ -23,12 +23,12 @@ def test_titles(spark):
 
 
 def test_keywords(spark):
-    assert values(spark, X.keywords, ["What does the DAOD 6000-1 say about e-mail, e-mail?", None]) == [["daod", "6000-1", "e-mail"], []]
+    assert values(spark, X.keywords, ["What does the RULE 6000-1 say about e-mail, e-mail?", None]) == [["rule", "6000-1", "e-mail"], []]
 
 
 def test_reference(spark):
-    rows = ["DAOD 6000-1", "daod 6000 – 1", "DAOD 60001", "DAOD 6002", "DAOD 6000 5 years", "none", None]
-    assert values(spark, lambda x: F.struct(*X.reference(x, "DAOD")), rows) == [("6000", "6000-1")] * 3 + [("6002", None), ("6000", "6000-5"), (None, None), (None, None)]
+    rows = ["RULE 6000-1", "rule 6000 – 1", "RULE 60001", "RULE 6002", "RULE 6000 5 years", "none", None]
+    assert values(spark, lambda x: F.struct(*X.reference(x, "RULE")), rows) == [("6000", "6000-1")] * 3 + [("6002", None), ("6000", "6000-5"), (None, None), (None, None)]
 
 
 def test_entity_types(spark):
@@ -195,10 +195,10 @@ def test_reference_filter(spark):
 
 
 def test_question_rewrite(spark):
-    q = spark.createDataFrame([(1, "What does  the DAOD 60001 say about leave?"), (2, "DAOD 6002"), (3, "is it"), (4, None)], "q_id int, question string")
-    got = {r.q_id: (r.clean_query, r.ref_base, r.ref_full) for r in q.select("q_id", *(c.alias(k) for k, c in X.rewrite_question(F.col("question"), "DAOD").items())).collect()}
-    assert got == {1: ("DAOD 6000-1 daod leave", "6000", "6000-1"), 2: ("DAOD 6002 daod", "6002", None), 3: ("is it", None, None), 4: ("", None, None)}
-    assert {r.q_id: r.words for r in S.asked(q, "DAOD").collect()} == {1: ["daod", "leave"], 2: ["daod"]}
+    q = spark.createDataFrame([(1, "What does  the RULE 60001 say about leave?"), (2, "RULE 6002"), (3, "is it"), (4, None)], "q_id int, question string")
+    got = {r.q_id: (r.clean_query, r.ref_base, r.ref_full) for r in q.select("q_id", *(c.alias(k) for k, c in X.rewrite_question(F.col("question"), "RULE").items())).collect()}
+    assert got == {1: ("RULE 6000-1 rule leave", "6000", "6000-1"), 2: ("RULE 6002 rule", "6002", None), 3: ("is it", None, None), 4: ("", None, None)}
+    assert {r.q_id: r.words for r in S.asked(q, "RULE").collect()} == {1: ["rule", "leave"], 2: ["rule"]}
 
 
 def test_texts(spark):
