@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; where it is unset and Spark runs in this process alone, a local folder."""
@@ -19,8 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_dir(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            drop_dir(spark, path)
+        except Exception:  # the session has ended: whoever owns the folder clears it
+            return
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet and read back, which cuts its lineage and lets several steps read it."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage and lets several steps read it."""
+    path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
