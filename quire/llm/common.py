@@ -1,47 +1,14 @@
-"""Tables, shared folders and small helpers that the operators of this folder have in common."""
+"""What the operators of this folder have in common: reading a table, and the folders of `sources/scratch.py`."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.sources.scratch import shared_dir
+from quire.sources.scratch import drop_dir, new_dir, stored
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["drop_dir", "new_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this module's callers have written."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            drop_dir(spark, path)
-        except Exception:  # the session has ended: whoever owns the folder clears it
-            return
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = new_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
