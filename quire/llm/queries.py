@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.byte_bpe import op9_byte_bpe
 from quire.llm.decontaminate import op4_decontaminate
+from quire.llm.hard_negatives import ORACLE as HARD_NEGATIVES
+from quire.llm.hard_negatives import op13_hard_negatives
 from quire.llm.host_reputation import ORACLE as HOST_REPUTATION
 from quire.llm.host_reputation import op3_host_reputation
 from quire.llm.language import op6_language_id
+from quire.llm.merkle import op11_merkle_manifest
 from quire.llm.ngram_join import op7_ngram_join
 from quire.llm.spot_signatures import op2_spot_signatures
 from quire.llm.substrings import op5_substring_dedup
@@ -29,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op3_host_reputation": HOST_REPUTATION}
+ORACLES: dict[str, str] = {"op3_host_reputation": HOST_REPUTATION, "op13_hard_negatives": HARD_NEGATIVES}
