@@ -38,7 +38,7 @@ LEAST, MOST = 80, 100
 #: Rows and anchors of a block, and dimensions between two looks at the bounds.
 ROWS, ANCHORS, STEP = 8_192, 1_024, 8
 #: Bounds of scores held in 64 bits with room for sums.
-FAR = 1 << 62
+FAR, LONGEST = 1 << 62, (1 << 63) - 1
 PACKED = "lane int, dim int, low long, high long, n int, ids binary, labels binary, cells binary"
 
 
@@ -133,7 +133,7 @@ def _cells(spec: str, same: bool, k: int):
                 for w in () if same else cell["windows"]:
                     p = w["score"]
                     if -(-LEAST * p // MOST) <= p:
-                        wide[w["pos"]].append((-(-LEAST * p // MOST), p))
+                        wide[w["pos"]].append((-(-LEAST * p // MOST), p if p < LONGEST else 1 << 200))
                 out: list[list[np.ndarray]] = [[] for _ in names]
                 for pos in range(len(anchors)):
                     if not wide[pos]:
@@ -153,8 +153,8 @@ def _cells(spec: str, same: bool, k: int):
                             within = np.flatnonzero((scores >= first) & (scores <= last))
                             within = within[np.lexsort((there[found[within]], -scores[within]))][:k]
                             if len(within):
-                                held = np.clip(scores[within], -(1 << 63), (1 << 63) - 1).astype(np.int64)
-                                values = (np.full(len(within), cell["a_lane"] * (1 << 32) + cell["a_block"] * ANCHORS + pos), np.full(len(within), anchors[pos]), there[found[within]], held, np.full(len(within), 0 if same else last))
+                                held = np.clip(scores[within], -LONGEST - 1, LONGEST).astype(np.int64)
+                                values = (np.full(len(within), cell["a_lane"] * (1 << 32) + cell["a_block"] * ANCHORS + pos), np.full(len(within), anchors[pos]), there[found[within]], held, np.full(len(within), 0 if same else min(last, LONGEST)))
                                 for column, x in zip(out, values, strict=False):
                                     column.append(x)
                 if out[0]:

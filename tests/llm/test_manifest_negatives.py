@@ -76,10 +76,10 @@ def test_hard_negatives_of_awkward_tables(spark, tmp_path):
     got, _ = vectors(spark, tmp_path / "repeats", [row, row, (101, [1.0, -1.0], 3), (102, [1.0, -0.9], 2), (102, [1.0, -0.9], 2)])
     # Both rows of the anchor find one other of their label, and of the other label both rows.
     assert sorted(got) == [(100, 101, k, 102, 131072, 124672) for k in (1, 1, 2, 2)]
-    # Components that take more than 64 bits as products are multiplied exactly.
+    # Scores of more than 64 bits are compared exactly and stand for the greatest that fits.
     big = [(100, [1e15, 1e-3], 1), (101, [1e15, 0.5], 1), (102, [9e14, 0.5], 2), (103, [1e14, 0.5], 2)]
     got, _ = vectors(spark, tmp_path / "big", big, sql=False)
-    assert [r[:4] for r in got] == [(100, 101, 1, 102)]
+    assert [r[:4] for r in got] == [(100, 101, 1, 102), (100, 101, 2, 103)]
 
 
 def test_bond_equals_all_products():
