@@ -54,7 +54,7 @@ NO_ID = -(1 << 63)
 SETS = "id long, n long, digest binary, shingles binary"
 
 
-def _digest(x: np.ndarray) -> bytes:
+def digest_of(x: np.ndarray) -> bytes:
     """128 bits that stand for a sorted set of hashes."""
     u = x.view(np.uint64)
     both = [int(np.bitwise_xor.reduce(mix(u + np.uint64(k)))) ^ int(np.add.reduce(mix(u ^ np.uint64(k)))) << 64 for k in (0x51ED, 0xA3C7)]
@@ -70,7 +70,7 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             for part in blocks(batch):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary())], [*others, "n", "digest"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest_of(x) for x in sets], pa.binary())], [*others, "n", "digest"])
 
     return docs.mapInArrow(run, docs.select(*others).schema.add("n", "long").add("digest", "binary"))
 
@@ -95,7 +95,7 @@ def repeated_heads(docs: DataFrame, width: int, threshold: int, extra: int) -> D
         for batch in batches:
             for part in blocks(batch):
                 for x in shingle_sets(part.column("text"), width):
-                    if len(x) and (key := _digest(x)) not in seen:
+                    if len(x) and (key := digest_of(x)) not in seen:
                         seen.add(key)
                         held.append(x[: prefix_length(len(x), threshold, extra)])
                 if sum(map(len, held)) > HELD:
@@ -124,7 +124,7 @@ def able_to_link(docs: DataFrame, width: int, threshold: int, extra: int) -> Dat
                 for doc, x in zip(part.column("id").to_pylist(), shingle_sets(part.column("text"), width), strict=True):
                     size = int(prefix_length(len(x), threshold, extra))
                     if len(x) and in_filter(shared.value, x[:size]).sum() >= max(1, size - prefix_length(len(x), threshold)):
-                        key = _digest(x)
+                        key = digest_of(x)
                         if key not in own or doc < own[key][0]:
                             own[key] = doc, x
                 rows = list(own.items())

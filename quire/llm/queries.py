@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.byte_bpe import op9_byte_bpe
+from quire.llm.chosen_paths import op12_chosen_paths
 from quire.llm.decontaminate import op4_decontaminate
 from quire.llm.hard_negatives import ORACLE as HARD_NEGATIVES
 from quire.llm.hard_negatives import op13_hard_negatives
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_chosen_paths": op12_chosen_paths,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

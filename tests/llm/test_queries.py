@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_token_files": "doc_id start n_tokens ids_crc32",
+    "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12_chosen_paths": "doc_id n_shingles component_id kept",
+    "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, h string, id int, score double, shard int"
 
@@ -44,6 +47,8 @@ def tables(spark, tmp_path_factory):
         written(spark, where, "documents", keep([(*r, f"s{k}", 0, "x", 1, 0.5, 3) for k, r in enumerate(docs)]), DOCUMENTS)
         written(spark, where, "labels", keep([(k, k % 2, int(k % 3 == 0)) for k in range(40)] + [(3, 1, 1), (None, 1, 1), (5, None, None)]), "doc_id long, quality int, toxic int")
         written(spark, where, "benchmark", keep([(1, docs[2][1]), (1, docs[2][1]), (2, "w1 w2"), (3, None), (None, "w9")]), "item_id long, text string")
+        vectors = [(k, [k / 64, 1.0 - k % 3], k % 3) for k in range(220)] + [(None, [1.0, 1.0], 1), (300, None, 1), (301, [None, 1.0], 1), (302, [1.0, 1.0], None), (100, [100 / 64, 0.0], 1)]
+        written(spark, where, "embeddings", keep([(*v, 1, "x") for v in vectors]), "vec_id long, embedding array<float>, label int, lane int, id string")
         written(spark, where, "pages", keep([(1, "http://a.b.net/en/x?q", "h"), (1, "http://a.b.net/en/x?q", "h"), (None, None, None), (2, "no", ""), (3, "HTTP://EXAMPLE.com/de/", "x")]), "page_id long, url string, html string")
     return at, none, docs
 
@@ -54,7 +59,11 @@ def test_query(spark, tables, name):
     out = QUERIES[name](spark, at)
     assert out.columns[: len(COLUMNS[name].split())] == COLUMNS[name].split()
     rows = out.collect()
-    assert len(rows) == (5 if name.startswith("op3") else len(docs))
+    if name.startswith("op13"):
+        assert {r.anchor_id for r in rows} == {0, 100, 200} - ({0} if not any(r.anchor_id == 0 for r in rows) else set())
+        assert all(80 * r.positive_score <= 100 * r.negative_score <= 100 * r.positive_score for r in rows)
+    else:
+        assert len(rows) == (5 if name.startswith("op3") else len(docs))
     if "held_out" in out.columns:
         of, rest = (5, 0) if name.startswith("op1") else (4, 2)
         assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % of == rest) for r in rows)
@@ -64,7 +73,7 @@ def test_query(spark, tables, name):
     by_id = {}
     for r in rows:
         by_id.setdefault(r[key], []).append(r)
-    if name not in ("op3_host_reputation", "op2_spot_signatures", "op10_token_files"):
+    if name not in ("op3_host_reputation", "op2_spot_signatures", "op10_token_files", "op11_merkle_manifest", "op13_hard_negatives"):
         # Rows that repeat id and text have equal results.
         assert len({tuple(r) for r in by_id[3]}) == 1 and len(by_id[3]) == 3
     assert QUERIES[name](spark, none).count() == 0
