@@ -178,6 +178,7 @@ ORACLES = {
     "sections_flatten": f"SELECT doc_id, section_index::INT AS section_index, doc_id || ':s' || CASE WHEN section_index < 1000 THEN lpad(section_index::VARCHAR, 3, '0') ELSE section_index::VARCHAR END AS section_id, {_N_TOKENS.format('text')} FROM ({_LINES}) WHERE trim(text) <> ''",
     "chunk_spans": _SPAN_ROWS,
     "incremental_chunks": _SPAN_ROWS,
+    "backlog_commits": "SELECT doc_id AS chunk_id, length(text)::INT AS size, CASE WHEN toxic = 1 THEN 'retried' ELSE 'second' END AS run FROM documents JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)",
     "question_keywords": f"SELECT q_id, array_to_string({_keywords('question')}, ' ') AS words FROM ({_ITEMS})",
     "question_rewrite": f"SELECT conv_id, turn, original_question, {_clean(_COMPACT)} AS clean_query, ref_base, ref_full, array_to_string(k, ' ') AS keywords FROM (SELECT *, {_TURN_BASE} AS ref_base, {_TURN_FULL} AS ref_full, {_keywords('original_question')} AS k FROM (SELECT conv_id, turn, {_clean('question')} AS original_question FROM ({_TURN})))",
     "ref_filter": f"WITH {_asked(_REF_ITEMS)}, {_bm25(name='every')}, refs AS (SELECT q_id, {_REF_BASE} AS base, {_REF_FULL} AS full_ref FROM ({_REF_ITEMS})), meta AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 > 0 THEN '600' || (doc_id % 10) || '-' || (doc_id % 3) ELSE '' END AS number, coalesce(source, '') || CASE WHEN doc_id % 3 = 0 THEN ' 600' || (doc_id % 10) ELSE '' END AS title FROM documents) SELECT q_id, chunk_id, score, rank FROM (SELECT q_id, chunk_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id)::INT AS rank FROM scored JOIN refs USING (q_id) JOIN meta USING (chunk_id) WHERE CASE WHEN full_ref IS NOT NULL THEN number = full_ref OR contains(title, full_ref) WHEN base IS NOT NULL THEN starts_with(number, base || '-') OR contains(title, base) ELSE true END) WHERE rank <= 60",

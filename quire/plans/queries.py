@@ -12,8 +12,8 @@ from quire.operators import context as K
 from quire.operators import graph as G
 from quire.operators import search as S
 from quire.plans.oracles import ORACLES, RESPONSE
-from quire.sources.scratch import shared_dir, stored
-from quire.streaming import incremental
+from quire.sources.scratch import new_dir, stored
+from quire.streaming import backlog, incremental
 
 __all__ = ["ORACLES", "QUERIES", "answers"]
 
@@ -275,13 +275,36 @@ def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The documents as a stream of files; its result is that of one batch."""
-    at = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    stream = spark.readStream.schema(_t(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    at, path = new_dir(spark, "stream"), f"{d}/documents.parquet"
+    stream = incremental.stream_of(spark, path, _t(spark, d, "documents").schema)
     whole = stream.select("doc_id", F.array(F.struct(F.lit("").alias("title"), F.col("text").alias("text"))).alias("sections"))
     incremental.ingest_stream(whole, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return incremental.current(spark, f"{at}/out", ["chunk_id"]).select(*SPANS)
 
 
+def backlog_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as a backlog: a run that dies before its commit, one that ends, a replayed batch, a retry.
+
+    The step fails for toxic documents in the first two runs; each document comes out once, with the run that managed it."""
+    at = new_dir(spark, "backlog")
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    pending = docs.select(F.col("doc_id").alias("chunk_id"), "text").join(labels.withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    step = lambda said, all_of_it: lambda rows: rows.where(F.lit(all_of_it) | (F.coalesce("toxic", F.lit(0)) == 0)).select("chunk_id", F.char_length("text").alias("size"), F.lit(said).alias("run"))
+
+    def dies() -> None:
+        raise RuntimeError("before the commit")
+
+    try:
+        backlog.write_batch(pending, at, "batch-0", step("first", False), before_commit=dies)
+    except RuntimeError:
+        pass
+    backlog.write_batch(pending, at, "batch-0", step("second", False))
+    backlog.write_batch(pending, at, "batch-0", step("replayed", True))
+    backlog.retry(spark, at, step("retried", True))
+    backlog.write_batch(pending, at, "batch-1", step("late", True))
+    return backlog.results(spark, at).select("chunk_id", "size", "run")
+
+
 def doc_hash_dupes(spark: SparkSession, d: str) -> DataFrame:
     text = X.sections_text(F.col("sections"))
     return _lines(spark, d).select("doc_id", X.text_hash(text).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
@@ -336,5 +359,6 @@ QUERIES = {
     "generate_hook": generate_hook,
     "ingest_counts": ingest_counts,
     "incremental_chunks": incremental_chunks,
+    "backlog_commits": backlog_commits,
     "props_json": props_json,
 }

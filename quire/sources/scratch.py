@@ -7,7 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bytes of Parquet up to which a written table is broadcast.
+SMALL_BYTES = 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +32,12 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,3 +58,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_small(df: DataFrame, what: str, most: int = SMALL_BYTES) -> DataFrame:
+    """stored(), marked for broadcast if what was written has at most so many bytes; else Spark joins it by its keys."""
+    path = new_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(back) if bytes_of(df.sparkSession, path) <= most else back

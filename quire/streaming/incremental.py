@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quire.operators import chunks, graph
+from quire.streaming import backlog
 
 
 def batch_stream(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -32,27 +34,28 @@ def ingest_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return batch_stream(docs, path, checkpoint, lambda batch: chunks.chunk(chunks.sections(batch)))
 
 
-def backlog_stream(pending: DataFrame, path: str, checkpoint: str, done: Callable[[], DataFrame], step: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """``step`` (embedding, extraction) for the rows (chunk_id, ...) that ``done()`` doesn't name yet.
+def new_urls(found: DataFrame, path: str, checkpoint: str, known: Callable[[], DataFrame], ttl: str = "7 days") -> StreamingQuery:
+    """Discovered (url, state) rows that the catalogue ``known()`` lacks, each url once and as pending.
 
-    ``after`` gets what was written, once it is: there the log is appended to, so that failures stay pending."""
+    The stream keeps the urls of the last ``ttl`` as keyed state in its checkpoint, so that what is found again and
+    again is dropped before it meets any table; older ones are held against what is committed, and the state does
+    not grow with the catalogue.  `backlog.results` reads what came out."""
+    rows = found.where("trim(url) <> ''").select("url", "state", F.current_timestamp().alias("seen_at"))
+    rows = rows.withWatermark("seen_at", ttl).dropDuplicatesWithinWatermark(["url"])
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        at = f"{path}/batch_id={batch_id}"
-        step(graph.backlog(batch, done(), "chunk_id")).write.mode("overwrite").parquet(at)
-        if after:
-            after(batch.sparkSession.read.parquet(at))
-
-    return pending.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def new_urls(found: DataFrame, path: str, checkpoint: str, known: Callable[[], DataFrame]) -> StreamingQuery:
-    """Discovered (url, state) rows that the catalogue ``known()`` lacks, once a batch, as pending.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select("url", "state").join(known().select("url"), "url", "left_anti")
+        if not backlog.write_batch(fresh, path, backlog.batch_name(batch, batch_id), lambda x: x.withColumn("status", F.lit("pending")), "url"):
+            batch.write.format("noop").mode("overwrite").save()  # a replayed batch still has to bring its state along
 
-    No state is kept between batches but the catalogue and what was written; current() takes the rest."""
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def fresh(batch: DataFrame) -> DataFrame:
-        rows = batch.where("trim(url) <> ''").groupBy("url").agg(F.min("state").alias("state"))
-        return rows.join(known().select("url"), "url", "left_anti").withColumn("status", F.lit("pending"))
 
-    return batch_stream(found, path, checkpoint, fresh)
+def stream_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The Parquet table at ``path``, one file or a folder of them, as a stream of files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    # A pattern that only this file matches: the path of a file itself is taken for a folder.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")

@@ -299,21 +299,3 @@ def test_later_batches_win(spark, tmp_path):
         spark.createDataFrame([("a", v), ("b" if v == 1 else "c", v)], "id string, v int").write.mode("append").parquet(at["in"])
         incremental.batch_stream(spark.readStream.schema("id string, v int").parquet(at["in"]), at["out"], at["ck"]).awaitTermination()
     assert {tuple(r) for r in incremental.current(spark, at["out"], ["id"]).collect()} == {("a", 2), ("b", 1), ("c", 2)}
-
-
-def test_incremental_steps(spark, tmp_path):
-    at = lambda x: str(tmp_path / x)
-    spark.createDataFrame([("a", "d", "x"), ("b", "d", "fail"), ("c", "d", "z")], "chunk_id string, doc_id string, text string").write.parquet(at("in"))
-    done = lambda: files.read_done(spark, at("log"))
-    stream = lambda: spark.readStream.schema("chunk_id string, doc_id string, text string").parquet(at("in"))
-    step = lambda rows: rows.where("text <> 'fail'")
-    log = lambda rows: files.append_done(rows, at("log"), "m", F.lit("t"))
-    incremental.backlog_stream(stream(), at("out"), at("ck"), done, step, log).awaitTermination()
-    assert {r[0] for r in done().collect()} == {"a", "c"}
-    # The next run takes what is left.
-    incremental.backlog_stream(stream(), at("again"), at("ck2"), done, lambda rows: rows).awaitTermination()
-    assert [r.chunk_id for r in spark.read.parquet(at("again")).collect()] == ["b"]
-    spark.createDataFrame([("u", None), ("u", "s"), ("v", None), (" ", None)], "url string, state string").write.parquet(at("urls"))
-    known = lambda: spark.createDataFrame([("v",)], "url string")
-    incremental.new_urls(spark.readStream.schema("url string, state string").parquet(at("urls")), at("new"), at("ck3"), known).awaitTermination()
-    assert [(r.url, r.status) for r in incremental.current(spark, at("new"), ["url"]).collect()] == [("u", "pending")]
