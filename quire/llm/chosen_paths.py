@@ -3,18 +3,19 @@
 A document is the set of its distinct three-word shingles; two link when their Jaccard similarity is at least
 0.85.  Equal sets fall together first.  Each set has a sketch: its least shingle under each of COORDS hashes.
 
-A node holds sets.  At the root of each tree, and at every larger node below, one or two of the COORDS are
-chosen, 1 / 0.85 on average, and the node's sets part by their minwise tokens there: sets that share one meet
-again in a child.  A linked pair so has at least one child in common on average, however deep the tree, while
-other pairs die out.  Nodes of at most SMALL sets are compared exhaustively, and from larger ones each set is
-compared with the next two, which soon joins large groups of copies.  TREES independent trees miss a pair with
-a chance below 1 - RECALL.
-
-Compared are sets of different components only, first by size and by how many minwise tokens agree; a linked
-pair falls below that bound with a chance of MISSED.  What passes is verified with the whole sets.  Nodes whose
-sets are all of one component are done.  All trees go down one level at a time, as one table (node, id); the
-sets of a larger node are dealt into parts, so that no node has to fit into a task.  What is still undecided
-after LEVELS levels is met exactly: each set outside of a node's main component with the node's other sets.
+A node holds sets.  At each node one or two of the COORDS are chosen, 1 / 0.85 on average, and the node's sets
+part by their minwise tokens there: sets that share one meet again in a child.  A linked pair so has at least
+one child in common on average, however deep the tree, while other pairs die out.  Paths begin START levels
+below the root, where most nodes hold one set only.  Nodes of at most SMALL sets are compared exhaustively, and
+in larger ones each set is compared with the next two, which soon joins large groups of copies; then they are
+branched.  The trees miss a pair with a chance below 1 - RECALL: a first one joins most groups, and the others
+look only at nodes whose sets are not all of one component by then.
+
+All trees go down one level at a time, as one table (node, id).  The sets of a larger node are dealt into parts,
+so that no node has to fit into a task.  A node's texts come to it, and their whole sets are compared there, so
+that pairs are never shuffled; what is connected within the node already is not compared again.  What is still
+undecided LEVELS levels below the start is met exactly: the sets outside of a node's main component with all of
+the node's other sets, part by part.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer than
 three words make one shingle of them all; rows that repeat an id are one document if their texts agree and
@@ -29,21 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, table
-from quire.llm.ngram_join import NO_ID, digest_of, joined, verified
+from quire.llm.common import stored, stored_small, table
+from quire.llm.ngram_join import NO_ID, digest_of, joined
 from quire.llm.wordhash import blocks, mix, shingle_sets
 from quire.llm.wordmemo import forget
 
 WIDTH, THRESHOLD = 3, 85
 #: Minwise tokens of a sketch.
 COORDS = 64
-#: What the trees and the sketches are sized by: recall of a pair at the threshold, met at this depth.
-RECALL, DEPTH, MISSED = 1 - 1e-6, 4, 1e-6
-#: Sets of a node that is compared exhaustively, sets of a part of a larger one, levels before the exact rest.
-SMALL, PART, LEVELS = 32, 512, 8
+#: What the trees are sized by: recall of a pair at the threshold, met at this depth.
+RECALL, DEPTH = 1 - 1e-6, 4
+#: Levels below the root where paths begin, levels from there on before the exact rest.
+START, LEVELS = 3, 8
+#: Sets of a node that is compared exhaustively, and of a part of a larger one.
+SMALL, PART = 32, 256
 KEYS = "id long, n long, digest binary, sketch array<int>"
 
 
@@ -66,16 +69,6 @@ def trees(threshold: int, recall: float = RECALL, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - met(threshold, depth)))
 
 
-def least_match(threshold: int, coords: int = COORDS, missed: float = MISSED) -> int:
-    """Agreeing minwise tokens below which a pair at the threshold falls with at most that chance."""
-    j, below = threshold / 100, 0.0
-    for k in range(coords + 1):
-        below += math.comb(coords, k) * j**k * (1 - j) ** (coords - k)
-        if below > missed:
-            return k
-    return coords
-
-
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     """For each of some sets of hashes, none empty, the least value of each of ``coords`` hashes of them, in 32 bits."""
     first = np.cumsum([0, *(len(x) for x in sets[:-1])])
@@ -103,19 +96,32 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, KEYS)
 
 
-def shingled(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of ``sets`` (id, doc, n, digest), read from the texts of ``docs`` (id, text) once more."""
+def coords_of(node: Column, threshold: int) -> Column:
+    """The coordinates that a node's sets part by; they depend on the node alone."""
+    first = F.pmod(F.xxhash64(node, F.lit(0)), F.lit(COORDS)).cast("int")
+    # A second coordinate is another than the first.
+    other = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(1)), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS)).cast("int")
+    second = F.pmod(F.xxhash64(node, F.lit("second")), F.lit(1_000_000)) < int(1_000_000 * more_branches(threshold))
+    return F.when(second, F.array(first, other)).otherwise(F.array(first))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                own = {(digest_of(x), len(x)): x for x in shingle_sets(part.column("text"), width)}
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.binary()), pa.array([k[1] for k in own], pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["digest", "n", "shingles"])
 
-    wanted = docs.join(sets.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").select("text")
-    found = wanted.mapInArrow(run, "digest binary, n long, shingles binary").join(sets.select("id", "digest", "n"), ["digest", "n"])
-    # Several texts may have a set; one of them is enough.
-    return found.groupBy("id").agg(F.max("shingles").alias("shingles"))
+def children(node: Column, sketch: Column, threshold: int) -> Column:
+    """The nodes below ``node`` that a set of that sketch goes to."""
+    return F.transform(coords_of(node, threshold), lambda c: F.xxhash64(node, c, F.element_at(sketch, c + 1)))
+
+
+def started(sets: DataFrame, first: int, last: int, threshold: int, start: int = START) -> DataFrame:
+    """(node, id): where the paths of trees ``first`` to ``last`` begin for each of ``sets`` (id, sketch)."""
+    nodes = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda tree: F.xxhash64(F.lit("tree"), tree))
+    for _ in range(start):
+        nodes = F.flatten(F.transform(nodes, lambda node: children(node, F.col("sketch"), threshold)))
+    return sets.select(F.explode(F.array_distinct(nodes)).alias("node"), "id")
+
+
+def branched(open_rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, id): the children of nodes."""
+    rows = open_rows.select("node", "id").join(sets.select("id", "sketch"), "id")
+    return rows.select(F.explode(children(F.col("node"), F.col("sketch"), threshold)).alias("node"), "id")
 
 
 def undecided(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -125,104 +131,97 @@ def undecided(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(nodes.where("low < high").select("node", "k"), "node").select("node", "id", "component", "k")
 
 
-def candidates(open_rows: DataFrame, sets: DataFrame, threshold: int, level: int, near: bool) -> DataFrame:
-    """(a, b), a < b: pairs of a node that may link, of different components.
+def near_cells(open_rows: DataFrame) -> DataFrame:
+    """(node, cell, id, component, side): nodes as they are, larger ones dealt into parts; all rows on both sides."""
+    part = F.when(F.col("k") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("k") / PART)))
+    return open_rows.select("node", part.cast("long").alias("cell"), "id", "component", F.when(F.col("k") <= SMALL, "all").otherwise("next").alias("side"))
 
-    With ``near`` each set meets the next two of its node, in an order that differs from level to level;
-    without, the sets of small nodes meet all those further on."""
-    least, most = least_match(threshold), 2 if near else SMALL
-    part = F.when(F.col("k") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("k") / PART))).cast("int")
-    rows = open_rows.withColumn("part", part).join(sets.select("id", "n", "sketch"), "id").withColumn("at", F.element_at("sketch", -1 - level % 8))
-    rows = rows.repartition("node", "part").sortWithinPartitions("node", "part", "at", "id").select("node", "part", "id", "component", "n", "sketch")
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        node, piece, ids, comp, n = (t.column(c).to_numpy() for c in ("node", "part", "id", "component", "n"))
-        sketch = pa.concat_arrays([c.flatten() for c in t.column("sketch").chunks]).to_numpy().reshape(len(ids), COORDS)
-        found = []
-        for d in range(1, most + 1):
-            i = np.flatnonzero((node[:-d] == node[d:]) & (piece[:-d] == piece[d:])) if d < len(ids) else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            if not near and d <= 2:
-                continue
-            j = i + d
-            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-            i, j = i[keep], j[keep]
-            for at in range(0, len(i), 4096):
-                x, y = i[at : at + 4096], j[at : at + 4096]
-                alike = (sketch[x] == sketch[y]).sum(axis=1) >= least
-                found.append(np.stack([ids[x[alike]], ids[y[alike]]]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        both = np.unique(np.sort(both, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+def exact_cells(open_rows: DataFrame) -> DataFrame:
+    """The same with sides "left" and "right": what is not of a node's main component meets all the node's sets.
+
+    Both are dealt into parts, and each part of one side meets each of the other in a cell."""
+    kinds = open_rows.groupBy("node", "component").agg(F.count("*").alias("size"))
+    nodes = kinds.groupBy("node").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
+    rows = open_rows.join(nodes, "node").withColumns({"rights": F.ceil(F.col("all") / PART), "lefts": F.ceil((F.col("all") - F.col("largest")) / PART)})
+    own = lambda n: F.pmod(F.xxhash64("id", "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    left = rows.where("component <> main").withColumn("other", every("rights")).select("node", (own("lefts") * F.col("rights") + F.col("other")).alias("cell"), "id", "component", F.lit("left").alias("side"))
+    right = rows.withColumn("other", every("lefts")).select("node", (F.col("other") * F.col("rights") + own("rights")).alias("cell"), "id", "component", F.lit("right").alias("side"))
+    return left.unionByName(right)
+
+
+def compared(cells: DataFrame, sets: DataFrame, texts: DataFrame, width: int, threshold: int, level: int) -> DataFrame:
+    """(a, b) of linked pairs between sets of different components that a cell brings together.
+
+    ``sets`` is (id, doc, n, digest), ``texts`` (id, text) of documents; what is small is sent to the texts.
+    Pairs that the cell has connected already are left out."""
+    wanted = stored_small(cells.join(sets.select("id", "doc", "n", "digest"), "id"), "cells")
+    order = F.xxhash64("id", F.lit(level))
+    rows = texts.withColumnRenamed("id", "doc").join(wanted, "doc").withColumn("at", order)
+    rows = rows.repartition("node", "cell").sortWithinPartitions("node", "cell", "side", "at", "id").select("node", "cell", "side", "id", "component", "n", "digest", "text")
+
+    def pairs(side: list[str], ids: list[int], comp: list[int], own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        root = {c: c for c in comp}
+
+        def up(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        lefts = [i for i, s in enumerate(side) if s != "right"]
+        for i in lefts:
+            end = len(ids) if side[i] != "next" else min(len(ids), i + 3)
+            for j in range(i + 1, end) if side[i] != "left" else range(len(lefts), len(ids)):
+                x, y = up(comp[i]), up(comp[j])
+                if x != y and 100 * min(len(own[i]), len(own[j])) >= threshold * max(len(own[i]), len(own[j])):
+                    both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                    if 100 * both >= threshold * (len(own[i]) + len(own[j]) - both):
+                        root[x] = y
+                        yield ids[i], ids[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            # The last node of a batch may go on in the next one.
-            node, piece = t.column("node").to_numpy(), t.column("part").to_numpy()
-            cut = int(np.flatnonzero((node != node[-1]) | (piece != piece[-1]))[-1]) + 1 if (node[0], piece[0]) != (node[-1], piece[-1]) else 0
-            held = t.slice(cut).combine_chunks()
-            if cut:
-                yield pairs(t.slice(0, cut).combine_chunks())
-        if held is not None:
-            yield pairs(held)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        forget()
+        key, held = None, ([], [], [], [])
 
+        def passed_on() -> pa.RecordBatch:
+            out = list(pairs(*held))
+            for column in held:
+                column.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def branched(open_rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, id): the children of nodes; which coordinates a node's sets part by depends on the node alone."""
-    pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)).cast("int")
-    second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1_000_000)) < int(1_000_000 * more_branches(threshold))
-    # The second coordinate is another than the first.
-    other = F.pmod(pick(0) + 1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
-    coords = F.when(second, F.array(pick(0), other)).otherwise(F.array(pick(0)))
-    rows = open_rows.select("node", "id", coords.alias("coords")).join(sets.select("id", "sketch"), "id")
-    rows = rows.select("node", "id", "sketch", F.explode("coords").alias("c"))
-    return rows.select(F.xxhash64("node", "c", F.element_at("sketch", F.col("c") + 1)).alias("node"), "id")
-
-
-def exact_rest(open_rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): each set that is not of its node's main component with the node's sets of other components.
-
-    The node's sets are dealt into parts, and what is not of the main component goes to all of them."""
-    rows = open_rows.join(sets.select("id", "n", "sketch"), "id").withColumn("parts", F.ceil(F.col("k") / PART).cast("int"))
-    kinds = open_rows.groupBy("node", "component").agg(F.count("*").alias("size"))
-    main = kinds.groupBy("node").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    rows = rows.join(main, "node")
-    left = rows.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
-    right = rows.withColumn("part", F.pmod(F.xxhash64("id", "node"), F.col("parts")).cast("int")).alias("y")
-    agreeing = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda same: same))
-    fits = f"x.component <> y.component AND (y.component = y.main OR x.id < y.id) AND 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
-    pairs = left.join(right, (F.col("x.node") == F.col("y.node")) & (F.col("x.part") == F.col("y.part")) & F.expr(fits) & (agreeing >= least_match(threshold)))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-
-
-def components_of(docs: DataFrame, sets: DataFrame, width: int, threshold: int, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """(id, component) of distinct ``sets`` (id, doc, n, digest, sketch) of the texts ``docs`` (id, text)."""
-    roots = math.ceil(trees(threshold, recall) * (1 + more_branches(threshold)))
-    rows = sets.select("id", F.posexplode(F.slice("sketch", 1, min(roots, COORDS))).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
-    comp, whole = sets.select("id", F.col("id").alias("component")), None
-    for level in range(levels + 1):
-        found = stored(undecided(rows, comp), "nodes")
-        if found.isEmpty():
-            break
-        if whole is None:
-            # Whatever meets at a deeper level has met here.
-            whole = stored(shingled(docs, sets.join(found.select("id").distinct(), "id", "left_semi"), width), "sets")
-        if level == levels:
-            comp = joined(comp, verified(exact_rest(found, sets, threshold), whole, threshold))
-            break
-        comp = joined(comp, verified(candidates(found, sets, threshold, level, True), whole, threshold))
-        found = stored(undecided(found.select("node", "id"), comp).where("k > 3"), "nodes")
-        if not found.where(f"k <= {SMALL}").isEmpty():
-            comp = joined(comp, verified(candidates(found.where(f"k <= {SMALL}"), sets, threshold, level, False), whole, threshold))
-        rows = branched(found.where(f"k > {SMALL}"), sets, threshold)
+        for batch in batches:
+            for part in blocks(batch):
+                found = shingle_sets(part.column("text"), width)
+                rest = (part.column(c).to_pylist() for c in ("node", "cell", "side", "id", "component", "n", "digest"))
+                for x, node, cell, side, one, comp, n, digest in zip(found, *rest, strict=True):
+                    if key != (node, cell):
+                        yield passed_on()
+                        key = node, cell
+                    # Another text of that id, or the same row once more.
+                    if n != len(x) or digest != digest_of(x) or held[1] and (held[0][-1], held[1][-1]) == (side, one):
+                        continue
+                    for column, value in zip(held, (side, one, comp, x), strict=True):
+                        column.append(value)
+        yield passed_on()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def components_of(texts: DataFrame, sets: DataFrame, width: int, threshold: int, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
+    """(id, component) of distinct ``sets`` (id, doc, n, digest, sketch) of the texts (id, text)."""
+    comp = sets.select("id", F.col("id").alias("component"))
+    number = trees(threshold, recall)
+    for first, last in ((0, 0), (1, number - 1)):
+        rows = started(sets, first, last, threshold)
+        for level in range(levels + 1):
+            found = stored(undecided(rows, comp), "nodes")
+            if found.isEmpty():
+                break
+            cells = exact_cells(found) if level == levels else near_cells(found)
+            comp = joined(comp, compared(cells, sets, texts, width, threshold, level))
+            rows = branched(found.where(f"k > {SMALL}"), sets, threshold)
     return comp
 
 
@@ -233,7 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = keys.where("n > 0").groupBy("digest", "n", "sketch").agg(F.min("id").alias("doc"))
     # Under numbers of their own, since several sets may share an id.
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    comp = components_of(texts, sets, width, threshold, recall, levels)
+    # Rows that repeat an id and a text would come to each node again and again.
+    repeated = not keys.groupBy("id", "digest").count().where("count > 1").isEmpty()
+    comp = components_of(texts.dropDuplicates(["id", "text"]) if repeated else texts, sets, width, threshold, recall, levels)
     found = sets.select("id", "digest", "n", "doc").join(comp, "id")
     least = found.groupBy("component").agg(F.min("doc").alias("least"))
     reps = found.join(least, "component").select("digest", "n", "least")
