@@ -6,16 +6,16 @@ A document is the set of its distinct three-word shingles; two link when their J
 A node holds sets.  At each node one or two of the COORDS are chosen, 1 / 0.85 on average, and the node's sets
 part by their minwise tokens there: sets that share one meet again in a child.  A linked pair so has at least
 one child in common on average, however deep the tree, while other pairs die out.  Paths begin START levels
-below the root, where most nodes hold one set only.  Nodes of at most SMALL sets are compared exhaustively, and
-in larger ones each set is compared with the next two, which soon joins large groups of copies; then they are
-branched.  The trees miss a pair with a chance below 1 - RECALL: a first one joins most groups, and the others
-look only at nodes whose sets are not all of one component by then.
+below the root, where most nodes hold one set only.  Nodes of at most SMALL sets are compared exhaustively.
+Larger ones are dealt into parts that are, which soon joins large groups of copies, and then branched; so no
+node has to fit into a task.  The trees miss a pair with a chance below 1 - RECALL: a first one joins most
+groups, and the others look only at nodes whose sets are not all of one component by then.
 
-All trees go down one level at a time, as one table (node, id).  The sets of a larger node are dealt into parts,
-so that no node has to fit into a task.  A node's texts come to it, and their whole sets are compared there, so
-that pairs are never shuffled; what is connected within the node already is not compared again.  What is still
-undecided LEVELS levels below the start is met exactly: the sets outside of a node's main component with all of
-the node's other sets, part by part.
+All trees go down one level at a time, as one table (node, id).  A node's texts come to it, and their whole sets
+are compared there, so that pairs are never shuffled; what is connected already is not compared again, and
+pairs of which too few minwise tokens agree, a chance of MISSED for linked ones, are not verified.  What is
+still undecided LEVELS levels below the start is met without chance: the sets outside of a node's main component
+with all of the node's other sets, part by part.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer than
 three words make one shingle of them all; rows that repeat an id are one document if their texts agree and
@@ -43,10 +43,12 @@ WIDTH, THRESHOLD = 3, 85
 COORDS = 64
 #: What the trees are sized by: recall of a pair at the threshold, met at this depth.
 RECALL, DEPTH = 1 - 1e-6, 4
+#: The chance that a pair at the threshold has too few minwise tokens in common to be verified.
+MISSED = 1e-9
 #: Levels below the root where paths begin, levels from there on before the exact rest.
-START, LEVELS = 3, 8
-#: Sets of a node that is compared exhaustively, and of a part of a larger one.
-SMALL, PART = 32, 256
+START, LEVELS = 3, 4
+#: Sets of a node, or of a part of a larger one, that are compared exhaustively.
+SMALL = 256
 KEYS = "id long, n long, digest binary, sketch array<int>"
 
 
@@ -69,6 +71,16 @@ def trees(threshold: int, recall: float = RECALL, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - met(threshold, depth)))
 
 
+def least_match(threshold: int, coords: int = COORDS, missed: float = MISSED) -> int:
+    """Agreeing minwise tokens below which a pair at the threshold falls with at most that chance."""
+    j, below = threshold / 100, 0.0
+    for k in range(coords + 1):
+        below += math.comb(coords, k) * j**k * (1 - j) ** (coords - k)
+        if below > missed:
+            return k
+    return coords
+
+
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     """For each of some sets of hashes, none empty, the least value of each of ``coords`` hashes of them, in 32 bits."""
     first = np.cumsum([0, *(len(x) for x in sets[:-1])])
@@ -132,9 +144,8 @@ def undecided(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_cells(open_rows: DataFrame) -> DataFrame:
-    """(node, cell, id, component, side): nodes as they are, larger ones dealt into parts; all rows on both sides."""
-    part = F.when(F.col("k") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("k") / PART)))
-    return open_rows.select("node", part.cast("long").alias("cell"), "id", "component", F.when(F.col("k") <= SMALL, "all").otherwise("next").alias("side"))
+    """(node, cell, id, component, side): nodes as they are, larger ones dealt into parts; all sets of a cell meet."""
+    return open_rows.select("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("k") / SMALL)).alias("cell"), "id", "component", F.lit("all").alias("side"))
 
 
 def exact_cells(open_rows: DataFrame) -> DataFrame:
@@ -143,7 +154,7 @@ def exact_cells(open_rows: DataFrame) -> DataFrame:
     Both are dealt into parts, and each part of one side meets each of the other in a cell."""
     kinds = open_rows.groupBy("node", "component").agg(F.count("*").alias("size"))
     nodes = kinds.groupBy("node").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
-    rows = open_rows.join(nodes, "node").withColumns({"rights": F.ceil(F.col("all") / PART), "lefts": F.ceil((F.col("all") - F.col("largest")) / PART)})
+    rows = open_rows.join(nodes, "node").withColumns({"rights": F.ceil(F.col("all") / SMALL), "lefts": F.ceil((F.col("all") - F.col("largest")) / SMALL)})
     own = lambda n: F.pmod(F.xxhash64("id", "node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     left = rows.where("component <> main").withColumn("other", every("rights")).select("node", (own("lefts") * F.col("rights") + F.col("other")).alias("cell"), "id", "component", F.lit("left").alias("side"))
@@ -151,35 +162,39 @@ def exact_cells(open_rows: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def compared(cells: DataFrame, sets: DataFrame, texts: DataFrame, width: int, threshold: int, level: int) -> DataFrame:
+def compared(cells: DataFrame, sets: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """(a, b) of linked pairs between sets of different components that a cell brings together.
 
     ``sets`` is (id, doc, n, digest), ``texts`` (id, text) of documents; what is small is sent to the texts.
     Pairs that the cell has connected already are left out."""
     wanted = stored_small(cells.join(sets.select("id", "doc", "n", "digest"), "id"), "cells")
-    order = F.xxhash64("id", F.lit(level))
-    rows = texts.withColumnRenamed("id", "doc").join(wanted, "doc").withColumn("at", order)
-    rows = rows.repartition("node", "cell").sortWithinPartitions("node", "cell", "side", "at", "id").select("node", "cell", "side", "id", "component", "n", "digest", "text")
+    rows = texts.withColumnRenamed("id", "doc").join(wanted, "doc")
+    rows = rows.repartition("node", "cell").sortWithinPartitions("node", "cell", "side", "id").select("node", "cell", "side", "id", "component", "n", "digest", "text")
+
+    least = least_match(threshold)
 
     def pairs(side: list[str], ids: list[int], comp: list[int], own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        root = {c: c for c in comp}
-
-        def up(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        lefts = [i for i, s in enumerate(side) if s != "right"]
-        for i in lefts:
-            end = len(ids) if side[i] != "next" else min(len(ids), i + 3)
-            for j in range(i + 1, end) if side[i] != "left" else range(len(lefts), len(ids)):
-                x, y = up(comp[i]), up(comp[j])
-                if x != y and 100 * min(len(own[i]), len(own[j])) >= threshold * max(len(own[i]), len(own[j])):
-                    both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                    if 100 * both >= threshold * (len(own[i]) + len(own[j]) - both):
-                        root[x] = y
+        if len(ids) < 2:
+            return
+        # What is on the left comes first, and meets what is on the right.
+        lefts, of, n, sketch = side.count("left"), np.array(comp), np.array([len(x) for x in own]), sketches(own)
+        # Shingles by small numbers, so that what a set has can be marked.
+        values, numbers = np.unique(np.concatenate(own), return_inverse=True)
+        ends, marked = np.concatenate([[0], np.cumsum(n)]), np.zeros(len(values), bool)
+        for i in range(lefts or len(ids)):
+            first = lefts or i + 1
+            fits = (of[first:] != of[i]) & (100 * np.minimum(n[first:], n[i]) >= threshold * np.maximum(n[first:], n[i])) & ((sketch[first:] == sketch[i]).sum(axis=1) >= least)
+            there = (first + np.flatnonzero(fits)).tolist()
+            if there:
+                marked[numbers[ends[i] : ends[i + 1]]] = True
+            for j in there:
+                if of[i] != of[j]:
+                    both = int(np.count_nonzero(marked[numbers[ends[j] : ends[j + 1]]]))
+                    if 100 * both >= threshold * (n[i] + n[j] - both):
+                        of[of == of[j]] = of[i]
                         yield ids[i], ids[j]
+            if there:
+                marked[numbers[ends[i] : ends[i + 1]]] = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -220,7 +235,8 @@ def components_of(texts: DataFrame, sets: DataFrame, width: int, threshold: int,
             if found.isEmpty():
                 break
             cells = exact_cells(found) if level == levels else near_cells(found)
-            comp = joined(comp, compared(cells, sets, texts, width, threshold, level))
+            edges = stored(compared(cells, sets, texts, width, threshold), "edges")
+            comp = comp if edges.isEmpty() else joined(comp, edges)
             rows = branched(found.where(f"k > {SMALL}"), sets, threshold)
     return comp
 

@@ -72,7 +72,7 @@ def test_repeated_and_missing_ids(spark):
 def test_bounds():
     assert chosen_paths.met(100, 9) == 1 and chosen_paths.met(85, 1) > 0.85 > chosen_paths.met(85, 4) > 0.6
     assert (1 - chosen_paths.met(85, chosen_paths.DEPTH)) ** chosen_paths.trees(85) <= 1 - chosen_paths.RECALL
-    # Agreeing tokens follow the similarity.
+    # Agreeing tokens follow the similarity, and linked pairs are above the bound.
     rng = np.random.default_rng(1)
     shares = []
     for _ in range(400):
@@ -80,4 +80,5 @@ def test_bounds():
         a, b = np.sort(x[:370]), np.sort(np.concatenate([x[30:]]))
         s = chosen_paths.sketches([a, b])
         shares.append((s[0] == s[1]).sum())
+    assert min(shares) >= chosen_paths.least_match(85) and chosen_paths.least_match(100) == chosen_paths.COORDS
     assert abs(np.mean(shares) / chosen_paths.COORDS - 0.85) < 0.01
