@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
+from quire.operators import chunks
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -34,9 +35,9 @@ def backlog(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def embed_backlog(chunks: DataFrame) -> DataFrame:
+def embed_backlog(rows: DataFrame) -> DataFrame:
     """Chunks that have a text and no vector yet."""
-    return chunks.where(F.col("embedding").isNull() | (F.size("embedding") == 0)).where(strip(F.coalesce("text", F.lit(""))) != "")
+    return rows.where(F.col("embedding").isNull() | (F.size("embedding") == 0)).where(strip(F.coalesce("text", F.lit(""))) != "")
 
 
 def extract_backlog(chunks: DataFrame, links: DataFrame, sections: DataFrame, docs: DataFrame, done: DataFrame) -> DataFrame:
@@ -58,11 +59,13 @@ def with_embeddings(chunks: DataFrame, vectors: DataFrame, model: str, at: Colum
     return rows.withColumns({"embedding": F.coalesce("vector", old("embedding", "array<float>")), "embedding_model": F.when(fresh, F.lit(model)).otherwise(old("embedding_model", "string")), "embedded_at": F.when(fresh, at).otherwise(old("embedded_at", "string"))}).drop("vector")
 
 
-def ingest_counts(docs: DataFrame, sections: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
-    """(what, n) for the tables of one ingest."""
-    named = (("docs", docs), ("sections", sections), ("chunks", chunks), ("links", links))
-    out = None
-    for name, rows in named:
-        one = rows.select(F.lit(name).alias("what")).groupBy("what").agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def ingest_counts(docs: DataFrame) -> DataFrame:
+    """(what, n) for one ingest of documents (doc_id, sections): documents, sections, chunks and links.
+
+    The rows are counted as they pass, in one job that cuts the texts once.  A stage that is run anew because an
+    executor was lost counts its rows again; count the written tables where that matters."""
+    seen = {what: Observation(what) for what in ("docs", "sections", "chunks", "links")}
+    passing = lambda rows, what: rows.observe(seen[what], F.count(F.lit(1)).alias("n"))
+    parts = passing(chunks.chunk(passing(chunks.sections(passing(docs, "docs")), "sections")), "chunks")
+    passing(chunks.links(parts), "links").write.format("noop").mode("overwrite").save()
+    return docs.sparkSession.createDataFrame([(what, one.get["n"]) for what, one in seen.items()], "what string, n long")

@@ -178,6 +178,9 @@ ORACLES = {
     "sections_flatten": f"SELECT doc_id, section_index::INT AS section_index, doc_id || ':s' || CASE WHEN section_index < 1000 THEN lpad(section_index::VARCHAR, 3, '0') ELSE section_index::VARCHAR END AS section_id, {_N_TOKENS.format('text')} FROM ({_LINES}) WHERE trim(text) <> ''",
     "chunk_spans": _SPAN_ROWS,
     "incremental_chunks": _SPAN_ROWS,
+    "keyed_upserts": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey",
+    "graph_load": f"SELECT doc_id, count(*) AS n_links FROM ({_LINES}) WHERE trim(text) <> '' AND ((doc_id % 2 = 0) OR (doc_id % 2 = 1 AND doc_id % 5 > 0)) GROUP BY doc_id",
+    "corpus_statistics": r"WITH split AS (SELECT list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents) SELECT term, count(*) AS df, 0::BIGINT AS total FROM (SELECT unnest(list_distinct(t)) AS term FROM split) GROUP BY term UNION ALL SELECT '', count(*), sum(len(t))::BIGINT FROM split",
     "backlog_commits": "SELECT doc_id AS chunk_id, length(text)::INT AS size, CASE WHEN toxic = 1 THEN 'retried' ELSE 'second' END AS run FROM documents JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)",
     "question_keywords": f"SELECT q_id, array_to_string({_keywords('question')}, ' ') AS words FROM ({_ITEMS})",
     "question_rewrite": f"SELECT conv_id, turn, original_question, {_clean(_COMPACT)} AS clean_query, ref_base, ref_full, array_to_string(k, ' ') AS keywords FROM (SELECT *, {_TURN_BASE} AS ref_base, {_TURN_FULL} AS ref_full, {_keywords('original_question')} AS k FROM (SELECT conv_id, turn, {_clean('question')} AS original_question FROM ({_TURN})))",

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import catalog, extraction, hooks, pages
+from quire.operators import catalog, extraction, hooks, loading, pages
 from quire.operators import chunks as C
 from quire.operators import context as K
 from quire.operators import graph as G
 from quire.operators import search as S
 from quire.plans.oracles import ORACLES, RESPONSE
+from quire.sources import keyed
 from quire.sources.scratch import new_dir, stored
 from quire.streaming import backlog, incremental
 
@@ -267,10 +268,40 @@ def generate_hook(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = _lines(spark, d)
-    sections = C.sections(docs)
-    chunks = C.chunk(sections)
-    return G.ingest_counts(docs, sections, chunks, C.links(chunks))
+    return G.ingest_counts(_lines(spark, d))
+
+
+def keyed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """The last order of each customer by three upserts of parts of the orders, one of them run twice."""
+    at, orders = new_dir(spark, "keyed"), _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    for k in (2, 0, 1, 0):
+        last = orders.where(F.col("o_orderkey") <= 1_000_000_000).where(F.pmod(F.col("o_orderkey") + F.col("o_custkey"), F.lit(3)) == k)
+        known = keyed.current(spark, at, "last")
+        both = last if known is None else last.unionByName(known.join(last.select("o_custkey"), "o_custkey", "left_semi"))
+        keyed.upsert(both, at, "last", ["o_custkey"], [F.col("o_orderkey")], name=f"part-{k}", buckets=16)
+    return keyed.current(spark, at, "last").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+def graph_load(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads of documents, their lines as sections and chunks: the second brings the documents that sections of the first lack."""
+    at, rows = new_dir(spark, "graph"), C.sections(_lines(spark, d))
+    parts = rows.select("section_id", "doc_id", F.concat("section_id", F.lit("/c")).alias("chunk_id"), X.token_count(F.col("text")).alias("size"))
+    batch = lambda docs, few: {"docs": docs, "sections": few.select("section_id", "doc_id"), "chunks": few.select("chunk_id", "size"), "links": parts.select("section_id", "chunk_id")}
+    docs = _t(spark, d, "documents").select("doc_id")
+    loading.load(spark, at, "one", batch(docs.where("doc_id % 2 = 0"), parts.where("doc_id % 3 > 0")), [F.lit(1)], 8)
+    loading.load(spark, at, "two", batch(docs.where("doc_id % 2 = 1 and doc_id % 5 > 0"), parts.where("doc_id % 3 = 0 or doc_id % 2 = 1")), [F.lit(1)], 8)
+    return keyed.current(spark, at, "links").join(keyed.current(spark, at, "sections"), "section_id").groupBy("doc_id").agg(F.count("*").alias("n_links"))
+
+
+def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies after three batches: all documents, many of them cut short; those anew; the last again."""
+    at, docs = new_dir(spark, "statistics"), _chunks(spark, d)
+    cut = docs.withColumn("text", F.when(F.col("chunk_id") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")))
+    loading.count_in(cut.where("chunk_id % 5 > 0"), at, "one", [F.length("text")], 8)
+    loading.count_in(docs.where("chunk_id % 3 = 0 OR chunk_id % 5 = 0"), at, "two", [F.length("text")], 8)
+    loading.count_in(docs.where("chunk_id % 7 = 0"), at, "three", [F.length("text")], 8)
+    loading.count_in(cut, at, "three", [F.length("text")], 8)
+    return loading.statistics(spark, at)
 
 
 def incremental_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -360,5 +391,8 @@ QUERIES = {
     "ingest_counts": ingest_counts,
     "incremental_chunks": incremental_chunks,
     "backlog_commits": backlog_commits,
+    "keyed_upserts": keyed_upserts,
+    "graph_load": graph_load,
+    "corpus_statistics": corpus_statistics,
     "props_json": props_json,
 }

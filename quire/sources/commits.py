@@ -11,29 +11,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.scratch import drop_dir
+from quire.sources.scratch import drop_dir, exists
 
 #: ``replaced`` names the parts of the table that the write holds anew; null for a write that adds rows.
 COMMIT = "number long, name string, writes array<struct<table:string,write:string,replaced:array<int>>>"
 
 
-def found(read, empty: DataFrame | None = None) -> DataFrame | None:
-    """What ``read()`` gives; ``empty`` where nothing has been written yet."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return empty
-
-
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """(number, name, writes) of all commits; none where nothing is committed."""
-    return found(lambda: spark.read.schema(COMMIT).json(f"{path}/commits"), spark.createDataFrame([], COMMIT))
+    at = f"{path}/commits"
+    return spark.read.schema(COMMIT).json(at) if exists(spark, at) else spark.createDataFrame([], COMMIT)
 
 
 def is_committed(spark: SparkSession, path: str, name: str) -> bool:
@@ -64,9 +54,9 @@ def committed(spark: SparkSession, path: str, table: str, schema: str | None = N
     """The rows of the committed writes of a table, with ``number`` and ``write``; None where it has no folder yet.
 
     Writes that no commit names are left out before they are read: ``write`` is the folder's name."""
-    rows = found(lambda: (spark.read.schema(f"{schema}, write string") if schema else spark.read).parquet(f"{path}/{table}"))
-    if rows is None:
+    if not exists(spark, f"{path}/{table}"):
         return None
+    rows = (spark.read.schema(f"{schema}, write string") if schema else spark.read).parquet(f"{path}/{table}")
     return rows.join(F.broadcast(writes_of(spark, path, table).select("write", "number")), "write")
 
 

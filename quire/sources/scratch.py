@@ -38,6 +38,11 @@ def bytes_of(spark: SparkSession, path: str) -> int:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
