@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import netloc, short_id, strip
+from quire.operators.known import unknown
+from quire.sources.scratch import stored
 
 COLUMNS = ("id", "url", "domain", "discoveredat", "status", "state")
 
@@ -16,7 +18,8 @@ def _text(c: str) -> F.Column:
 
 def merge(known: DataFrame, new: DataFrame, discovered: F.Column) -> DataFrame:
     """Known rows as they are, and one pending row for each new url of (url, state); the least state counts where a url comes twice."""
-    fresh = new.where(_text("url") != "").groupBy("url").agg(F.min(F.coalesce("state", F.lit(""))).alias("state")).join(known.select("url"), "url", "left_anti")
+    fresh = new.where(_text("url") != "").groupBy("url").agg(F.min(F.coalesce("state", F.lit(""))).alias("state"))
+    fresh = unknown(stored(fresh, "found"), known, "url")
     rows = fresh.select(short_id(F.col("url")).alias("id"), "url", netloc(F.col("url")).alias("domain"), discovered.alias("discoveredat"), F.lit("pending").alias("status"), "state")
     return known.select(*COLUMNS).unionByName(rows)
 

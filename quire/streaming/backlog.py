@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.operators.known import unknown
 from quire.sources import commits
 
 Step = Callable[[DataFrame], DataFrame]
@@ -57,14 +58,15 @@ def write_batch(rows: DataFrame, path: str, name: str, step: Step, key: str = "c
     if commits.is_committed(spark, path, name):
         return False
     # Several writes read the rows: a stateful stream, or a dear one, runs once.
-    fresh = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(done(spark, path, key, rows), key, "left_anti").persist()
+    once = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).persist()
     try:
+        fresh = unknown(once, done(spark, path, key, rows), key)
         got = commits.write(step(fresh).where(F.col(key).isNotNull()).dropDuplicates([key]), path, RESULTS)
         # The step has run once: what it gave is read back, never made again.
         given = spark.read.parquet(f"{path}/{RESULTS}/write={got}").select(key)
         lost = commits.write(fresh.join(given, key, "left_anti"), path, FAILED)
     finally:
-        fresh.unpersist()
+        once.unpersist()
     before_commit()
     commits.commit(spark, path, name, [(RESULTS, got, None), (FAILED, lost, None)])
     return True
