@@ -7,15 +7,14 @@ A node holds sets.  At each node one or two of the COORDS are chosen, 1 / 0.85 o
 part by their minwise tokens there: sets that share one meet again in a child.  A linked pair so has at least
 one child in common on average, however deep the tree, while other pairs die out.  Paths begin START levels
 below the root, where most nodes hold one set only.  Nodes of at most SMALL sets are compared exhaustively.
-Larger ones are dealt into parts that are, which soon joins large groups of copies, and then branched; so no
-node has to fit into a task.  The trees miss a pair with a chance below 1 - RECALL: a first one joins most
+Larger ones are dealt into parts that are, which soon joins large groups of copies; so no node has to fit into
+a task.  In those of at most LARGE sets, what is outside of the main component then meets all of the node's other
+sets, part by part; still larger ones are branched, up to LEVELS times.  The trees miss a pair with a chance below 1 - RECALL: a first one joins most
 groups, and the others look only at nodes whose sets are not all of one component by then.
 
 All trees go down one level at a time, as one table (node, id).  A node's texts come to it, and their whole sets
 are compared there, so that pairs are never shuffled; what is connected already is not compared again, and
-pairs of which too few minwise tokens agree, a chance of MISSED for linked ones, are not verified.  What is
-still undecided LEVELS levels below the start is met without chance: the sets outside of a node's main component
-with all of the node's other sets, part by part.
+pairs of which too few minwise tokens agree, a chance of MISSED for linked ones, are not verified.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer than
 three words make one shingle of them all; rows that repeat an id are one document if their texts agree and
@@ -45,10 +44,10 @@ COORDS = 64
 RECALL, DEPTH = 1 - 1e-6, 4
 #: The chance that a pair at the threshold has too few minwise tokens in common to be verified.
 MISSED = 1e-9
-#: Levels below the root where paths begin, levels from there on before the exact rest.
-START, LEVELS = 3, 4
-#: Sets of a node, or of a part of a larger one, that are compared exhaustively.
-SMALL = 256
+#: Levels below the root where paths begin, and levels from there on to which nodes are branched.
+START, LEVELS = 3, 12
+#: Sets of a node, or of a part of a larger one, that are compared exhaustively; sets of a node that is not branched.
+SMALL, LARGE = 256, 4_096
 KEYS = "id long, n long, digest binary, sketch array<int>"
 
 
@@ -227,17 +226,26 @@ def compared(cells: DataFrame, sets: DataFrame, texts: DataFrame, width: int, th
 def components_of(texts: DataFrame, sets: DataFrame, width: int, threshold: int, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
     """(id, component) of distinct ``sets`` (id, doc, n, digest, sketch) of the texts (id, text)."""
     comp = sets.select("id", F.col("id").alias("component"))
-    number = trees(threshold, recall)
-    for first, last in ((0, 0), (1, number - 1)):
-        rows = started(sets, first, last, threshold)
-        for level in range(levels + 1):
-            found = stored(undecided(rows, comp), "nodes")
-            if found.isEmpty():
-                break
-            cells = exact_cells(found) if level == levels else near_cells(found)
-            edges = stored(compared(cells, sets, texts, width, threshold), "edges")
-            comp = comp if edges.isEmpty() else joined(comp, edges)
-            rows = branched(found.where(f"k > {SMALL}"), sets, threshold)
+
+    def merged(cells: DataFrame) -> DataFrame:
+        edges = stored(compared(cells, sets, texts, width, threshold), "edges")
+        return comp if edges.isEmpty() else joined(comp, edges)
+
+    # One tree joins most groups.
+    found = stored(undecided(started(sets, 0, 0, threshold), comp), "nodes")
+    comp = comp if found.isEmpty() else merged(near_cells(found))
+    rows = started(sets, 1, trees(threshold, recall) - 1, threshold)
+    for level in range(levels + 1):
+        found = stored(undecided(rows, comp), "nodes")
+        if found.isEmpty():
+            break
+        comp = merged(near_cells(found))
+        left = stored(undecided(found.where(f"k > {SMALL}").select("node", "id"), comp), "nodes")
+        last = left if level == levels else left.where(f"k <= {LARGE}")
+        comp = comp if last.isEmpty() else merged(exact_cells(last))
+        rows = branched(left.where(f"k > {LARGE}"), sets, threshold)
+        if level == levels or left.where(f"k > {LARGE}").isEmpty():
+            break
     return comp
 
 

@@ -49,8 +49,10 @@ def components(spark, rows, **how):
     return docs, chosen_paths.near_duplicates(docs, **how)
 
 
-@pytest.mark.parametrize("levels", [chosen_paths.LEVELS, 1, 0])
-def test_equals_brute_force(spark, rows, levels):
+@pytest.mark.parametrize(("levels", "small", "large"), [(chosen_paths.LEVELS, chosen_paths.SMALL, chosen_paths.LARGE), (3, 8, 16), (0, 16, 16)])
+def test_equals_brute_force(spark, rows, monkeypatch, levels, small, large):
+    monkeypatch.setattr(chosen_paths, "SMALL", small)
+    monkeypatch.setattr(chosen_paths, "LARGE", large)
     want = ngram_join.brute_force(rows, chosen_paths.WIDTH, chosen_paths.THRESHOLD)
     got = {r.id: r for r in components(spark, rows, levels=levels)[1].collect()}
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == want
