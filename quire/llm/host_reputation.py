@@ -25,6 +25,8 @@ from quire.llm.common import stored, table
 
 #: Rules as "host/path", with what they say.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: A host is blocked where more than a quarter of its pages are bad with a chance of 95 in 100: one clean page in
+#: four doesn't make up for three bad ones, and 1.645 deviations leave 5 in 100 below.
 LIMIT, DEVIATIONS = 0.25, 1.645
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
