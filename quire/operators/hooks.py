@@ -1,10 +1,11 @@
 """Models that the caller brings: embedding and generation of texts, batch by batch within Spark tasks.
 
-The number of partitions is the number of calls at a time; write what comes back before it is used twice."""
+Each partition calls by itself; write what comes back before it is used twice."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,9 +32,11 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], ba
     return rows.mapInPandas(run, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, vector array<float>")
 
 
-def generate(chunks: DataFrame, model: Callable[[str], str], prompt: F.Column, good: Callable[[str], bool], tries: int = TRIES) -> DataFrame:
+def generate(chunks: DataFrame, model: Callable[[str], str], prompt: F.Column, good: Callable[[str], bool], tries: int = TRIES, at_once: int = 1) -> DataFrame:
     """(chunk_id, response, attempts, status) for chunks (chunk_id, text).
 
+    A task has at most ``at_once`` chunks with the model at a time; a model that is called by threads must allow it.
+
     An answer that is not ``good`` is asked for again, ``tries`` times in all, then it is `bad_json`; an
     exception ends a chunk's attempts as `llm_fail`; a blank text is `ok` with an empty object."""
 
@@ -51,9 +54,10 @@ def generate(chunks: DataFrame, model: Callable[[str], str], prompt: F.Column, g
         return answer, tries, "bad_json"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [one(t, p) for t, p in zip(frame["text"], frame["prompt"], strict=True)]
-            yield pd.DataFrame({"chunk_id": frame["chunk_id"].to_numpy(), "response": [x[0] for x in found], "attempts": [x[1] for x in found], "status": [x[2] for x in found]})
+        with ThreadPoolExecutor(at_once) as threads:
+            for frame in frames:
+                found = list(threads.map(one, frame["text"], frame["prompt"]))
+                yield pd.DataFrame({"chunk_id": frame["chunk_id"].to_numpy(), "response": [x[0] for x in found], "attempts": [x[1] for x in found], "status": [x[2] for x in found]})
 
     rows = chunks.select("chunk_id", "text", prompt.alias("prompt"))
     out = rows.mapInPandas(run, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, response string, attempts int, status string")

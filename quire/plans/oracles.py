@@ -219,6 +219,7 @@ SELECT * FROM (SELECT q_id, chunk_id, 10 * entity_score + hit_bonus AS score, en
     "key_violations": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "link_integrity": "SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)",
     "model_json_entities": f"WITH {_SAID} SELECT * FROM nodes",
+    "extraction_loop": f"WITH {_SAID} SELECT * FROM nodes",
     "model_json_mentions": f"WITH {_SAID} SELECT chunk_id, entity_id, evidence_excerpt FROM (SELECT chunk_id, id AS entity_id, evidence_excerpt, row_number() OVER (PARTITION BY chunk_id, id ORDER BY place DESC) AS k FROM ent) WHERE k = 1",
     "model_json_dates": f"WITH {_SAID} SELECT chunk_id, entity_id, label, certainty FROM (SELECT chunk_id, id AS entity_id, label, certainty, row_number() OVER (PARTITION BY chunk_id, id ORDER BY place DESC) AS k FROM dat) WHERE k = 1",
     "model_json_relations": f"""WITH {_SAID}, ends AS (SELECT chunk_id, place, {_id(_type("st"), "s")} AS source_id, {_id(_type("tt"), "t")} AS target_id, CASE WHEN relation_type = '' THEN 'RELATED_TO' ELSE relation_type END AS relation_type, evidence_excerpt FROM (

@@ -14,7 +14,7 @@ from quire.operators import search as S
 from quire.plans.oracles import ORACLES, RESPONSE
 from quire.sources import keyed
 from quire.sources.scratch import new_dir, stored
-from quire.streaming import backlog, incremental
+from quire.streaming import backlog, extract, incremental
 
 __all__ = ["ORACLES", "QUERIES", "answers"]
 
@@ -229,6 +229,30 @@ def extraction_written(spark: SparkSession, d: str) -> DataFrame:
     return extraction.marked_done(chunks, _answers(spark, d), "model-a", F.lit("2024-01-01T00:00:00Z")).select("chunk_id", "significance", "extract_model", "extracted_at")
 
 
+def extraction_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The entities of model_json_entities by the loop: a run in which the model fails for some chunks and that dies, the same again, and a retry."""
+    at = new_dir(spark, "extraction")
+    labels = _t(spark, d, "labels").select("doc_id", "quality").distinct()
+    said = _t(spark, d, "documents").join(labels, "doc_id").selectExpr("doc_id AS chunk_id", "cast(doc_id % 50 AS string) AS doc_id", f"{RESPONSE} AS text")
+
+    def fails(prompt: str) -> str:
+        if "Topic 3" in prompt:
+            raise OSError("gone")
+        return prompt
+
+    def dies() -> None:
+        raise RuntimeError("before the commit")
+
+    step = lambda model: extract.step(model, F.col("text"), lambda answer: "{" in answer, at_once=4)
+    try:
+        backlog.write_batch(said, at, "one", step(lambda prompt: prompt), before_commit=dies)
+    except RuntimeError:
+        pass
+    backlog.write_batch(said, at, "one", step(fails))
+    backlog.retry(spark, at, step(lambda prompt: prompt))
+    return extract.tables(spark, at)["entities"].select("id", "name", "type", F.array_join("aliases", ",").alias("aliases"), "source_doc_id")
+
+
 def _embedded(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return _t(spark, d, "documents").join(e, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", "embedding")
@@ -384,6 +408,7 @@ QUERIES = {
     "model_json_dates": model_json_dates,
     "model_json_relations": model_json_relations,
     "extraction_written": extraction_written,
+    "extraction_loop": extraction_loop,
     "embed_backlog": embed_backlog,
     "extract_backlog": extract_backlog,
     "embed_hook": embed_hook,

@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quire.sources import commits
-from quire.streaming import backlog, incremental
+from quire.streaming import backlog, extract, incremental
 
 ROWS = "chunk_id string, doc_id string, text string"
 
@@ -129,3 +129,23 @@ def test_stream_of_a_file_and_of_a_folder(spark, tmp_path):
         stream = incremental.stream_of(spark, f"{tmp_path}/{name}.parquet", rows.schema)
         incremental.batch_stream(stream, f"{tmp_path}/out-{name}", f"{tmp_path}/ck-{name}").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out-{name}").count() == 2
+
+
+def test_extraction_loop(spark, at):
+    rows = spark.createDataFrame([(k, "d", t) for k, t in enumerate(["Ann", "fails", "prose", " ", None, "Bob"])], "chunk_id int, doc_id string, text string")
+    lost = {"fails"}
+
+    def model(prompt):
+        if prompt in lost:
+            raise OSError("gone")
+        return "no object" if prompt == "prose" else f'{{"entities": [{{"name": "{prompt}", "type": "people"}}]}}'
+
+    step = extract.step(model, F.col("text"), lambda answer: answer.startswith("{"), at_once=3)
+    assert extract.tables(spark, at("said")) is None and backlog.write_batch(rows, at("said"), "one", step)
+    names = lambda: sorted((r.name, r.type) for r in extract.tables(spark, at("said"))["entities"].collect())
+    assert names() == [("Ann", "Person"), ("Bob", "Person")]
+    # Blank texts are done with an empty object; prose and exceptions stay pending.
+    assert sorted(r.chunk_id for r in backlog.failed(spark, at("said"), "chunk_id").collect()) == [1, 2]
+    backlog.retry(spark, at("said"), extract.step(lambda p: '{"entities": [{"name": "Cy"}]}', F.col("text"), lambda answer: True))
+    assert names() == [("Ann", "Person"), ("Bob", "Person"), ("Cy", "Concept")]
+    assert extract.tables(spark, at("said"))["mentions"].count() == 4
