@@ -188,6 +188,9 @@ ORACLES = {
     "answers": _ANSWERS,
     "bm25_topk": f"WITH {_asked()}, {_bm25()} SELECT q_id, chunk_id, score, rank::INT AS rank FROM ft WHERE rank <= 60",
     "keyword_rank": f"WITH {_PARTS}, {_asked()}, {_bm25()}, {_KEYWORD} SELECT * FROM keyword WHERE rank <= 8",
+    "titled_ranking": f"WITH parts AS (SELECT doc_id AS chunk_id, concat_ws(' ', coalesce(substr(item, 1, 80), ''), '6' || lpad((doc_id % 1000)::VARCHAR, 3, '0'), coalesce(lang, ''), coalesce(text, '')) AS text FROM documents LEFT JOIN (SELECT item_id, min(text) AS item FROM benchmark GROUP BY item_id) ON item_id = doc_id % 50), {_asked()}, {_bm25()}, {_KEYWORD} SELECT * FROM keyword WHERE rank <= 8",
+    "title_rules": r"""SELECT doc_id, trim(regexp_replace(trim(' ' || (doc_id % 12) || ['. ', ')', ' - ', ':', '.1 ', ' '][doc_id % 6 + 1] || coalesce(source, '')), '^\s*\d+\s*[.)\-:]\s*', '')) AS title,
+nullif(CASE doc_id % 4 WHEN 0 THEN trim(lang) WHEN 1 THEN '' WHEN 2 THEN '(' || lang ELSE trim(lang) END, '') AS state, CASE WHEN doc_id % 3 < 2 THEN coalesce(source, '') ELSE coalesce(source, '') || '.' END AS cut FROM documents""",
     "vector_topk": f"WITH {_VEC} SELECT q_id, chunk_id, score, rank::INT AS rank FROM vec WHERE rank <= 25",
     "rrf_fusion": f"WITH {_PARTS}, {_asked()}, {_bm25()}, {_VEC} {_RRF}",
     "additive_fusion": f"WITH {_asked(whole=True)}, {_bm25()}, {_VEC} {_ADDITIVE}",

@@ -75,6 +75,23 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return K.context(near, parts)
 
 
+def titled_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword ranking where title, number and section count as well as the text; titles are beginnings of benchmark items."""
+    items = _t(spark, d, "benchmark").groupBy("item_id").agg(F.min("text").alias("item"))
+    docs = _t(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 50).join(items, "item_id", "left")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.substring("item", 1, 80).alias("doc_title"), F.concat(F.lit("6"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")).alias("ref_number"), F.col("lang").alias("section"), "text")
+    return S.keyword_rank(chunks, _questions(spark, d)).select("q_id", "chunk_id", "score", "hit_count", "rank")
+
+
+def title_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Section titles without their numbers, states without parentheses, beginnings of texts without an ellipsis."""
+    marks = F.array(*(F.lit(m) for m in (". ", ")", " - ", ":", ".1 ", " ")))
+    title = F.concat(F.lit(" "), (F.col("doc_id") % 12).cast("string"), F.get(marks, (F.col("doc_id") % 6).cast("int")), F.coalesce("source", F.lit("")))
+    state = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" ( "), "lang", F.lit(") "))).when(F.col("doc_id") % 4 == 1, "()").when(F.col("doc_id") % 4 == 2, F.concat(F.lit("("), "lang")).otherwise(F.col("lang"))
+    cut = F.concat(F.coalesce(F.col("source"), F.lit("")), F.when(F.col("doc_id") % 3 == 0, " ... ").when(F.col("doc_id") % 3 == 1, "\u2026").otherwise("."))
+    return _t(spark, d, "documents").select("doc_id", X.clean_section_title(title).alias("title"), X.state_text(state).alias("state"), X.without_ellipsis(cut).alias("cut"))
+
+
 def _catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Pages of even number as the known catalogue, all of them as what was found."""
     rows = _t(spark, d, "pages")
@@ -382,6 +399,8 @@ QUERIES = {
     "answers": answers,
     "bm25_topk": lambda s, d: S.bm25(_chunks(s, d), _asked(s, d)).select("q_id", "chunk_id", "score", "rank"),
     "keyword_rank": lambda s, d: S.keyword_rank(_chunks(s, d), _questions(s, d)).select("q_id", "chunk_id", "score", "hit_count", "rank"),
+    "titled_ranking": titled_ranking,
+    "title_rules": title_rules,
     "vector_topk": lambda s, d: S.vector_top(*_vectors(s, d)).select("q_id", "chunk_id", "score", "rank"),
     "rrf_fusion": lambda s, d: S.rrf(S.vector_top(*_vectors(s, d)), S.bm25(_chunks(s, d), _asked(s, d)), _chunks(s, d), _asked(s, d)).select("q_id", "chunk_id", "score", "rank"),
     "additive_fusion": _fused(S.additive, True),
