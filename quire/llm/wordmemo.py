@@ -4,8 +4,8 @@ Words repeat far more often than texts do.  A block of texts is cut into units,
 distinct hashes looked up in a sorted table, and only units new to this worker process are handed to the
 function, in one call.  Results are short runs of unsigned 32-bit numbers, kept in one flat array.
 
-Two units are taken for the same if their 64-bit hashes and byte lengths agree.  Among the two million
-units that a memo may hold, a given other unit is mistaken with a chance of about 1 in 10**13.
+Two units are taken for the same if two independent 64-bit hashes and their byte lengths agree.  Units that
+share only the first hash with another one are handed to the function each time.
 """
 
 from __future__ import annotations
@@ -88,6 +88,7 @@ class WordMemo:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.others = np.zeros(0, np.uint64)
         self.sizes = np.zeros(0, np.int32)
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int32)
@@ -116,9 +117,17 @@ class WordMemo:
         distinct, sample = ordered[new], order[new]
         inverse = np.empty(len(keys), np.int64)
         inverse[order] = np.cumsum(new) - 1
+        other = byte_hashes(w.data, start, end, way=1)
+        alone = np.flatnonzero((other != other[sample][inverse]) | (size != size[sample][inverse]))
+        inverse[alone] = len(distinct) + np.arange(len(alone))
+        distinct, sample = np.concatenate([distinct, keys[alone]]), np.concatenate([sample, alone])
         at = np.searchsorted(self.keys, distinct)
-        known = at < len(self.keys)
-        known[known] = (self.keys[at[known]] == distinct[known]) & (self.sizes[at[known]] == size[sample[known]])
+        taken = at < len(self.keys)
+        taken[taken] = self.keys[at[taken]] == distinct[taken]
+        known = taken.copy()
+        known[taken] = (self.others[at[taken]] == other[sample[taken]]) & (self.sizes[at[taken]] == size[sample[taken]])
+        # A key has one place in the memo.
+        taken[len(distinct) - len(alone) :] = True
         begin, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int32)
         begin[known], length[known] = self.begin[at[known]], self.length[at[known]]
         values = self.flat
@@ -127,24 +136,23 @@ class WordMemo:
             data = w.data.tobytes()
             got, lengths = self.function([data[a:b] for a, b in zip(start[sample[missing]].tolist(), end[sample[missing]].tolist(), strict=True)])
             begin[missing], length[missing] = self.used + np.cumsum(lengths) - lengths, lengths
-            values = self._keep(got, distinct[missing], size[sample[missing]], begin[missing], length[missing])
+            values = self._keep(got, ~taken[missing] & (lengths <= MEMO_RESULT), distinct[missing], other[sample[missing]], size[sample[missing]], begin[missing], length[missing])
         return Looked(values, begin[inverse], length[inverse], first)
 
-    def _keep(self, got: np.ndarray, keys: np.ndarray, sizes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Put new results into the memo; return the array that holds both old and new."""
+    def _keep(self, got: np.ndarray, some: np.ndarray, keys: np.ndarray, others: np.ndarray, sizes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Put new results into the memo, ``some`` of them for good; return the array that holds both old and new."""
         if self.used + len(got) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, len(got)), np.uint32)])
         self.flat[self.used : self.used + len(got)] = got
         values = self.flat
-        short = length <= MEMO_RESULT
         self.used += len(got)
-        # Keys, sizes, beginnings and lengths take 24 bytes a unit, and twice that while new ones go in.
-        if 48 * (len(self.keys) + int(short.sum())) + self.flat.nbytes > MEMO_BYTES:
+        # Keys, sizes, beginnings and lengths take 32 bytes a unit, and twice that while new ones go in.
+        if 64 * (len(self.keys) + int(some.sum())) + self.flat.nbytes > MEMO_BYTES:
             self._clear()
             return values
-        place = np.searchsorted(self.keys, keys[short])
-        self.keys, self.sizes = np.insert(self.keys, place, keys[short]), np.insert(self.sizes, place, sizes[short])
-        self.begin, self.length = np.insert(self.begin, place, begin[short]), np.insert(self.length, place, length[short])
+        place = np.searchsorted(self.keys, keys[some])
+        self.keys, self.others, self.sizes = np.insert(self.keys, place, keys[some]), np.insert(self.others, place, others[some]), np.insert(self.sizes, place, sizes[some])
+        self.begin, self.length = np.insert(self.begin, place, begin[some]), np.insert(self.length, place, length[some])
         return values
 
 
