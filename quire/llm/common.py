@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.sources.scratch import drop_dir, new_dir, stored, stored_small
+from quire.sources.scratch import bytes_of, drop_dir, new_dir, stored, stored_small
 
-__all__ = ["drop_dir", "new_dir", "stored", "stored_small", "table"]
+__all__ = ["bytes_of", "drop_dir", "new_dir", "stored", "stored_small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Token ids in shards of a byte-aligned variable-length code with separate control bytes.
 
-Ids are replaced by their ranks in the corpus, the most frequent first, so that most take one byte.  A
-shard holds the documents of a range of doc_id in ascending order:
+Ids are replaced by their ranks in the corpus, the most frequent first, so that most take one byte.  Spark
+deals the documents to parts by ranges of doc_id, as many as there are bytes for, and a part is cut into
+shards of bounded size.  A shard holds documents in ascending order:
+
+    before   ids of the shards before it in its part
 
     ends     cumulative numbers of ids after each document, unsigned 64-bit little-endian
     control  two bits an id, four ids a byte, low bits first: the id's bytes less one
@@ -12,7 +15,8 @@ one row a shard, so Spark's writers commit them and any store that Spark reads c
 takes numpy only: a table of 256 rows turns control bytes to lengths, and sums of these to places.
 
 Edge cases: null and empty texts hold the end id only; documents without an id come first; rows that
-repeat an id are all kept, ordered by their ids' code bytes; an empty table gives no shards and no rows; other columns
+repeat an id are all kept, ordered by a hash of their ids' code bytes, then by these, and may fall into
+several parts; an empty table gives no shards and no rows; other columns
 are ignored, whatever their names.
 """
 
@@ -24,23 +28,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_dir, new_dir, table
+from quire.llm.common import bytes_of, drop_dir, new_dir, stored_small, table
 from quire.llm.library_tokens import byte_level
 from quire.llm.wordhash import blocks
 from quire.llm.wordmemo import forget
 
 END_ID = 0
-#: Bytes of text for one shard, whose code of about half the size one task holds in memory, and the most shards.
-SHARD_BYTES = 4 << 20
+#: Bytes of code at which a shard ends, which one task holds in memory, and of compressed code for one part.
+SHARD_BYTES = 2 << 20
+PART_BYTES = 64 << 20
 #: Most ids that a rank table may have: its size is that of a vocabulary, not of the corpus.
 MAX_IDS = 4_000_000
-MAX_SHARDS = 200_000
 
-DRAFT_SCHEMA = "shard int, id long, n long, control binary, data binary"
-SHARD_SCHEMA = "shard int, n_docs long, n_ids long, doc_ids binary, no_id binary, ends binary, control binary, data binary"
+DRAFT_SCHEMA = "tally boolean, id long, n long, control binary, data binary"
+SHARD_SCHEMA = "part int, place int, before long, n_docs long, n_ids long, doc_ids binary, no_id binary, ends binary, control binary, data binary"
 _LENGTHS = np.array([[(byte >> (2 * k) & 3) + 1 for k in range(4)] for byte in range(256)], np.uint8)
 
 
@@ -79,14 +84,9 @@ def _octets(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
-#: The shard of draft rows that hold a task's counts of ids instead of a document.
-TALLY = -1
-
-
-def draft(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> DataFrame:
-    """(id, text) to draft rows, coded by the ids themselves and with the end id; each task adds its counts of ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
-    names = ["shard", "id", "n", "control", "data"]
+def draft(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(id, text) to draft rows, coded by the ids themselves and with the end id; each task adds a tally, its counts of ids."""
+    names = ["tally", "id", "n", "control", "data"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_level(tokenizer_path)
@@ -100,12 +100,10 @@ def draft(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> DataFrame:
                     total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
                 total[: len(got)] += got
                 control, data, at, to = pack(values, cut)
-                doc = part.column("id")
-                shard = np.searchsorted(shared.value, pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc, pa.array(np.diff(cut)), _binary(control, at), _binary(data, to)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, bool)), part.column("id"), pa.array(np.diff(cut)), _binary(control, at), _binary(data, to)], names)
         used = np.flatnonzero(total)
         tally = np.stack([used, total[used]]).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([TALLY], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([b""]), pa.array([tally])], names)
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([b""]), pa.array([tally])], names)
 
     return docs.mapInArrow(encode, DRAFT_SCHEMA)
 
@@ -120,7 +118,7 @@ def id_counts(coded: DataFrame) -> DataFrame:
                 used, n = np.frombuffer(tally, "<i8").reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], ["token", "n"])
 
-    return coded.where(F.col("shard") == TALLY).select("data").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return coded.where("tally").select("data").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
@@ -131,56 +129,54 @@ def rank_table(counts: DataFrame) -> np.ndarray:
     return rows
 
 
-def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
-    """Ids at which new shards begin, so that all shards get about as many documents; a bounded list."""
-    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = min(int((size or 0) // shard_bytes) + 1, max(n, 1), MAX_SHARDS)
-    if shards == 1:
-        return []
-    parts = [k / shards for k in range(1, shards)]
-    got = docs.agg(F.percentile_approx("id", parts, 10 * shards + 10_000).alias("x")).first()["x"]
-    return sorted(set(got or []))
-
-
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> None:
     """Write ``path``/ranks and ``path``/shards; ``path``/draft holds the ids coded as they are meanwhile."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    draft(texts, tokenizer_path, shard_bounds(texts, shard_bytes)).write.option("compression", "zstd").parquet(f"{path}/draft")
-    coded = spark.read.schema(DRAFT_SCHEMA).parquet(f"{path}/draft")
+    draft(texts, tokenizer_path).withColumn("tie", F.xxhash64("data")).write.option("compression", "zstd").parquet(f"{path}/draft")
+    coded = spark.read.schema(f"{DRAFT_SCHEMA}, tie long").parquet(f"{path}/draft")
     ids = rank_table(id_counts(coded))
     spark.createDataFrame(pa.table({"rank": np.arange(len(ids), dtype=np.int64), "token": ids.astype(np.int64)})).write.parquet(f"{path}/ranks")
     ranks = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
-    coded.where(F.col("shard") >= 0).repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "data").mapInArrow(lambda b: _gather(b, shared.value), SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
+    parts = max(bytes_of(spark, f"{path}/draft") // part_bytes + 1, spark.sparkContext.defaultParallelism)
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    dealt = coded.where("not tally").repartitionByRange(parts, *order).sortWithinPartitions(*order, "data").select("id", "n", "control", "data")
+    dealt.mapInArrow(lambda b: _gather(b, shared.value, shard_bytes), SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
     drop_dir(spark, f"{path}/draft")
 
 
-def _gather(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Draft rows in order of shard and id to one row a shard."""
+def _gather(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The ordered draft rows of a part to one row a shard, which ends with the document that fills it."""
     forget()
+    part, place, before, size = TaskContext.get().partitionId(), 0, 0, 0
     held: list[pa.RecordBatch] = []
 
     def shard_row() -> pa.RecordBatch:
+        nonlocal place, before, size
         t = pa.Table.from_batches(held)
         n = t.column("n").to_numpy()
         values = ranks[unpack(_octets(t.column("control")), _octets(t.column("data")), n)]
         control, data, _, _ = pack(values, np.array([0, len(values)]))
         doc = t.column("id")
-        row = {"shard": t.column("shard")[0].as_py(), "n_docs": len(n), "n_ids": int(n.sum()), "doc_ids": pc.fill_null(doc, 0).to_numpy().astype("<i8").tobytes(), "no_id": np.packbits(pc.is_null(doc).to_numpy()).tobytes(), "ends": np.cumsum(n).astype("<u8").tobytes(), "control": control.tobytes(), "data": data.tobytes()}
+        row = {"part": part, "place": place, "before": before, "n_docs": len(n), "n_ids": int(n.sum()), "doc_ids": pc.fill_null(doc, 0).to_numpy().astype("<i8").tobytes(), "no_id": np.packbits(pc.is_null(doc).to_numpy()).tobytes(), "ends": np.cumsum(n).astype("<u8").tobytes(), "control": control.tobytes(), "data": data.tobytes()}
         held.clear()
-        return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "no_id", "ends", "control", "data"))]))
+        place, before, size = place + 1, before + row["n_ids"], 0
+        return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("place", pa.int32()), *((c, pa.int64()) for c in ("before", "n_docs", "n_ids")), *((c, pa.binary()) for c in ("doc_ids", "no_id", "ends", "control", "data"))]))
 
     for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if held and held[-1].column("shard")[0].as_py() != shard[a]:
+        sizes = np.cumsum(pc.binary_length(batch.column("data")).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            # The first row that brings the shard to its size ends it.
+            done = int(sizes[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(sizes, done + shard_bytes - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, stop - at))
+            size += int(sizes[stop - 1]) - done
+            at = stop
+            if size >= shard_bytes:
                 yield shard_row()
-            held.append(batch.slice(a, b - a))
     if held:
         yield shard_row()
 
@@ -190,12 +186,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     ids = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("token").toPandas()["token"].to_numpy(np.uint32)
     shared = spark.sparkContext.broadcast(ids)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards")
-    # Where each shard starts: sums over groups of a thousand shards, then within each group.
-    sizes = shards.select("shard", "n_ids", (F.col("shard") / 1000).cast("int").alias("part"))
+    # Where each part starts: one row a part, small beside its bytes.
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("shard", (F.col("base") + F.col("before")).alias("start"))
+    bases = stored_small(parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "token-parts")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -210,8 +204,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 none = np.unpackbits(np.frombuffer(row["no_id"], np.uint8))[: len(ends)].astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=none), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    # One small row a shard, and at most MAX_SHARDS + 1 shards: a few megabytes, while the shards stay where they are.
-    return shards.join(F.broadcast(starts), "shard").select("n_ids", "doc_ids", "no_id", "ends", "control", "data", "start").mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long")
+    placed = shards.join(bases, "part").withColumn("start", F.col("base") + F.col("before"))
+    return placed.select("n_ids", "doc_ids", "no_id", "ends", "control", "data", "start").mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
