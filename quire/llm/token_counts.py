@@ -74,8 +74,9 @@ def with_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: s
     return texts.select("id", "content_sha256", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content_sha256", "left").select("id", "n_bytes", "n_tokens")
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_token_counts(spark: SparkSession, sf_dir: str, cache_path: str | None = None) -> DataFrame:
+    """Counts of all documents by the cache at ``cache_path``, or by one of this run alone."""
     import public_tokenizers
 
-    counted = with_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), new_dir(spark, "token-counts"))
+    counted = with_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache_path or new_dir(spark, "token-counts"))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quire.llm import byte_bpe, decontaminate, host_reputation, language, ngram_join, spot_signatures, substrings, token_counts, token_files, toxicity
+from quire.llm import byte_bpe, decontaminate, host_reputation, language, ngram_join, spot_signatures, substrings, token_counts, token_files, toxicity, wordmemo
 from quire.llm.common import new_dir
 from quire.llm.library_tokens import byte_level, word_level
 
@@ -155,7 +155,10 @@ def test_token_counts(spark, docs, texts):
 
 def test_token_files(spark, docs, texts):
     path, at = public_tokenizers.path("byte_bpe_50k.json"), new_dir(spark, "files")
-    token_files.write_shards(docs, path, at, shard_bytes=2000)
+    token_files.write_shards(docs, path, at, shard_bytes=500, part_bytes=3000)
+    shards = spark.read.parquet(f"{at}/shards").collect()
+    assert len({r.part for r in shards}) > 4 and any(r.place > 1 for r in shards)
+    assert all(int(token_files._LENGTHS[list(r.control)].reshape(-1)[: r.n_ids].sum(dtype=int)) == len(r.data) for r in shards)
     got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_shards(spark, at).collect()}
     known, start = Tokenizer.from_file(path), 0
     for k, t in pairs(texts):
@@ -164,6 +167,33 @@ def test_token_files(spark, docs, texts):
         start += len(ids)
 
 
+def test_one_id_in_many_shards(spark):
+    path, at = public_tokenizers.path("byte_bpe_50k.json"), new_dir(spark, "files")
+    texts = [f"row {k} of one id " * (1 + k % 7) for k in range(300)]
+    docs = spark.createDataFrame([(None if k % 2 else 5, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    token_files.write_shards(docs, path, at, shard_bytes=400, part_bytes=1000)
+    assert spark.read.parquet(f"{at}/shards").where("n_docs > 0").select("part").distinct().count() > 4
+    got = sorted(token_files.read_shards(spark, at).collect(), key=lambda r: r.start)
+    assert [r.id for r in got] == [None] * 150 + [5] * 150
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(300)]
+    known = Tokenizer.from_file(path)
+    want = [zlib.crc32(np.array([*known.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+    assert sorted(r.ids_crc32 for r in got) == sorted(want)
+
+
+def test_units_that_share_a_hash(monkeypatch):
+    """Units whose first hashes agree keep results of their own, within a block and between blocks."""
+    real = wordmemo.byte_hashes
+    monkeypatch.setattr(wordmemo, "byte_hashes", lambda *a, way=0, **k: real(*a, way=way, **k) if way else real(*a, **k) % np.uint64(5))
+    memo = wordmemo.WordMemo(lambda units: wordmemo.ragged([list(u) for u in units]), gaps=False)
+    rng = random.Random(2)
+    for _ in range(6):
+        texts = [" ".join(rng.choice(("ab", "ba", "abc", "cab", "x", "yy", "zz", "w1", "w2")) for _ in range(rng.randrange(9))) for _ in range(12)]
+        values, cut = memo.look_up(pa.array([*texts, None])).joined()
+        assert [bytes(values[a:b].tolist()).decode() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [t.replace(" ", "") for t in texts] + [""]
+    assert 0 < len(memo.keys) <= 5 and len(set(memo.keys.tolist())) == len(memo.keys)
+
+
 def test_pack_round_trip():
     values = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32)
     cut = np.array([0, 0, 3, 7])

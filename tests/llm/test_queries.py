@@ -79,6 +79,18 @@ def test_query(spark, tables, name):
     assert QUERIES[name](spark, none).count() == 0
 
 
+def test_counts_from_one_cache(spark, tables, tmp_path):
+    """The query over a cache that an earlier run filled encodes nothing, and over a fuller table only what is new."""
+    at, none, docs = tables
+    cache = str(tmp_path / "cache")
+    assert QUERIES["op8_token_counts"](spark, none, cache).count() == 0
+    runs = []
+    for _ in range(2):
+        runs.append(sorted(map(repr, QUERIES["op8_token_counts"](spark, at, cache).collect())))
+        assert spark.read.parquet(cache).count() == len({t or "" for _, t, *_ in docs})
+    assert runs[0] == runs[1] == sorted(map(repr, QUERIES["op8_token_counts"](spark, at).collect()))
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rng = random.Random(21)
     words = [f"w{i}" for i in range(300)] + ["der", "the"]
