@@ -328,3 +328,29 @@ def test_ngram_join_of_hot_groups(spark):
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs.where("doc_id is not null")).collect()}
     assert got == ngram_join.brute_force(rows)
     assert len({c for _, c in got.values()}) > 20
+
+
+def test_fingerprints_of_edited_texts(spark, tmp_path, texts):
+    """All columns of the query against plain Python."""
+    rows = [(3 * k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in spot_signatures.op2_spot_signatures(spark, str(tmp_path)).collect()}
+    anchors = set(spot_signatures.ANCHORS)
+
+    def chains(text):
+        ws = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        content = [(i, x) for i, x in enumerate(ws) if x not in anchors]
+        after = [[x for j, x in content if j > i][: spot_signatures.CHAIN] for i, w in enumerate(ws) if w in anchors]
+        found = {zlib.crc32("".join(f" {x}" for x in c).encode()) for c in after if len(c) == spot_signatures.CHAIN}
+        return found or {zlib.crc32((" " + " ".join(ws) + " ").encode())}
+
+    printed = lambda s: "".join(f"{x:08X}" for x in sorted(s))
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", rows[k - 1][1] or ""
+        third = len(t) // 3
+        edited = t[: len(t) - third] + following[:third]
+        own, other, nxt = chains(t), chains(edited), chains(following)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (printed(own), printed(other))
+        assert r.near_edited == pytest.approx(len(own & other) / len(own | other)) and r.near_next == pytest.approx(len(own & nxt) / len(own | nxt))
