@@ -10,8 +10,8 @@ part and the next, each is cut to the rare prefix that a similar set must share,
 verified.
 
 Edge cases: a null text is an empty one; equal texts have equal fingerprints; the next document of the
-last is the first, also where that is the same; rows that repeat an id are ordered by text; documents
-without an id come last in the descending order; other columns are ignored, whatever their names.
+last is the first, also where that is the same; rows that repeat an id are ordered by a hash of their
+text; documents without an id come last in the descending order; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import stored_small, table
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = """
@@ -29,9 +29,8 @@ als auf das dem den der des die ein eine für ich im in ist mit nicht sich sie u
 al con del el en la las lo los no para por se su un una y
 """.split()
 CHAIN = 2
-#: Documents a bucket of the descending order should have, and the most buckets.
-BUCKET, MAX_BUCKETS = 2_048, 20_000
-NO_ID = -(1 << 63)
+#: Documents a bucket of the descending order should have, and the quantiles that buckets are laid between.
+BUCKET, KNOTS = 2_048, 64
 MARK = "\u0001"
 
 
@@ -54,25 +53,41 @@ def likeness(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def in_buckets(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text, ...) with a ``tie`` that orders the rows of one id, and a ``bucket`` that rises with id and tie.
+
+    Between quantiles of the ids buckets are of equal width, so that ids may come in clusters; rows without
+    an id are cut by their tie.  The number of buckets grows with the rows, which buckets have about BUCKET of."""
+    shares = F.array(*(F.lit(k / KNOTS) for k in range(1, KNOTS)))
+    s = docs.agg(F.count("*").alias("n"), F.count("id").alias("known"), F.min("id").alias("low"), F.max("id").alias("high"), F.percentile_approx("id", shares, F.lit(50 * KNOTS)).alias("knots")).first()
+    edges = sorted({s["low"], s["high"], *s["knots"]}) if s["known"] else [0]
+    cuts, slices = s["known"] // (BUCKET * len(edges)) + 1, (s["n"] - s["known"]) // BUCKET + 1
+    knots = F.array(*(F.lit(e).cast("long") for e in edges))
+    at = F.size(F.filter(knots, lambda e: e <= F.col("id"))) - 1
+    # As doubles: these can't overflow, and rounding keeps the order.
+    low, high = F.get(knots, at).cast("double"), F.coalesce(F.get(knots, at + 1).cast("double"), F.lit(float(edges[-1]) + 1.0))
+    cut = F.floor((F.col("id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * cuts)
+    known = at * F.lit(cuts).cast("long") + F.least(cut, F.lit(cuts - 1))
+    slice_ = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * slices)
+    unknown = F.least(slice_, F.lit(slices - 1)) - slices
+    return docs.withColumn("tie", F.xxhash64("text")).withColumn("bucket", F.when(F.col("id").isNull(), unknown).otherwise(known))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(id, text, sigs) with next_text and next_sigs of the document that follows by descending id.
 
-    Ids are cut into buckets of equal width; the first row of each bucket is also dealt to the bucket
-    before it, so no order over all rows is needed."""
-    low, high, n = docs.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    buckets = min(MAX_BUCKETS, n // BUCKET + 1)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width))).cast("int")
-    ids = docs.select("id", bucket.alias("bucket"))
-    # One row a bucket: its first id in descending order, and the bucket whose last document precedes it.
-    in_order = Window.orderBy("bucket")
-    heads = ids.groupBy("bucket").agg(F.max("id").alias("head")).withColumn("guest_of", F.coalesce(F.lead("bucket").over(in_order), F.first("bucket").over(in_order)))
-    heads = F.broadcast(heads.select("bucket", "head", "guest_of"))
-    dealt = docs.withColumn("bucket", bucket).join(heads, "bucket", "left")
-    places = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("guest"))))
-    rows = dealt.select("id", "text", "sigs", F.explode(places).alias("at")).select("id", "text", "sigs", "at.bucket", "at.guest")
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "text")
-    following = rows.select("id", "text", "sigs", "guest", F.lead(F.struct("text", "sigs")).over(order).alias("following"))
+    The first row of each bucket is also dealt to the bucket before it, so no order over all rows is needed."""
+    rows = in_buckets(docs)
+    # One row a bucket: its first document in descending order, and the bucket whose last document precedes it.
+    by_bucket = Window.orderBy("bucket")
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("head"))
+    heads = heads.withColumn("guest_of", F.coalesce(F.lead("bucket").over(by_bucket), F.first("bucket").over(by_bucket)))
+    heads = stored_small(heads, "heads")
+    own, guest = F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("bucket"), F.lit(True).alias("guest"))
+    places = F.when(F.struct("id", "tie").eqNullSafe(F.col("head")), F.array(own, guest)).otherwise(F.array(own))
+    dealt = rows.join(heads, "bucket", "left").select("id", "tie", "text", "sigs", F.explode(places).alias("at")).select("id", "tie", "text", "sigs", "at.bucket", "at.guest")
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.col("tie").desc())
+    following = dealt.select("id", "text", "sigs", "guest", F.lead(F.struct("text", "sigs")).over(order).alias("following"))
     return following.where("not guest").select("id", "text", "sigs", F.col("following.text").alias("next_text"), F.col("following.sigs").alias("next_sigs"))
 
 

@@ -354,3 +354,22 @@ def test_fingerprints_of_edited_texts(spark, tmp_path, texts):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (printed(own), printed(other))
         assert r.near_edited == pytest.approx(len(own & other) / len(own | other)) and r.near_next == pytest.approx(len(own & nxt) / len(own | nxt))
+
+
+def test_next_documents_of_uneven_ids(spark, monkeypatch):
+    """Ids in clusters, far ones, many rows without an id and repeated ids: each row's next text, and even buckets."""
+    monkeypatch.setattr(spot_signatures, "BUCKET", 8)
+    ids = [*range(700), *range(10**15, 10**15 + 300), -(1 << 63), (1 << 63) - 1, 5, 5, 10**15] + [None] * 500
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(7).withColumn("sigs", spot_signatures.signatures(F.col("text")))
+    placed = spot_signatures.in_buckets(docs)
+    tie = {r.text: r.tie for r in placed.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    got = spot_signatures.with_next(docs).collect()
+    assert {r.text: r.next_text for r in got} == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)} and len(got) == len(rows)
+    assert all(r.next_sigs for r in got)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 48
+    same = spark.createDataFrame([(None, "a")] * 3 + [(2, "b")] * 2, "id long, text string").withColumn("sigs", spot_signatures.signatures(F.col("text")))
+    assert sorted((r.text, r.next_text) for r in spot_signatures.with_next(same).collect()) == [("a", "a"), ("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+    assert spot_signatures.with_next(same.limit(0)).count() == 0
