@@ -181,6 +181,17 @@ def test_one_id_in_many_shards(spark):
     assert sorted(r.ids_crc32 for r in got) == sorted(want)
 
 
+def test_token_ids_of_sliced_blocks():
+    """Texts that go to the library whole, in a block that is a slice of a batch."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["before é", None, "one\u00a0two", "it's <|endoftext|> here", "", "日本語 x", None, "last\u2003one é", "plain text"]
+    known, tokens = Tokenizer.from_file(path), byte_level(path)
+    for at in range(len(texts)):
+        values, cut = tokens.block(pa.array(texts).slice(at))
+        got = [values[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        assert got == [known.encode(t or "", add_special_tokens=False).ids for t in texts[at:]]
+
+
 def test_units_that_share_a_hash(monkeypatch):
     """Units whose first hashes agree keep results of their own, within a block and between blocks."""
     real = wordmemo.byte_hashes
