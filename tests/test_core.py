@@ -35,6 +35,11 @@ def test_entity_types(spark):
     assert values(spark, X.entity_type, ["people", "organisation", "time", "militaryUnit", " ", None]) == ["Person", "Organization", "Date", "MilitaryUnit", "Concept", "Concept"]
 
 
+def test_references_need_a_semicolon():
+    page = html.document("http://a.b/c", "<html><title>x&amp y &lt;z&gt; &#65;&#66 &amp;lt; &bogus; &</title><body></html>")
+    assert page["title"] == "x&amp y <z> A&#66 &lt; &bogus; &"
+
+
 def test_chunk_id(spark):
     assert values(spark, lambda x: X.short_id(x, F.lit(0), F.lit(0), F.lit(0), F.lit(5)), ["a"]) == ["f478f7b9f45dc12f"]
 
