@@ -6,7 +6,7 @@ A document is the set of its distinct three-word shingles; two link when their J
 A node holds sets.  At each node one or two of the COORDS are chosen, 1 / 0.85 on average, and the node's sets
 part by their minwise tokens there: sets that share one meet again in a child.  A linked pair so has at least
 one child in common on average, however deep the tree, while other pairs die out.  Paths begin START levels
-below the root, where most nodes hold one set only.  Nodes of at most SMALL sets are compared exhaustively.
+below the root, where most nodes hold one set only.  Nodes of at most SMALL sets, or a few times as many short ones, are compared exhaustively.
 Larger ones are dealt into parts that are, which soon joins large groups of copies; so no node has to fit into
 a task.  In those of at most LARGE sets, what is outside of the main component then meets all of the node's other
 sets, part by part; still larger ones are branched, up to LEVELS times.  The trees miss a pair with a chance below 1 - RECALL: a first one joins most
@@ -46,8 +46,9 @@ RECALL, DEPTH = 1 - 1e-6, 4
 MISSED = 1e-9
 #: Levels below the root where paths begin, and levels from there on to which nodes are branched.
 START, LEVELS = 3, 12
-#: Sets of a node, or of a part of a larger one, that are compared exhaustively; sets of a node that is not branched.
-SMALL, LARGE = 256, 4_096
+#: Sets of a node, or of a part of a larger one, that are compared exhaustively; SHORT times as many where all have
+#: at most SHINGLES together, so that what is held at once is bounded; sets of a node that is not branched.
+SMALL, SHORT, SHINGLES, LARGE = 256, 4, 1 << 18, 4_096
 KEYS = "id long, n long, digest binary, sketch array<int>"
 
 
@@ -135,25 +136,32 @@ def branched(open_rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return rows.select(F.explode(children(F.col("node"), F.col("sketch"), threshold)).alias("node"), "id")
 
 
+def parts_of(k: Column, weight: Column) -> Column:
+    """Into how many parts ``k`` sets are dealt that have ``weight`` shingles together."""
+    return F.least(F.ceil(k / SMALL), F.greatest(F.ceil(k / (SHORT * SMALL)), F.ceil(weight / SHINGLES)))
+
+
 def undecided(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """(node, id, component, k): rows (node, id) of nodes that hold sets of several components, and how many they hold."""
+    """(node, id, component, n, k, parts): rows (node, id) of nodes that hold sets of several components, how many, and in how many parts."""
     rows = rows.join(comp, "id")
-    nodes = rows.groupBy("node").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return rows.join(nodes.where("low < high").select("node", "k"), "node").select("node", "id", "component", "k")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"))
+    nodes = nodes.where("low < high").select("node", "k", parts_of(F.col("k"), F.col("weight")).alias("parts"))
+    return rows.join(nodes, "node").select("node", "id", "component", "n", "k", "parts")
 
 
 def near_cells(open_rows: DataFrame) -> DataFrame:
     """(node, cell, id, component, side): nodes as they are, larger ones dealt into parts; all sets of a cell meet."""
-    return open_rows.select("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("k") / SMALL)).alias("cell"), "id", "component", F.lit("all").alias("side"))
+    return open_rows.select("node", F.pmod(F.xxhash64("id", "node"), F.col("parts")).alias("cell"), "id", "component", F.lit("all").alias("side"))
 
 
 def exact_cells(open_rows: DataFrame) -> DataFrame:
     """The same with sides "left" and "right": what is not of a node's main component meets all the node's sets.
 
     Both are dealt into parts, and each part of one side meets each of the other in a cell."""
-    kinds = open_rows.groupBy("node", "component").agg(F.count("*").alias("size"))
-    nodes = kinds.groupBy("node").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
-    rows = open_rows.join(nodes, "node").withColumns({"rights": F.ceil(F.col("all") / SMALL), "lefts": F.ceil((F.col("all") - F.col("largest")) / SMALL)})
+    kinds = open_rows.groupBy("node", "component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    nodes = kinds.groupBy("node").agg(F.max(F.struct("size", "component", "weight")).alias("main"), F.sum("size").alias("all"), F.sum("weight").alias("weight"))
+    nodes = nodes.select("node", F.col("main.component").alias("main"), parts_of(F.col("all"), F.col("weight")).alias("rights"), parts_of(F.col("all") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("lefts"))
+    rows = open_rows.drop("n", "k", "parts").join(nodes, "node")
     own = lambda n: F.pmod(F.xxhash64("id", "node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     left = rows.where("component <> main").withColumn("other", every("rights")).select("node", (own("lefts") * F.col("rights") + F.col("other")).alias("cell"), "id", "component", F.lit("left").alias("side"))
@@ -224,8 +232,8 @@ def compared(cells: DataFrame, sets: DataFrame, texts: DataFrame, width: int, th
 
 
 def components_of(texts: DataFrame, sets: DataFrame, width: int, threshold: int, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """(id, component) of distinct ``sets`` (id, doc, n, digest, sketch) of the texts (id, text)."""
-    comp = sets.select("id", F.col("id").alias("component"))
+    """(id, component, n) of distinct ``sets`` (id, doc, n, digest, sketch) of the texts (id, text)."""
+    comp = sets.select("id", F.col("id").alias("component"), "n")
 
     def merged(cells: DataFrame) -> DataFrame:
         edges = stored(compared(cells, sets, texts, width, threshold), "edges")
@@ -240,7 +248,7 @@ def components_of(texts: DataFrame, sets: DataFrame, width: int, threshold: int,
         if found.isEmpty():
             break
         comp = merged(near_cells(found))
-        left = stored(undecided(found.where(f"k > {SMALL}").select("node", "id"), comp), "nodes")
+        left = stored(undecided(found.where("parts > 1").select("node", "id"), comp), "nodes")
         last = left if level == levels else left.where(f"k <= {LARGE}")
         comp = comp if last.isEmpty() else merged(exact_cells(last))
         rows = branched(left.where(f"k > {LARGE}"), sets, threshold)
@@ -259,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that repeat an id and a text would come to each node again and again.
     repeated = not keys.groupBy("id", "digest").count().where("count > 1").isEmpty()
     comp = components_of(texts.dropDuplicates(["id", "text"]) if repeated else texts, sets, width, threshold, recall, levels)
-    found = sets.select("id", "digest", "n", "doc").join(comp, "id")
+    found = sets.select("id", "digest", "n", "doc").join(comp.select("id", "component"), "id")
     least = found.groupBy("component").agg(F.min("doc").alias("least"))
     reps = found.join(least, "component").select("digest", "n", "least")
     rows = keys.select("id", "n", "digest").join(reps, ["digest", "n"], "left").select("id", "n", F.coalesce("least", "id").alias("component"))

@@ -237,10 +237,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
-    """``comp`` (id, component) with the components merged that ``edges`` (a, b) between ids connect."""
+    """``comp`` (id, component, ...) with the components merged that ``edges`` (a, b) between ids connect."""
     ends = edges.join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
     roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
-    return stored(comp.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "components")
+    rest = [c for c in comp.columns if c not in ("id", "component")]
+    return stored(comp.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"), *rest), "components")
 
 
 def in_several(lists: DataFrame) -> DataFrame:

@@ -71,6 +71,15 @@ def test_repeated_and_missing_ids(spark):
     assert components(spark, [])[1].count() == 0
 
 
+def test_short_sets_meet_in_few_cells(spark):
+    """A node of 900 short sets that are of many components is one cell; its rows don't grow with the square of their number."""
+    for n, cells, rows in ((20, 1, 899 + 900), (2_000, 4, 4 * (899 + 900))):
+        comp = spark.range(900).selectExpr("id", "id AS component", f"{n}L AS n")
+        found = chosen_paths.undecided(spark.range(900).selectExpr("1L AS node", "id"), comp)
+        assert chosen_paths.near_cells(found).select("cell").distinct().count() == cells
+        assert chosen_paths.exact_cells(found).count() == rows
+
+
 def test_bounds():
     assert chosen_paths.met(100, 9) == 1 and chosen_paths.met(85, 1) > 0.85 > chosen_paths.met(85, 4) > 0.6
     assert (1 - chosen_paths.met(85, chosen_paths.DEPTH)) ** chosen_paths.trees(85) <= 1 - chosen_paths.RECALL
