@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quire.functions.text import strip
 from quire.operators import chunks
 
+#: Rows for which a join of links has one task: what a task holds doesn't grow with the links.
+TASK_ROWS = 1_000_000
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last write of each key; a partial aggregate runs before the shuffle."""
@@ -27,7 +30,14 @@ def key_violations(rows: DataFrame, key: str) -> DataFrame:
 
 
 def links_between(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct links (a, b) of which both ends exist in (a) and (b)."""
+    """Distinct links (a, b) of which both ends exist in (a) and (b).
+
+    Large ones are dealt to as many tasks as they have rows for; Spark would put small bytes of many rows together."""
+    tasks = max(rows.count() for rows in (links, left, right)) // TASK_ROWS
+    if tasks > 1:
+        tasks = max(tasks, links.sparkSession.sparkContext.defaultParallelism)
+        found = links.repartition(tasks, "a").join(left.repartition(tasks, "a"), "a", "left_semi")
+        return found.repartition(tasks, "b").join(right.repartition(tasks, "b"), "b", "left_semi").dropDuplicates(["a", "b"])
     return links.join(left, "a", "left_semi").join(right, "b", "left_semi").dropDuplicates(["a", "b"])
 
 

@@ -40,6 +40,15 @@ def test_references_need_a_semicolon():
     assert page["title"] == "x&amp y <z> A&#66 &lt; &bogus; &"
 
 
+def test_many_links_have_many_tasks(spark, monkeypatch):
+    links = spark.range(600).selectExpr("id % 50 AS a", "id % 70 AS b")
+    left, right = spark.range(0, 50, 2).toDF("a"), spark.range(60).toDF("b")
+    few = G.links_between(links, left, right)
+    monkeypatch.setattr(G, "TASK_ROWS", 10)
+    many = G.links_between(links, left, right)
+    assert many.rdd.getNumPartitions() == 60 and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.select(*many.columns).collect()))
+
+
 def test_chunk_id(spark):
     assert values(spark, lambda x: X.short_id(x, F.lit(0), F.lit(0), F.lit(0), F.lit(5)), ["a"]) == ["f478f7b9f45dc12f"]
 
