@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import keywords, reference, spaced, whole_word
-from quire.operators import grid
+from quire.operators import grid, lists
 from quire.sources.scratch import stored, stored_small
 
 K1, B = 1.2, 0.75
@@ -103,9 +103,15 @@ def pruned_parts(found: DataFrame, terms: DataFrame, n: int) -> tuple[DataFrame,
 def bm25(chunks: DataFrame, questions: DataFrame, n: int = TEXT_POOL, meta: DataFrame | None = None) -> DataFrame:
     """The best ``n`` by BM25; with ``meta`` (chunk_id, ref_number, doc_title) of those that answer to the question's reference.
 
-    Without it, chunks that cannot be among the best are left out before all their terms are joined."""
+    Without it, chunks are scored where they stand; for more questions than that is for, chunks that cannot be among
+    the best are left out before all their terms are joined.  Neither is for ids that several chunks have."""
+    if meta is None and not chunks.groupBy("chunk_id").count().where("count > 1").isEmpty():
+        return by_score(text_scores(chunks, questions), n)
     if meta is None:
         terms = stored_small(terms_of(questions), "asked")
+        found = lists.best(chunks, tokens(F.col("text")), terms, n, K1, B)
+        if found is not None:
+            return by_score(found.select("q_id", "chunk_id", F.round("score", 6).alias("score")), n)
         one, two = pruned_parts(impacts(chunks, terms), terms, n)
         return by_score(one.unionByName(two).groupBy("q_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), n)
     rows = text_scores(chunks, questions).join(meta.select("chunk_id", "ref_number", "doc_title"), "chunk_id", "left").join(stored_small(questions.select("q_id", "base", "full"), "references"), "q_id")
@@ -132,8 +138,12 @@ def with_hits(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) ->
 def keyword_rank(chunks: DataFrame, questions: DataFrame, n: int = TOP, prefix: str | None = None, meta: DataFrame | None = None) -> DataFrame:
     """The pool of best scores, ordered anew by whole-word hits."""
     words = asked(questions, prefix)
-    pool = bm25(chunks, words, KEYWORD_POOL, meta).drop("rank")
-    hits = with_hits(pool, chunks, words).withColumnRenamed("hits", "hit_count")
+    return by_hits(bm25(chunks, words, KEYWORD_POOL, meta), chunks, words, n)
+
+
+def by_hits(pool: DataFrame, chunks: DataFrame, questions: DataFrame, n: int = TOP) -> DataFrame:
+    """``pool`` (q_id, chunk_id, score, rank) ordered anew by whole-word hits of ``questions`` (q_id, words)."""
+    hits = with_hits(pool.drop("rank"), chunks, questions).withColumnRenamed("hits", "hit_count")
     return top(hits, n, F.desc("hit_count"), F.desc("score"), F.col("chunk_id"))
 
 

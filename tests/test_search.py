@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import context as K
-from quire.operators import grid
+from quire.operators import grid, lists
 from quire.operators import search as S
 
 
@@ -36,6 +36,24 @@ def test_pruned_bm25_equals_all_scores(corpus):
         assert rows_of(S.bm25(chunks, questions, n)) == rows_of(plain)
 
 
+def test_bm25_shuffles_no_pairs(corpus):
+    """Each chunk is scored where it stands: nothing is dealt out before the best scores of the tasks."""
+    chunks, questions = corpus
+    text = plan(S.bm25(chunks, questions, 3))
+    assert "MapInArrow" in text and "Join" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("limits", [(1 << 18, 1 << 20, 10), (7, 5, 200_000), (43 * 64, 1 << 20, 200_000)])
+def test_bm25_in_blocks_and_by_joins_equals_all_scores(corpus, monkeypatch, limits):
+    """Small blocks; and with more questions than are sent to tasks, or repeated ids, the joins."""
+    for name, value in zip(("CELLS", "PARTS", "MOST_PAIRS"), limits, strict=True):
+        monkeypatch.setattr(lists, name, value)
+    chunks, questions = corpus
+    for some in (chunks, chunks.unionByName(chunks.where("chunk_id % 9 = 0").withColumn("text", F.concat("text", F.lit(" alpha r1x")))), chunks.limit(0)):
+        assert rows_of(S.bm25(some, questions, 4)) == rows_of(S.by_score(S.text_scores(some, questions), 4))
+    assert S.bm25(chunks, questions.limit(0), 4).count() == 0
+
+
 def test_pruning_joins_fewer_rows(corpus):
     chunks, questions = corpus
     terms = S.terms_of(questions)
