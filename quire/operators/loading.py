@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import graph
 from quire.operators.search import tokens
 from quire.sources import commits, keyed
-from quire.sources.scratch import stored
+from quire.sources.scratch import stored, stored_small
 
 #: The tables of the graph and their keys.
 GRAPH = {"docs": ["doc_id"], "sections": ["section_id"], "chunks": ["chunk_id"], "links": ["section_id", "chunk_id"]}
@@ -51,19 +51,25 @@ def count_in(chunks: DataFrame, path: str, name: str, order: list[Column], bucke
     if commits.is_committed(spark, path, name):
         return False
     of_texts, of_terms = (keyed.layout(spark, path, t, buckets) for t in (TEXTS, TERMS))
-    last = graph.latest(chunks.where("chunk_id is not null"), ["chunk_id"], order)
-    split = last.select("chunk_id", tokens(F.col("text")).alias("t"))
-    new = stored(split.select("chunk_id", F.size("t").cast("long").alias("len"), F.array_distinct("t").alias("t")), "counted")
+    # Texts become their distinct tokens before anything is shuffled.
+    orders = [c.alias(f"order_{k}") for k, c in enumerate(order)]
+    split = chunks.where("chunk_id is not null").select("chunk_id", *orders, tokens(F.col("text")).alias("t"))
+    # One text of the distinct tokens, with a blank before each: an array of them takes more bytes in a shuffle.
+    split = split.withColumns({"len": F.size("t").cast("long"), "t": F.array_join(F.concat(F.array(F.lit("")), F.array_distinct("t")), " ")})
+    last = graph.latest(split, ["chunk_id"], [F.col(f"order_{k}") for k in range(len(order))])
+    new = stored(last.select("chunk_id", "len", "t"), "counted", "zstd")
     touched = keyed.touched_by(new, ["chunk_id"], of_texts)
     if not touched:
         commits.commit(spark, path, name, [])
         return True
     old = keyed.current(spark, path, TEXTS, touched)
-    share = lambda rows, sign: rows.select(F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"), "len", F.lit(sign).alias("sign"))
+    share = lambda rows, sign: rows.select(F.explode(F.split("t", " ")).alias("term"), "len", F.lit(sign).alias("sign"))
     delta, rows = share(new, 1), new
     if old is not None:
-        delta = delta.unionByName(share(old.join(new.select("chunk_id"), "chunk_id", "left_semi"), -1))
-        rows = old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns).unionByName(new)
+        # While the ids of a batch are few enough to be broadcast, the known rows stay where they are.
+        ids = stored_small(new.select("chunk_id"), "ids")
+        delta = delta.unionByName(share(old.join(ids, "chunk_id", "left_semi"), -1))
+        rows = old.join(ids, "chunk_id", "left_anti").select(*new.columns).unionByName(new)
     delta = delta.groupBy("term").agg(F.sum("sign").cast("long").alias("df"), F.sum(F.when(F.col("term") == "", F.col("sign") * F.col("len")).otherwise(0)).cast("long").alias("total"))
     delta = stored(delta.where("df <> 0 OR total <> 0"), "difference")
     writes = [keyed.replaced(rows, path, TEXTS, touched, ["chunk_id"], of_texts)]

@@ -34,7 +34,7 @@ def write(rows: DataFrame, path: str, table: str, *parts: str) -> str:
     """Write ``rows``, by ``parts``, so that a commit can name them; gives the write's id."""
     at = f"w{uuid.uuid4().hex}"
     out = rows.write.partitionBy(*parts) if parts else rows.write
-    out.parquet(f"{path}/{table}/write={at}")
+    out.option("compression", "zstd").parquet(f"{path}/{table}/write={at}")
     return at
 
 

@@ -44,8 +44,10 @@ def current(spark: SparkSession, path: str, table: str, among: list[int] | None
 
 
 def replaced(rows: DataFrame, path: str, table: str, touched: list[int], key: list[str], buckets: int) -> Write:
-    """Write the buckets ``touched`` anew with ``rows``, all that is to be in them; to be committed."""
-    return table, commits.write(rows.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket"), path, table, "bucket"), touched
+    """Write the buckets ``touched`` anew with ``rows``, all that is to be in them; to be committed.
+
+    Spark puts small buckets into one task and cuts large ones into several, each of a file."""
+    return table, commits.write(rows.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", "bucket"), path, table, "bucket"), touched
 
 
 def touched_by(rows: DataFrame, key: list[str], buckets: int) -> list[int]:

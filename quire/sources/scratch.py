@@ -58,10 +58,10 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage and lets several steps read it."""
     path = new_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

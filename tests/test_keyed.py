@@ -98,3 +98,35 @@ def test_ingest_counts_in_one_job(spark):
     assert got == {"docs": 4, "sections": 3, "chunks": parts.count(), "links": C.links(parts).count()}
     # The counting job, with its shuffle, and the one that shows four rows.
     assert len(tracker.getJobIdsForGroup("counts")) <= 3
+
+
+def test_tokens_move_as_one_text_a_chunk(spark, tmp_path):
+    path = str(tmp_path)
+    chunks = spark.createDataFrame([(1, "One two, one"), (2, None), (3, "--"), (4, "two")], "chunk_id long, text string")
+    loading.count_in(chunks, path, "all", [F.length("text")], 2)
+    assert dict(keyed.current(spark, path, loading.TEXTS).select("chunk_id", "t").collect()) == {1: " one two", 2: "", 3: "", 4: " two"}
+    assert {tuple(r) for r in loading.statistics(spark, path).collect()} == {("", 4, 4), ("one", 1, 0), ("two", 2, 0)}
+
+
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        keyed.upsert(spark.range(0, 100_000, 1, 8).withColumn("x", F.sha2(F.col("id").cast("string"), 256)), str(tmp_path), "rows", ["id"], [F.lit(1)], buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(tmp_path.glob("rows/*/bucket=0/*.parquet"))) > 1
+    assert keyed.current(spark, str(tmp_path), "rows").distinct().count() == 100_000
+
+
+def test_graph_load_cuts_the_texts_once(spark, monkeypatch):
+    seen, load = [], loading.load
+
+    def watched(spark, path, name, batch, *rest):
+        seen.extend(batch.values())
+        return load(spark, path, name, batch, *rest)
+
+    monkeypatch.setattr(loading, "load", watched)
+    from quire.plans import queries
+
+    queries.graph_load(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 8 and not any("posexplode" in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
