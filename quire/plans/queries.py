@@ -13,7 +13,7 @@ from quire.operators import graph as G
 from quire.operators import search as S
 from quire.plans.oracles import ORACLES, RESPONSE
 from quire.sources import keyed
-from quire.sources.scratch import new_dir, stored
+from quire.sources.scratch import new_dir, stored, stored_small
 from quire.streaming import backlog, extract, incremental
 
 __all__ = ["ORACLES", "QUERIES", "answers"]
@@ -149,11 +149,12 @@ def ref_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    chunks, asked, vectors = _chunks(spark, d), _asked(spark, d), stored(S.vector_top(*_vectors(spark, d)), "vectors")
-    whole = stored(S.bm25(chunks, _asked(spark, d, True)), "texts")
+    """All rankings; the texts are scored once by the keywords and once by the whole questions."""
+    chunks, asked, vectors = _chunks(spark, d), stored_small(_asked(spark, d), "questions"), stored_small(S.vector_top(*_vectors(spark, d)), "vectors")
+    whole, pool = stored_small(S.bm25(chunks, _asked(spark, d, True)), "texts"), stored_small(S.bm25(chunks, asked, S.KEYWORD_POOL), "pool")
     return {
-        "keyword": S.keyword_rank(chunks, _questions(spark, d)),
-        "rrf": S.rrf(vectors, S.bm25(chunks, asked), chunks, asked),
+        "keyword": S.by_hits(pool, chunks, asked),
+        "rrf": S.rrf(vectors, pool.where(F.col("rank") <= S.TEXT_POOL), chunks, asked),
         "additive": S.additive(vectors, whole),
         "minmax": S.min_max_fusion(vectors, whole),
     }
