@@ -327,7 +327,8 @@ def keyed_upserts(spark: SparkSession, d: str) -> DataFrame:
 def graph_load(spark: SparkSession, d: str) -> DataFrame:
     """Two loads of documents, their lines as sections and chunks: the second brings the documents that sections of the first lack."""
     at, rows = new_dir(spark, "graph"), C.sections(_lines(spark, d))
-    parts = rows.select("section_id", "doc_id", F.concat("section_id", F.lit("/c")).alias("chunk_id"), X.token_count(F.col("text")).alias("size"))
+    # The texts are cut once; what is left of them are ids and sizes.
+    parts = stored(rows.select("section_id", "doc_id", F.concat("section_id", F.lit("/c")).alias("chunk_id"), X.token_count(F.col("text")).alias("size")), "parts")
     batch = lambda docs, few: {"docs": docs, "sections": few.select("section_id", "doc_id"), "chunks": few.select("chunk_id", "size"), "links": parts.select("section_id", "chunk_id")}
     docs = _t(spark, d, "documents").select("doc_id")
     loading.load(spark, at, "one", batch(docs.where("doc_id % 2 = 0"), parts.where("doc_id % 3 > 0")), [F.lit(1)], 8)
