@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe, decontaminate, language, ngram_join, substrings
-from quire.llm.common import stored, table
+from quire.llm.common import small_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts without a letter go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return language.keep_identified(docs, language.fit(docs.where(~language.is_held_out())))
 
@@ -26,6 +27,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least id, and of its texts there the one of least digest.
 
     Rows of equal id and text are one document; rows without id and words are no copies of anything."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
     keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(ngram_join.NO_ID)).alias("id"), F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("row"))
@@ -41,6 +43,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; those of which nothing is left go."""
+    small_batches(spark)
     kept = substrings.dedup(docs, carry=("lang", "source")).where("n_words = 0 or n_removed < n_words")
     return kept.select("carried.doc_id", "text", "carried.lang", "carried.source", F.char_length("text").cast("long").alias("n_chars"))
 
@@ -55,6 +58,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what the tokens are and decode to."""
     import public_tokenizers
 
+    small_batches(spark)
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
 
 

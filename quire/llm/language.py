@@ -41,23 +41,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model(NamedTuple):
-    """Languages, and the row of log frequencies for each known word and n-gram."""
+    """Languages, and for each known word and n-gram its place among the rows of log frequencies, which are one array."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    rows: np.ndarray
 
 
-def _log_rows(rows: list, totals: dict[str, int], languages: list[str], smooth: float) -> dict[str, np.ndarray]:
-    """(key, language, count) to a row for each key, of logarithms of shares in each language's total."""
+def _log_rows(rows: list, totals: dict[str, int], languages: list[str], smooth: float) -> tuple[list[str], np.ndarray]:
+    """(key, language, count) to the keys and a row for each, of logarithms of shares in each language's total."""
     keys = sorted({r[0] for r in rows})
     at, lang = {k: i for i, k in enumerate(keys)}, {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(keys), len(languages)))
     for key, language, n in rows:
         counts[at[key], lang[language]] += n
     total = np.array([totals.get(x, 0) for x in languages])
-    out = np.log((counts + smooth) / (total + smooth * max(len(keys), 1))).astype(np.float32)
-    return dict(zip(keys, out, strict=True))
+    return keys, np.log((counts + smooth) / (total + smooth * max(len(keys), 1))).astype(np.float32)
 
 
 def _kept_keys(counts: DataFrame, most: int) -> list:
@@ -94,7 +94,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         words.unpersist()
     languages = sorted(word_totals)
     by_size = [_log_rows([r for r in found_grams if len(r[0]) == k], {x: n for (size, x), n in gram_totals.items() if size == k}, languages, 0.5) for k in range(1, LONGEST + 1)]
-    return Model(languages, _log_rows(found_words, word_totals, languages, 0.1), {k: v for part in by_size for k, v in part.items()})
+    known = _log_rows(found_words, word_totals, languages, 0.1)
+    places = {k: i for i, k in enumerate((k for keys, _ in by_size for k in keys), len(known[0]))}
+    return Model(languages, {k: i for i, k in enumerate(known[0])}, places, np.concatenate([x for _, x in (known, *by_size)]))
 
 
 class Scorer:
@@ -106,14 +108,15 @@ class Scorer:
         self.memo = WordMemo(self._units, gaps=False)
 
     def word(self, word: str) -> np.ndarray:
-        row = self.model.words.get(word)
-        if row is not None:
-            return row
+        at = self.model.words.get(word)
+        if at is not None:
+            return self.model.rows[at]
         marked, grams = f"^{word}$", self.model.grams
         for k in range(LONGEST, 0, -1):
             known = [g for i in range(len(marked) - k + 1) if (g := grams.get(marked[i : i + k])) is not None]
             if known:
-                return sum(known[1:], known[0]) / len(known)
+                rows = [self.model.rows[g] for g in known]
+                return sum(rows[1:], rows[0]) / len(rows)
         return self.none
 
     def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

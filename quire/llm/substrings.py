@@ -45,6 +45,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 FILTER_BYTES, FILTER_BITS = 16 << 20, 16
 #: Runs that a task holds before it passes the first of each on.
 HELD = 2_000_000
+#: Rows of a batch that goes back to Spark.
+SENT = 100_000
 NO_ID = -(1 << 63)
 #: Ids of several texts up to which they are broadcast; beyond, every text is told apart by its hash.
 MOST_REUSED = 10_000
@@ -140,7 +142,7 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def passed_on() -> pa.RecordBatch:
+        def passed_on() -> Iterator[pa.RecordBatch]:
             h1, h2, pos, *doc = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((pos, *doc[::-1], h2, h1))
@@ -154,9 +156,11 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
             h2[later] = 0
             pos = np.where(later, ~pos, pos)
             # In order of place again: neighbours in a shuffle block then share most of their bytes.
-            back = np.argsort(order)
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
             tail = h2.astype(np.int64) << 32 | pos.astype(np.int64) & 0xFFFFFFFF
-            return pa.RecordBatch.from_arrays([pa.array(x[back]) for x in (h1, tail, *doc)], ["h1", "tail", *keys])
+            for some in (back[k : k + SENT] for k in range(0, len(back), SENT)):
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (h1, tail, *doc)], ["h1", "tail", *keys])
 
         for batch in batches:
             for part in blocks(batch):
@@ -179,9 +183,9 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, filter_bytes: int = F
                 others = word_hashes(w, way=1) if len(start) else hashes
                 held.append((window_hashes(hashes, start, window, 0).view(np.int64), (window_hashes(others, start, window, 1) >> np.uint64(33)).astype(np.int32), pos.astype(np.int32), *doc))
                 if sum(len(x[0]) for x in held) > HELD:
-                    yield passed_on()
+                    yield from passed_on()
         if held:
-            yield passed_on()
+            yield from passed_on()
 
     # ``tail`` holds the hash's other half above the position, which takes a third less of the shuffle.
     runs = marked.mapInArrow(run, f"h1 long, tail long, {' long, '.join(keys)} long").withColumns({"h2": F.shiftright("tail", 32), "pos": F.expr("cast(shiftright(shiftleft(tail, 32), 32) as int)")})

@@ -45,6 +45,7 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
 def forget() -> None:
     """Worker processes are used again: what has no need of a memo frees the one there may be."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class Looked(NamedTuple):
