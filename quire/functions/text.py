@@ -18,7 +18,8 @@ def clean_ws(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without blanks at both ends; the search for the last character goes back from the end."""
+    return F.regexp_extract(x, r"(?Us)^\s*(.*\S)", 1)
 
 
 def normalize(x: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,17 @@ def chunk(rows: DataFrame, size: int = 1000, overlap: int = 200, last: int = 200
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below the size")
 
-    @F.pandas_udf(SPANS)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk_index": k, "text": t[a:b], "start_char": a, "end_char": b} for k, (a, b) in enumerate(spans(t, size, overlap, last))])
+    @F.arrow_udf(SPANS)
+    def cut(texts: pa.Array) -> pa.Array:
+        ends, places, pieces = [0], [], []
+        for text in texts.to_pylist():
+            found = spans(text, size, overlap, last)
+            places += [(k, a, b) for k, (a, b) in enumerate(found)]
+            pieces += [text[a:b] for a, b in found]
+            ends.append(len(pieces))
+        index, start, end = (pa.array(x) for x in np.array(places, np.int32).reshape(-1, 3).T.copy())
+        rows = pa.StructArray.from_arrays([index, pa.array(pieces, pa.string()), start, end], ["chunk_index", "text", "start_char", "end_char"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     out = rows.withColumn("c", F.explode(cut("text"))).select("doc_id", "section_index", "section_id", F.col("title").alias("section"), "c.*")
     return out.withColumns({"chunk_id": short_id(*(F.col(c) for c in ("doc_id", "section_index", "chunk_index", "start_char", "end_char"))), "token_count": token_count(F.col("text"))})

@@ -70,12 +70,15 @@ def context(hits: DataFrame, chunks: DataFrame, n: int = TOP, most: int = 1600,
 
     A block's header has the document's title or else its number, and the section; ``default`` if it has none."""
     fields = ("doc_title", "ref_number", "section_title")
-    rows = hits.where(F.col("rank") <= n).join(chunks.select("chunk_id", "section", "text"), "chunk_id")
+    # Hits come to the texts: these move only where the hits are too many to be broadcast.
+    rows = chunks.select("chunk_id", "section", "text").join(stored_small(hits.where(F.col("rank") <= n), "ranked"), "chunk_id")
     title, number, section = (clean_ws(F.col(c)) if c in hits.columns else clean_ws(F.col("section")) if c == "section_title" else F.lit("") for c in fields)
-    rows = rows.withColumns({"text": clean_ws(F.col("text")), "cid": clean_ws(F.col("chunk_id").cast("string"))}).where("text <> '' and cid <> ''")
+    rows = rows.withColumns({"text": clean_ws(F.col("text")), "cid": clean_ws(F.col("chunk_id").cast("string"))})
     whose = F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit(number_prefix), F.nullif(number, F.lit(""))))
     header = F.concat_ws(joint, whose, F.concat(F.lit("Section: "), F.nullif(section, F.lit(""))))
     header = F.when(header == "", F.lit(default)).otherwise(header)
     block = F.concat(header, F.lit("\n[chunk_id="), F.col("cid"), F.lit("]\n"), truncate(F.col("text"), most), F.lit("\n"))
-    blocks = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
+    # As a filter of the rows this would be pushed below the join, and every text be cleaned for it.
+    block = F.when((F.col("text") != "") & (F.col("cid") != ""), F.struct("rank", block.alias("block")))
+    blocks = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(block)).alias("b")).where("size(b) > 0")
     return blocks.select("q_id", F.regexp_replace(F.array_join(F.col("b.block"), "\n"), r"(?U)^\s+|\s+$", "").alias("context"))

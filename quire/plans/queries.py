@@ -69,7 +69,7 @@ def chunk_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: chunks, keyword ranking, neighbours, context for every benchmark question."""
-    parts = stored(C.chunk(C.sections(_whole(spark, d))), "chunks")
+    parts = stored(C.chunk(C.sections(_whole(spark, d))).select("chunk_id", "section_id", "section", "start_char", "text"), "chunks")
     hits = stored(S.keyword_rank(parts, _questions(spark, d)), "hits")
     near = S.top(K.expand(hits, parts), S.TOP, F.col("seed_rank"), F.col("chunk_id")).drop("seed_rank")
     return K.context(near, parts)
