@@ -38,9 +38,11 @@ from quire.llm.wordhash import blocks
 from quire.llm.wordmemo import forget
 
 END_ID = 0
-#: Bytes of code at which a shard ends, which one task holds in memory, and of compressed code for one part.
+#: Bytes of code at which a shard ends, which one task holds in memory, and of compressed code for one part, which it sorts.
 SHARD_BYTES = 2 << 20
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
+#: Bytes of a row group, which Spark holds whole when it writes one, and when it reads one of few long rows.
+GROUP_BYTES = 8 << 20
 #: Most ids that a rank table may have: its size is that of a vocabulary, not of the corpus.
 MAX_IDS = 4_000_000
 
@@ -84,6 +86,13 @@ def _octets(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
+def _write(rows: DataFrame, path: str, row_bytes: int = 1) -> None:
+    """As Parquet, in row groups of bounded size for rows of up to about ``row_bytes``; compressed bytes are looked at every few rows, by default after 100 to 10,000."""
+    most = {"parquet.block.size": GROUP_BYTES, "parquet.block.row.count.limit": max(1, GROUP_BYTES // row_bytes)}
+    looks = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16}
+    rows.write.options(compression="zstd", **most, **looks).parquet(path)
+
+
 def draft(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(id, text) to draft rows, coded by the ids themselves and with the end id; each task adds a tally, its counts of ids."""
     names = ["tally", "id", "n", "control", "data"]
@@ -133,7 +142,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     """Write ``path``/ranks and ``path``/shards; ``path``/draft holds the ids coded as they are meanwhile."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    draft(texts, tokenizer_path).withColumn("tie", F.xxhash64("data")).write.option("compression", "zstd").parquet(f"{path}/draft")
+    _write(draft(texts, tokenizer_path).withColumn("tie", F.xxhash64("data")), f"{path}/draft")
     coded = spark.read.schema(f"{DRAFT_SCHEMA}, tie long").parquet(f"{path}/draft")
     ids = rank_table(id_counts(coded))
     spark.createDataFrame(pa.table({"rank": np.arange(len(ids), dtype=np.int64), "token": ids.astype(np.int64)})).write.parquet(f"{path}/ranks")
@@ -143,7 +152,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     parts = max(bytes_of(spark, f"{path}/draft") // part_bytes + 1, spark.sparkContext.defaultParallelism)
     order = [F.col("id").asc_nulls_first(), F.col("tie")]
     dealt = coded.where("not tally").repartitionByRange(parts, *order).sortWithinPartitions(*order, "data").select("id", "n", "control", "data")
-    dealt.mapInArrow(lambda b: _gather(b, shared.value, shard_bytes), SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
+    _write(dealt.mapInArrow(lambda b: _gather(b, shared.value, shard_bytes), SHARD_SCHEMA), f"{path}/shards", shard_bytes)
     drop_dir(spark, f"{path}/draft")
 
 

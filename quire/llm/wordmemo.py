@@ -10,9 +10,12 @@ share only the first hash with another one are handed to the function each time.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,14 +40,19 @@ _kept: dict[tuple, object] = {}
 def kept(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives; a worker process keeps it until it asks for another key, so that it holds one memo at most."""
     if key not in _kept:
-        _kept.clear()
+        forget()
         _kept[key] = make()
     return _kept[key]
 
 
 def forget() -> None:
     """Worker processes are used again: what has no need of a memo frees the one there may be."""
-    _kept.clear()
+    if _kept:
+        _kept.clear()
+        # A memo and its function refer to each other, and glibc keeps what is freed until it is told otherwise.
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
     pa.default_memory_pool().release_unused()
 
 
@@ -160,7 +168,7 @@ class WordMemo:
 def ragged(results: list) -> tuple[np.ndarray, np.ndarray]:
     """A list of runs of numbers as one array and their lengths."""
     lengths = np.fromiter(map(len, results), np.int64, len(results))
-    flat = np.fromiter((x for r in results for x in r), np.uint32, int(lengths.sum()))
+    flat = np.fromiter(chain.from_iterable(results), np.uint32, int(lengths.sum()))
     return flat, lengths
 
 

@@ -1,11 +1,17 @@
-"""What worker processes hold: batches of bounded size, models as arrays, and large tasks that pass rows on in parts."""
+"""What tasks hold: batches and row groups of bounded size, models as arrays, memos no longer than needed, and large tasks that pass rows on in parts."""
 
+import gc
 import random
+import weakref
 
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.dataset as ds
 
 import corpus_pipeline
-from quire.llm import language, substrings
+from quire.llm import language, substrings, token_files, wordmemo
+from quire.llm.common import new_dir
+from quire.llm.library_tokens import byte_level
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -45,3 +51,33 @@ def test_many_runs_of_a_task(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.report(rows).collect()}
     assert got == substrings.brute_force(docs)
+
+
+def test_row_groups_of_few_shards(spark, monkeypatch):
+    """However many shards a part has, and however well they compress."""
+    monkeypatch.setattr(token_files, "GROUP_BYTES", 4000, raising=False)
+    monkeypatch.setattr(token_files, "drop_dir", lambda *a: None)
+    docs = spark.createDataFrame([(k, f"one and the same text of number {k % 3} " * 20) for k in range(600)], "doc_id long, text string")
+    at = new_dir(spark, "files")
+    token_files.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), at, shard_bytes=1000)
+
+    def groups(what):
+        return [[g.num_rows for g in f.row_groups] for f in ds.dataset(f"{at}/{what}", format="parquet").get_fragments()]
+
+    assert all(max(g) <= 4 for g in groups("shards")) and sum(map(sum, groups("shards"))) > 40
+    assert all(max(g) < 100 for g in groups("draft"))
+    assert token_files.read_shards(spark, at).where("n_tokens > 0").count() == 600
+
+
+def test_forgotten_memos_are_freed():
+    """At once, though a memo and its function refer to each other, and not when the collector next comes round."""
+    gc.disable()
+    try:
+        for leave in (wordmemo.forget, lambda: wordmemo.kept("another", list)):
+            wordmemo.forget()
+            held = weakref.ref(byte_level(public_tokenizers.path("byte_bpe_50k.json")))
+            assert held() is not None
+            leave()
+            assert held() is None
+    finally:
+        gc.enable()
