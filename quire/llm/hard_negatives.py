@@ -2,8 +2,8 @@
 
 Rows are packed into blocks, sorted by label, whose matrix holds one dimension after another with its least
 and largest value.  Anchors are packed likewise, in smaller blocks.  A block of anchors meets a block of rows
-in a cell, once for each pair of blocks: rows stay where they are, in one lane each, and only the anchors'
-blocks go to all lanes.  In a cell each anchor reads the dimensions in descending order of its own magnitude.
+in a cell, once for each pair of blocks: rows stay where they are, and the anchors' blocks are broadcast, in
+parts of about 16 MB that take turns.  In a cell each anchor reads the dimensions in descending order of its own magnitude.
 After every few of them, what the unread ones can still add at least and at most bounds each row's score, and
 rows that can no longer be among the best of a window leave the candidates.  What is left at the end has exact
 scores.  The best rows of each cell are merged by Spark.
@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, table
+from quire.llm.common import new_dir, stored, table
 
 BEST, NEGATIVES = 5, 5
 #: A negative's score x lies close below the positive's score p: LEAST * p <= MOST * x <= MOST * p.
 LEAST, MOST = 80, 100
 #: Rows and anchors of a block, and dimensions between two looks at the bounds.
 ROWS, ANCHORS, STEP = 8_192, 1_024, 8
+#: Bytes of anchors, unpacked and with their windows, that are broadcast at a time.
+SENT = 16 << 20
 #: Bounds of scores held in 64 bits with room for sums.
 FAR, LONGEST = 1 << 62, (1 << 63) - 1
 PACKED = "lane int, dim int, low long, high long, n int, ids binary, labels binary, cells binary"
@@ -163,12 +165,11 @@ def _cells(spec: str, same: bool, k: int):
     return run
 
 
-def _met(anchors: DataFrame, rows: DataFrame, lanes: int, same: bool) -> DataFrame:
-    """Each block of anchors with each block of rows: the anchors go to all lanes, a block of rows is in one."""
-    sent = anchors.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+def _met(anchors: DataFrame, rows: DataFrame, same: bool) -> DataFrame:
+    """Each block of anchors with each block of rows: the anchors are broadcast, once for all blocks, and rows stay where they are."""
     # Blocks of one label alone meet either for positives or for negatives.
     fits = "a_low <= high AND low <= a_high" if same else "NOT (a_low = a_high AND low = high AND a_low = low)"
-    return sent.join(rows.withColumnRenamed("dim", "own_dim"), "lane").where(f"dim = own_dim AND {fits}")
+    return rows.withColumnRenamed("dim", "own_dim").join(F.broadcast(anchors), F.expr(f"own_dim = dim AND {fits}"))
 
 
 def _first(found: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -176,22 +177,41 @@ def _first(found: DataFrame, k: int, *keys: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _in_turn(parts: list[DataFrame], what: str) -> DataFrame:
+    """The parts written one after another, so that the broadcasts of one are gone before the next, and read back as one table."""
+    path = new_dir(parts[0].sparkSession, what)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path)
+
+
 def mined(rows: DataFrame, anchors: DataFrame, positives: int = BEST, negatives: int = NEGATIVES) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for (id, label, v) of ``anchors`` against all ``rows``."""
     blocks = stored(packed(rows, ROWS), "vectors")
     asked = packed(anchors, ANCHORS).withColumnsRenamed({c: f"a_{c}" for c in ("lane", "low", "high", "n", "ids", "labels", "cells")})
     numbered = F.row_number().over(Window.partitionBy("a_lane").orderBy("dim", "a_low", "a_high", F.xxhash64("a_ids"))) - 1
     asked = stored(asked.withColumn("a_block", numbered.cast("long")).withColumn("a_lane", F.col("a_lane").cast("long")), "anchors")
-    lanes = 1 + (blocks.agg(F.max("lane")).first()[0] or 0)
+    # Files don't tell: blocks pack well.  An id, a label and a window's place and score are held with each anchor.
+    size = asked.agg(F.sum(F.octet_length("a_cells") + F.col("a_n") * (16 + 32 * positives))).first()[0] or 0
+    parts = -(-size // SENT) or 1
+
+    def turns(df: DataFrame) -> list[DataFrame]:
+        return [df.where(F.pmod(F.xxhash64("a_lane", "a_block"), F.lit(parts)) == part) for part in range(parts)]
+
+    def best_of(met: DataFrame, spec: str, same: bool, k: int, *keys: str) -> DataFrame:
+        return _first(met.mapInArrow(_cells(spec, same, k), spec), k, *keys)
+
     near = "anchor long, anchor_id long, id long, score long"
-    best = stored(_first(_met(asked, blocks, lanes, True).mapInArrow(_cells(near, True, positives), near), positives, "anchor"), "positives")
+    best = _in_turn([best_of(_met(part, blocks, True), near, True, positives, "anchor") for part in turns(asked)], "positives")
     windows = best.select(F.shiftright("anchor", 32).alias("a_lane"), F.floor(F.col("anchor").bitwiseAND((1 << 32) - 1) / ANCHORS).alias("a_block"), F.struct((F.col("anchor") % ANCHORS).cast("int").alias("pos"), "score").alias("w"))
     windows = windows.groupBy("a_lane", "a_block").agg(F.collect_set("w").alias("windows"))
     far = f"{near}, of long"
-    found = _met(asked.join(windows, ["a_lane", "a_block"]), blocks, lanes, False).mapInArrow(_cells(far, False, negatives), far)
-    found = _first(found, negatives, "anchor", "of").select("anchor", F.col("of").alias("positive_score"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+    # Neither side of the joins by key is small because its file is.
+    asked = asked.join(windows.hint("merge"), ["a_lane", "a_block"])
+    found = _in_turn([best_of(_met(part, blocks, False), far, False, negatives, "anchor", "of") for part in turns(asked)], "negatives")
+    found = found.select("anchor", F.col("of").alias("positive_score"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     own = best.select("anchor", "anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return own.join(found, ["anchor", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return own.join(found.hint("merge"), ["anchor", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,38 @@ def test_bond_equals_all_products():
         within = np.flatnonzero((exact >= first) & (exact <= last))
         best = within[np.argsort(-exact[within], kind="stable")][:5]
         assert set(best) <= set(found) and len(found) < 200
+
+
+def broadcast_rows(spark, done):
+    """Rows of each broadcast of the queries after the first ``done``."""
+    store, found = spark._jsparkSession.sharedState().statusStore(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i) for i in range(done, runs.size())):
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(i) for i in range(metrics.size() if node.name().startswith("BroadcastExchange") else 0)):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    found.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return found
+
+
+def test_anchors_are_broadcast_once_and_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "ROWS", 60)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 8)
+    rng = np.random.default_rng(6)
+    rows = [(k, (rng.normal(size=64) / 4 + (k % 3 == 0)).tolist(), int(k % 4)) for k in range(3000)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsList().size()
+    got, want = vectors(spark, tmp_path / "whole", rows)
+    assert ordered(got) == ordered(want) and len(got) > 50
+    # Some blocks of 30 anchors, for positives and for negatives, however many blocks of rows there are.
+    whole = broadcast_rows(spark, done)
+    assert len(whole) == 2 and max(whole) < 12
+    monkeypatch.setattr(hard_negatives, "SENT", 4_000, raising=False)
+    done = store.executionsList().size()
+    got, _ = vectors(spark, tmp_path / "parts", rows, sql=False)
+    parts = broadcast_rows(spark, done)
+    assert ordered(got) == ordered(want)
+    assert len(parts) > 4 and max(parts) < max(whole) and sum(parts) == sum(whole)
