@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -216,12 +217,61 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that each end of ``edges`` (a, b) reaches over them.
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of edges but for the least of each component of theirs, and that least."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        x, y = low[low < high], high[low < high]
+        np.minimum.at(root, y, x)
+        while (root[root] != root).any():
+            root = root[root]
+    hung = root != np.arange(len(ids))
+    return ids[hung], ids[root[hung]]
 
-    Alternating steps hang every node on the least neighbour of its own and of its neighbours, until
-    nothing changes; the number of rounds grows with the logarithm of the longest chain."""
-    links, state = stored(edges.select("a", "b").where("a <> b").distinct(), "links"), None
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same ids as ``edges``: of as many of these as a task holds at a time, each node hangs on the least of its component.
+
+    ``block`` numbers what was held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block = TaskContext.get().partitionId() << 32
+
+        def passed_on() -> pa.RecordBatch:
+            nonlocal block
+            hung, least = stars(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")))
+            held.clear()
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array(hung), pa.array(least), pa.array(np.full(len(hung), block))], ["a", "b", "block"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) > HELD:
+                yield passed_on()
+        if held:
+            yield passed_on()
+
+    return edges.select("a", "b").where("a <> b").distinct().mapInArrow(run, "a long, b long, block long")
+
+
+def components(edges: DataFrame) -> DataFrame | None:
+    """(id, component): the least id that each end of ``edges`` (a, b), but for that one, reaches over them; None if there are no edges.
+
+    Tasks hang each node on the least that their own edges reach, which is all where one task held all edges.
+    Else alternating steps hang every node on the least neighbour of its own and of its neighbours, until nothing
+    changes; the number of rounds grows with the logarithm of the longest chain."""
+    links = stored(contracted(edges), "links")
+    number = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    *state, first, last = links.agg(*number, F.min("block"), F.max("block")).first()
+    if first is None:
+        return None
+    if first == last:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    links = links.select("a", "b")
     while True:
         # Large star: each node's larger neighbours hang on its least neighbour or itself.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -231,15 +281,18 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         links = stored(small, "links")
-        before, state = state, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == state or not state[0]:
+        before, state = state, [*links.agg(*number).first()]
+        if before == state:
             return links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
 def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """``comp`` (id, component, ...) with the components merged that ``edges`` (a, b) between ids connect."""
     ends = edges.join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
-    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    found = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if found is None:
+        return comp
+    roots = found.select(F.col("id").alias("component"), F.col("component").alias("root"))
     rest = [c for c in comp.columns if c not in ("id", "component")]
     return stored(comp.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"), *rest), "components")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 
 import corpus_pipeline
-from quire.llm import language, substrings, token_files, wordmemo
+from quire.llm import language, ngram_join, substrings, token_files, wordmemo
 from quire.llm.common import new_dir
 from quire.llm.library_tokens import byte_level
 
@@ -81,3 +81,39 @@ def test_forgotten_memos_are_freed():
             assert held() is None
     finally:
         gc.enable()
+
+
+def test_components_take_few_queries(spark, monkeypatch):
+    """The driver holds a plan and threads for each: two where a task holds all edges, however long their chains are, and the same result where none does."""
+    draw = random.Random(8)
+    chain = draw.sample(range(-500, 500), 400)
+    pairs = [*zip(chain, chain[1:], strict=False), *((draw.randrange(1000, 1400), draw.randrange(1000, 1400)) for _ in range(250)), (7000, 7000)]
+    root = {}
+
+    def up(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((up(a), up(b)))
+        root[high] = low
+    want = {x: up(x) for x in root if up(x) != x}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def found():
+        done = store.executionsCount()
+        rows = ngram_join.components(edges)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return store.executionsCount() - done, {r.id: r.component for r in rows.distinct().collect()}
+
+    assert found() == (2, want)
+    monkeypatch.setattr(ngram_join, "HELD", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        queries, got = found()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and queries > 4
+    assert ngram_join.components(edges.where("a = b")) is None
